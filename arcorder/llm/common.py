@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +70,12 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(offsets, dtype=kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return off - off[0], raw
+
+
+def hashed_sample(df: DataFrame, key: str, rows: int, seed: int = 1) -> DataFrame:
+    """About `rows` rows of df (all if it has fewer), chosen by a hash of the key, the same on every run.
+
+    The share follows from the table's count, so the sample stays bounded however large the table is.
+    """
+    share = min(1.0, rows / max(1, df.count()))
+    return df if share == 1 else df.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), F.lit(1_000_000_007)) < int(share * 1_000_000_007))

@@ -1,8 +1,9 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the rows by (normalised bytes, id), an external sort places equal texts next to
-each other, and each partition compares neighbouring texts in full. As the id is part of the sort key, a text that
-holds a third of all rows spreads over many partitions. A run of equal texts that touches an end of its partition
+Sampled splitters range-partition the rows by (the first bytes of the normalised text, its hash, id), an external
+sort by (first bytes, hash, whole text, id) places equal texts next to each other, and each partition compares
+neighbouring texts in full. The splitters hold PREFIX bytes of a text, so the sample that Spark gathers for them
+stays small; as the id is part of the key, a text that holds a third of all rows spreads over many partitions. A run of equal texts that touches an end of its partition
 may go on in the next one; only those runs (two for each partition at most) are stitched by their SHA-256.
 
 Null texts count as empty. Of each group one row stays: the one with the largest (or smallest) id, and of repeated
@@ -21,6 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from arcorder.llm.common import written
 
 
+#: Bytes of a text in the splitters.
+PREFIX = 48
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """One row for each input row: the id, keep_id, group_size, kept, text_sha256.
 
@@ -32,7 +37,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     content = (normalise(text) if normalise else text).cast("binary")
     order = F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()
     # the row that stays comes last in its run
-    ordered = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), content.alias("content")).repartitionByRange("content", order).sortWithinPartitions("content", order)
+    ordered = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), content.alias("content"))
+    keys = [F.substring("content", 1, PREFIX), F.xxhash64("content")]
+    ordered = ordered.repartitionByRange(*keys, order).sortWithinPartitions(*keys, "content", order)
     rows = written(ordered.mapInArrow(_runs, "id long, text_sha256 string, part int, edge boolean, last boolean, run_size long, run_id long"), "dedup-runs")
 
     # runs at an end of a partition: at most two for each partition, whatever the number of rows
