@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcorder.llm import bpe, embedding_dedup, exact_dedup, ngram_join, packing, pii
+from arcorder.llm import bpe, embedding_dedup, exact_dedup, html_text, ngram_join, packing, pii, quality
 from arcorder.llm.common import table
 
 #: Public vocabulary, by the installed package's own path; a parameter of the operators.
@@ -44,6 +44,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _remainder(column, modulus: int):
+    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(quality.training_rows(docs, labels, "quality", lambda c: _remainder(c, 4) != 2, quality.SAMPLE))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.expr(f"bigint(size(filter(base, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
@@ -58,5 +69,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_pii": op5_pii, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_text.extract(pages, keep=["page_id", "url"], weights=html_text.fit(pages, "page_id", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op5_pii": op5_pii, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
