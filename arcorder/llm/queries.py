@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcorder.llm import bpe, embedding_dedup, exact_dedup, html_text, ngram_join, packing, pii, quality
+from arcorder.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, ngram_join, packing, pii, quality, toxicity
 from arcorder.llm.common import table
 
 #: Public vocabulary, by the installed package's own path; a parameter of the operators.
@@ -55,6 +55,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = language_id.fit(docs.where(_remainder(F.col("doc_id"), 3) != 1))
+    found = language_id.identify(docs, crf, ["doc_id"])
+    return found.select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.fit(quality.training_rows(docs, labels, "toxic", lambda c: _remainder(c, 3) != 1, toxicity.SAMPLE))
+    scored = toxicity.score(docs, net, ["doc_id"])
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.expr(f"bigint(size(filter(base, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
@@ -75,5 +89,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op5_pii": op5_pii, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html}
+QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
