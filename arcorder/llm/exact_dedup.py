@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arcorder.llm.common import written
+from arcorder.llm.common import unused_name, written
 
 
 #: Bytes of a text in the splitters.
@@ -54,6 +54,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     )
 
 
+def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
+    """The rows of df that stay, with all their columns."""
+    found = written(exact_dedup(df, id_col, text_col, keep, normalise), "dedup-result")
+    text: Column = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    sha = F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
+    name = unused_name(df.columns, "sha")
+    kept = found.where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    rows = df.withColumn(name, sha)
+    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.col(name) == F.col("_kept_sha")), "left_semi")
+    # the same id with the same text: of such rows the join keeps all, so one must be chosen
+    if found.where(F.col("keep_id").eqNullSafe(F.col(id_col)) & ~F.col("kept")).limit(1).count():
+        rows = rows.dropDuplicates([id_col, name])
+    return rows.drop(name)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row of a sorted partition with its run's size, the id that stays, and whether the run touches an end."""
     part = TaskContext.get().partitionId()

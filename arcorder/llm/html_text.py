@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import hashed_sample, split_batch
+from arcorder.llm.common import hashed_sample, split_batch, unused_name
 
 #: Labelled pages that the weights are fitted on.
 SAMPLE = 400
@@ -159,7 +159,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None
     """The columns in `keep` (all but the html if None) and the page's main text as `text`."""
     keep = [c for c in df.columns if c not in (html_col, "text")] if keep is None else keep
     weights = weights or first_weights()
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("_html"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias(unused_name(keep, "html")))
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

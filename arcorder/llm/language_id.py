@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import hashed_sample, split_batch, text_bytes
+from arcorder.llm.common import hashed_sample, split_batch, text_bytes, unused_name
 from arcorder.llm.hashing import mixed, word_hashes, word_spans
 
 #: Documents that the model is trained on, at most about.
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(df: DataFrame, crf: Crf, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in `keep`, lang_pred and score of each whole text."""
     text = F.col(f"`{text_col}`").cast("string")
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.lower(text).alias("_text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(unused_name(keep, "letters")), F.lower(text).alias(unused_name(keep)))
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     sent = df.sparkSession.sparkContext.broadcast(crf)
     at = len(keep)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import hashed_sample, split_batch, text_bytes
+from arcorder.llm.common import hashed_sample, split_batch, text_bytes, unused_name
 from arcorder.llm.hashing import SOLID, ngram_hashes, word_hashes, word_spans
 
 #: Labelled rows that the model is fitted on, at most about.
@@ -156,16 +156,16 @@ def fit(rows: DataFrame) -> Model:
     return fit_sets([np.frombuffer(got[i][2], dtype=np.int32) for i in order], np.array([got[i][1] for i in order]))
 
 
-def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in `keep` and `score`, the probability of label 1, of each whole text."""
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score")).schema
+def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns in `keep` and the score, the probability of label 1, of each whole text."""
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(unused_name(keep)))
+    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias(score_col)).schema
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch, len(keep)):
                 p = [sent.value.probability(s) for s in indicators(*text_bytes(part.column(len(keep))))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p, pa.float64())], names=[*keep, score_col])
 
     return source.mapInArrow(run, schema)

@@ -12,14 +12,14 @@ from arcorder.llm.common import table
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def _vocabulary(spark: SparkSession) -> bpe.SharedVocabulary:
+def vocabulary(spark: SparkSession) -> bpe.SharedVocabulary:
     return bpe.SharedVocabulary(spark, public_tokenizers.path(VOCABULARY))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = _vocabulary(spark)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
-    both = bpe.decode(ids, vocabulary)
+    entries = vocabulary(spark)
+    ids = bpe.encode(table(spark, sf_dir, "documents"), entries, keep=["doc_id"])
+    both = bpe.decode(ids, entries)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -40,7 +40,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), _vocabulary(spark))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(spark))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -48,10 +48,14 @@ def _remainder(column, modulus: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus
 
 
+def learn_quality(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """From labelled rows whose crc32(doc_id as text) mod 4 is not 2."""
+    return quality.fit(quality.training_rows(docs, labels, "quality", lambda c: _remainder(c, 4) != 2, quality.SAMPLE))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(quality.training_rows(docs, labels, "quality", lambda c: _remainder(c, 4) != 2, quality.SAMPLE))
-    scored = quality.score(docs, model, ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, learn_quality(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

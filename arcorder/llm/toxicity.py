@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import split_batch, text_bytes
+from arcorder.llm.common import split_batch, text_bytes, unused_name
 from arcorder.llm.hashing import mixed, word_hashes, word_spans
 
 #: Labelled rows that the net is trained on, at most about.
@@ -192,16 +192,16 @@ def fit(rows: DataFrame) -> Net:
     return net
 
 
-def score(df: DataFrame, net: Net, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in `keep` and `score` (0.7 at the calibrated threshold) of each whole text."""
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.lower(F.col(f"`{text_col}`").cast("string")).alias("_text"))
-    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score")).schema
+def score(df: DataFrame, net: Net, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns in `keep` and the score (0.7 at the calibrated threshold) of each whole text."""
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.lower(F.col(f"`{text_col}`").cast("string")).alias(unused_name(keep)))
+    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias(score_col)).schema
     sent = df.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch, len(keep), 1 << 20):
                 p = sent.value.scores(*text_bytes(part.column(len(keep))))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p.astype(np.float64))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p.astype(np.float64))], names=[*keep, score_col])
 
     return source.mapInArrow(run, schema)
