@@ -33,7 +33,7 @@ PROJECTIONS = """SELECT l_orderkey AS exp_id, CAST(c_nationkey AS BIGINT) AS src
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
 GROUP BY l_orderkey, c_nationkey, s_nationkey"""
 HISTORY = """SELECT user_id AS run, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iter, value AS score,
-       CAST(UNIX_SECONDS(ts) - MIN(UNIX_SECONDS(ts)) OVER (PARTITION BY user_id) AS DOUBLE) AS elapsed
+       CAST(UNIX_SECONDS(CAST(ts AS TIMESTAMP)) - MIN(UNIX_SECONDS(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id) AS DOUBLE) AS elapsed
 FROM {events}"""
 RUNS = """SELECT o_orderpriority AS algo, o_orderstatus AS dataset, SUBSTRING(MD5(o_orderpriority), 1, 12) AS config_hash, o_custkey AS seed, o_totalprice AS score,
        o_totalprice / 10000 AS pct, CAST(o_orderkey % 1000 AS DOUBLE) AS wall_clock_s,
@@ -50,4 +50,4 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def plain(sql: str) -> str:
     """The same text for the checking engine."""
     sql = re.sub(r"\{(\w+)\}", r"\1", sql)
-    return sql.replace("UNIX_SECONDS(ts)", "CAST(FLOOR(EPOCH(ts)) AS BIGINT)").replace("1000000.0D", "CAST(1000000 AS DOUBLE)").replace("AS STRING)", "AS VARCHAR)")
+    return sql.replace("UNIX_SECONDS(CAST(ts AS TIMESTAMP))", "CAST(FLOOR(EPOCH(ts)) AS BIGINT)").replace("1000000.0D", "CAST(1000000 AS DOUBLE)").replace("AS STRING)", "AS VARCHAR)")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcorder.operators.graph import nodes_of, remap_node_ids
 
 #: The header of the published edge list (its first name holds two spaces).
 CSV_COLUMNS = ("Source Node  ID", "Target Node ID", "Edge Weight")
 
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "exp_id string, algo string, dataset string, seed bigint, score double, pct double, wall_clock_s double, git_commit string, "
     "env struct<python: string, jax_or_torch: string, cuda: string, gpu: string>, config_hash string, timestamp string, "
     "total_weight double, n_epochs_done bigint, best_positions_path string, experiment_id string, role string, hypothesis string"
@@ -34,7 +34,7 @@ DATASETS = {"connectome": Dataset("csv", 136_648, 5_657_719, 41_912_141), "mouse
 
 def read_edges_csv(spark: SparkSession, path: str, columns: tuple[str, str, str] = CSV_COLUMNS, weight: str = "bigint") -> DataFrame:
     """A CSV with header, gzip or not; repartitioned, as one gzip file is one task."""
-    schema = T.StructType.fromDDL(", ".join(f"`{c}` {k}" for c, k in zip(columns, ("bigint", "bigint", weight), strict=True)))
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(columns, ("bigint", "bigint", weight), strict=True))
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).toDF("src", "tgt", "weight").repartition(F.col("src"))
 
 
