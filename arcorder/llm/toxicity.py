@@ -138,7 +138,7 @@ class Net:
     def calibrate(self, logits: np.ndarray, y: np.ndarray, group: np.ndarray) -> None:
         """For each group of languages the threshold of best F1 (all groups' where it has too few labels), mapped to 0.7."""
         whole = best_threshold(logits, y)
-        scale = 1.0 / max(float(np.std(logits)), 1e-3)
+        scale = 1.0 / max(float(np.std(logits)), 1e-3) if len(logits) else 1.0
         for g in range(4):
             mine = group == g
             enough = min(y[mine].sum(), (1 - y[mine]).sum()) >= 20
