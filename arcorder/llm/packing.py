@@ -26,7 +26,7 @@ from arcorder.llm.common import split_batch, written
 PIECES = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 NAMES = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "open"]
 #: Partitions whose open windows are merged in one task.
-MERGED = 32
+MERGED = 8
 
 
 class Windows:
