@@ -1 +1 @@
-"""Part of arcorder."""
+"""Structured Streaming jobs."""
