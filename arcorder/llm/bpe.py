@@ -27,7 +27,7 @@ NONE = np.iinfo(np.int64).max
 #: Pairs in the widest tree of a block; longer words get a tree of their own.
 WIDEST = 128
 #: Distinct pieces that each of the two generations of a worker's cache holds; a speed parameter only.
-CACHE = 200_000
+CACHE = 400_000
 
 _find = regex.compile(PATTERN).findall
 #: White space on both sides of a single space, or two spaces: only there may a run of spaces cross a split at a space.
@@ -68,15 +68,13 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
-def leaves(rank: np.ndarray, position: np.ndarray, width: int) -> np.ndarray:
-    return np.where(rank == NONE, NONE, np.where(rank == NONE, 0, rank) * width + position)
-
-
 class Bpe:
     def __init__(self, vocabulary: dict) -> None:
         self.base, self.of_byte, self.keys = vocabulary["base"], vocabulary["bytes"], vocabulary["keys"]
         self.ranks, self.made = vocabulary["ranks"], vocabulary["made"]
         self.special = vocabulary["special"]
+        self.kind = np.int32 if len(self.made) * (WIDEST + 1) < np.iinfo(np.int32).max else np.int64
+        self.byte_pairs = self.rank(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)).astype(self.kind)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lengths = np.array([len(t) for t in vocabulary["tokens"]], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -86,28 +84,32 @@ class Bpe:
         self.old: list[dict[str, bytes]] = [{}, {}]
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 for those that are never merged."""
         key = left * self.base + right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
-
-    def merge_block(self, ids: np.ndarray, lens: np.ndarray, w: int) -> list[bytes]:
-        """Merge words of 2 to w + 1 bytes, one row each, in step; w is a power of two."""
-        n, c = len(ids), w + 1
-        tree = np.full((n, 2 * w), NONE, dtype=np.int64)
-        ranks = self.rank(ids[:, :w], ids[:, 1 : w + 1])
-        pos = np.arange(w)
-        tree[:, w:] = np.where((pos < (lens - 1)[:, None]) & (ranks != NONE), ranks * c + pos, NONE)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def merge_block(self, raw: np.ndarray, lens: np.ndarray, w: int) -> list[bytes]:
+        """Merge words of 2 to w + 1 bytes, one row each (bytes, then zeros), in step; w is a power of two."""
+        n, c = len(raw), w + 1
+        none = np.iinfo(self.kind).max
+        tree = np.full((n, 2 * w), none, dtype=self.kind)
+        ranks = self.byte_pairs[raw[:, :w].astype(np.int32) * 256 + raw[:, 1 : w + 1]]
+        pos = np.arange(w, dtype=self.kind)
+        np.copyto(tree[:, w:], ranks * self.kind(c) + pos, where=(pos < (lens - 1)[:, None]) & (ranks >= 0))
+        ids = self.of_byte[raw]
         for node in range(w - 1, 0, -1):
             np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1], out=tree[:, node])
-        nxt = np.tile(np.arange(1, c + 2), (n, 1))
+        nxt = np.tile(np.arange(1, c + 2, dtype=np.int32), (n, 1))
         nxt[np.arange(n), lens - 1] = c
-        prv = np.tile(np.concatenate([[c], np.arange(c)]), (n, 1))
+        prv = np.tile(np.concatenate([[c], np.arange(c)]).astype(np.int32), (n, 1))
         alive = np.arange(c) < lens[:, None]
         rows = np.arange(n)
         while True:
             root = tree[rows, 1]
-            rows = rows[go := root != NONE]
+            go = root != none
+            rows = rows[go]
             if not len(rows):
                 break
             rank, p = np.divmod(root[go], c)
@@ -118,23 +120,23 @@ class Bpe:
             alive[rows, q] = False
             nxt[rows, p] = after
             prv[rows, after] = p
-            right = self.rank(merged, ids[rows, np.minimum(after, c - 1)])
-            left = self.rank(ids[rows, np.minimum(before, c - 1)], merged)
-            right[after == c] = NONE
-            left[before == c] = NONE
-            has_leaf = q < w
-            tree[rows[has_leaf], w + q[has_leaf]] = NONE
-            tree[rows, w + np.minimum(p, w - 1)] = leaves(right, p, c)
-            has = before < c
-            tree[rows[has], w + before[has]] = leaves(left, before, c)[has]
-            nodes = [w + p, w + np.minimum(q, w - 1), w + np.where(has, before, p)]
-            while nodes[0][0] > 1:
+            has_right, has_left = after < c, before < c
+            right = np.where(has_right, self.rank(merged, ids[rows, np.minimum(after, c - 1)]), -1)
+            left = np.where(has_left, self.rank(ids[rows, np.minimum(before, c - 1)], merged), -1)
+            leaf = q < w
+            tree[rows[leaf], w + q[leaf]] = none
+            tree[rows, w + np.minimum(p, w - 1)] = np.where(right >= 0, right * c + p, none)
+            tree[rows[has_left], w + before[has_left]] = np.where(left >= 0, left * c + before, none)[has_left]
+            nodes = [w + p, w + np.minimum(q, w - 1), w + np.where(has_left, before, p)]
+            level = w
+            while level > 1:
+                level >>= 1
                 nodes = [x >> 1 for x in nodes]
                 for x in nodes:
                     tree[rows, x] = np.minimum(tree[rows, 2 * x], tree[rows, 2 * x + 1])
         flat, ends = ids[:, :c][alive].astype("<u4"), np.cumsum(alive.sum(1)) * 4
-        raw = flat.tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        out = flat.tobytes()
+        return [out[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def merge_long(self, word: bytes) -> bytes:
         """One word with one tree, in plain Python: logarithmic work for each merge."""
@@ -142,7 +144,7 @@ class Bpe:
         n = len(ids)
         w = 1 << max(0, (n - 2).bit_length())
         ranks = self.rank(ids[:-1], ids[1:]).tolist()
-        tree = [NONE] * w + [r * n + i if r != NONE else NONE for i, r in enumerate(ranks)] + [NONE] * (w - n + 1)
+        tree = [NONE] * w + [r * n + i if r >= 0 else NONE for i, r in enumerate(ranks)] + [NONE] * (w - n + 1)
         for x in range(w - 1, 0, -1):
             tree[x] = min(tree[2 * x], tree[2 * x + 1])
         ids, nxt, prv = ids.tolist(), [*range(1, n), -1], [*range(-1, n - 1)]
@@ -191,9 +193,12 @@ class Bpe:
             for at in range(0, len(which), step := max(64, (1 << 17) // (2 * w + 2))):
                 part = which[at : at + step]
                 n = lens[part]
-                ids = np.zeros((len(part), w + 2), dtype=np.int64)
-                ids[np.arange(w + 2) < n[:, None]] = self.of_byte[np.frombuffer(b"".join(raw[i] for i in part), dtype=np.uint8)]
-                ids_of = self.merge_block(ids, n, w) if w else [ids[i, :k].astype("<u4").tobytes() for i, k in enumerate(n)]
+                letters = np.zeros((len(part), w + 2), dtype=np.uint8)
+                letters[np.arange(w + 2) < n[:, None]] = np.frombuffer(b"".join([raw[i] for i in part]), dtype=np.uint8)
+                if w:
+                    ids_of = self.merge_block(letters, n, w)
+                else:
+                    ids_of = [self.of_byte[x[:k]].astype("<u4").tobytes() for x, k in zip(letters, n, strict=True)]
                 out.update(zip((words[i] for i in part), ids_of, strict=True))
         for i in np.flatnonzero(lens - 1 > WIDEST):
             out[words[i]] = self.merge_long(raw[i])

@@ -58,9 +58,9 @@ def test_block_and_single_trees_agree(model):
     for n in (2, 3, 17, 100, 129):
         word = bytes(rng.choice(b"abcdethin g") for _ in range(n)).decode()
         w = 1 << max(0, (n - 2).bit_length())
-        ids = np.zeros((1, w + 2), dtype=np.int64)
-        ids[0, :n] = model.of_byte[np.frombuffer(word.encode(), dtype=np.uint8)]
-        assert model.merge_block(ids, np.array([n]), w)[0] == model.merge_long(word.encode())
+        letters = np.zeros((1, w + 2), dtype=np.uint8)
+        letters[0, :n] = np.frombuffer(word.encode(), dtype=np.uint8)
+        assert model.merge_block(letters, np.array([n]), w)[0] == model.merge_long(word.encode())
 
 
 def test_bpe_job_keeps_rows_and_other_columns(spark, vocabulary):
