@@ -1,35 +1,20 @@
-"""Shared helpers: table access, written intermediate tables, Arrow text buffers."""
+"""Shared helpers: table access, written intermediate tables (of the library itself), Arrow text buffers, samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from arcorder.operators.storage import written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["byte_lengths", "hashed_sample", "split_batch", "table", "text_bytes", "unused_name", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; a fresh one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="arcorder-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def split_batch(batch: pa.RecordBatch, column: int | str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
