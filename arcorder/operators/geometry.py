@@ -267,8 +267,12 @@ def linear_probe(df: DataFrame, c: float = 1.0, iterations: int = 300, vector: s
     return test.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
 
 
-def geometry_sweep(df: DataFrame, schemes: list[str], depths: list[int], width: int, seed: int = 42, probe: bool = False) -> DataFrame:
-    """(scheme, depth, layer, dead_fraction, mean_norm, std, effective_rank, silhouette): all layers of all networks."""
+def geometry_sweep(df: DataFrame, schemes: list[str], depths: list[int], width: int, seed: int = 42, probe: bool = False, curve_depth: int | None = None) -> DataFrame:
+    """(scheme, depth, layer, dead_fraction, mean_norm, std, collapsed, effective_rank, silhouette, probe_accuracy).
+
+    Fractions, norms and deviations are given for all layers of all networks, the others for the last layer, and for
+    every layer of networks of the curve's depth. A collapsed layer has rank 1 and no silhouette.
+    """
     spark = df.sparkSession
     size = len(df.select("e").first()["e"])
     rows, out = [], None
@@ -278,16 +282,17 @@ def geometry_sweep(df: DataFrame, schemes: list[str], depths: list[int], width:
             layers = layer_matrices([init_weights(spark, scheme, a, b, seed + k) for k, (a, b) in enumerate(shapes)])
             emb = written(forward_layers(df, layers), "sweep-layers").withColumns({"scheme": F.lit(scheme), "depth": F.lit(depth)})
             by = ["scheme", "depth", "layer"]
-            last = emb.where(F.col("layer") == depth)
-            std = last.select(F.explode("e").alias("x")).agg(F.stddev_pop("x")).first()[0]
-            if std is None or std < 1e-8:
-                rows.append((scheme, depth, depth, 1, None, None))
-            else:
-                mean, components, ratios = pca(last, 50)
-                flat = project(last, mean, components)
-                s = silhouette(flat).first()["silhouette"]
-                rows.append((scheme, depth, depth, effective_rank(ratios), s, linear_probe(flat) if probe else None))
-            m = dead_fraction(emb, by).join(mean_norm(emb, by), by).join(collapse(emb, by), by)
+            spread = collapse(emb, by)
+            collapsed = {r["layer"] for r in spread.where("collapsed").collect()}
+            for layer in range(1, depth + 1) if depth == curve_depth else [depth]:
+                if layer in collapsed:
+                    rows.append((scheme, depth, layer, 1, None, None))
+                    continue
+                one = emb.where(F.col("layer") == layer)
+                mean, components, ratios = pca(one, 50)
+                flat = project(one, mean, components)
+                rows.append((scheme, depth, layer, effective_rank(ratios), silhouette(flat).first()["silhouette"], linear_probe(flat) if probe else None))
+            m = dead_fraction(emb, by).join(mean_norm(emb, by), by).join(spread, by)
             out = m if out is None else out.unionByName(m)
     extra = spark.createDataFrame(rows, "scheme string, depth int, layer int, effective_rank int, silhouette double, probe_accuracy double")
     return out.join(F.broadcast(extra), ["scheme", "depth", "layer"], "left")

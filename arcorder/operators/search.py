@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcorder.functions.columns import normal, uniform
 from arcorder.operators.graph import degrees, nodes_of, normalise_weights
-from arcorder.operators.ranking import global_rank, ranks_by_run
+from arcorder.operators.ranking import global_rank
 from arcorder.operators.score import score_runs, surrogate_gradient
 from arcorder.operators.storage import written
 
@@ -168,8 +168,15 @@ def order_simple(edges: DataFrame, seed: int = 42) -> DataFrame:
     return order if scores.get("forward", 0) >= scores.get("reverse", 0) else order.select("node", (n - 1 - F.col("rank")).alias("rank"))
 
 
-def order_greedy(edges: DataFrame, use_abs: bool = False, graph: str = "graph_id") -> DataFrame:
-    """(graph, node, rank): exact greedy order of many small graphs, one group each; for one large graph see order_peeled."""
+def order_greedy(edges: DataFrame, use_abs: bool = False, graph: str = "graph_id", max_edges: int = 5_000_000) -> DataFrame:
+    """(graph, node, rank): exact greedy order of many small graphs, one group each.
+
+    The rule is sequential, so a graph must fit one task: one of more than max_edges is an error. For such a graph
+    see order_peeled.
+    """
+    largest = edges.groupBy(graph).count().agg(F.max("count")).first()[0] or 0
+    if largest > max_edges:
+        raise ValueError(f"a graph has {largest} edges, more than {max_edges}: use order_peeled")
 
     def place(table: pd.DataFrame) -> pd.DataFrame:
         diff: dict[int, float] = {}

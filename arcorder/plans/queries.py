@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcorder.functions.columns import equal_bins
 from arcorder.operators import components, generators, geometry, graph, history, regions, score, search, stability
+from arcorder.operators.storage import shared_dir
 from arcorder.plans import fixtures as fx
 from arcorder.plans.fixtures import frame, plain
+from arcorder.sources import edges as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +40,72 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in columns})
 
 
+# --- sources and sinks: each writes what it derives from the tables to the shared folder and reads it back -----------
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT src, tgt, weight FROM edges", edges=fx.PART_FLOW)
+def a1_read_csv(spark, d):
+    path = _folder(spark, "a1")
+    frame(spark, d, fx.PART_FLOW).toDF(*sources.CSV_COLUMNS).write.option("header", True).option("compression", "gzip").csv(path)
+    return sources.read_edges_csv(spark, path)
+
+
+@query("SELECT src, tgt, weight FROM edges", edges=fx.USER_FLOW)
+def a2_read_tsv(spark, d):
+    path = _folder(spark, "a2")
+    frame(spark, d, fx.USER_FLOW).select(F.concat_ws("\t", "src", "tgt", "weight").alias("value")).write.text(path)
+    return sources.read_edges_tsv(spark, path)
+
+
+@query(
+    "SELECT s.idx AS src, t.idx AS tgt, weight, s.node AS src_id FROM edges JOIN dict s ON edges.src = s.node JOIN dict t ON edges.tgt = t.node",
+    edges=fx.USER_FLOW, dict="SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM edges UNION SELECT tgt FROM edges)",
+)
+def a4_saved_graph(spark, d):
+    path = _folder(spark, "a4")
+    sources.save_graph(*graph.remap_node_ids(frame(spark, d, fx.USER_FLOW)), path)
+    edges, nodes = sources.load_saved_graph(spark, path)
+    return edges.join(nodes.toDF("src", "src_id"), "src").select("src", "tgt", "weight", "src_id")
+
+
+@query(
+    """SELECT STRFTIME(stamp, '%Y%m%dT%H%M%SZ') || '-' || algo || '-' || dataset || '-s' || CAST(seed AS VARCHAR) || '-' || SUBSTRING(config_hash, 1, 6) AS exp_id,
+  algo, dataset, seed, score, wall_clock_s, git_commit, 'spark' AS engine, CAST(NULL AS VARCHAR) AS cuda FROM r""",
+    r=fx.RUNS,
+)
+def a6_run_records(spark, d):
+    path = _folder(spark, "a6")
+    sources.write_runs(history.build_records(frame(spark, d, fx.RUNS), F.col("stamp"), {"python": "3", "jax_or_torch": "spark", "cuda": None, "gpu": "none"}), path)
+    back = sources.read_runs(spark, path, multi_line=False)
+    return back.select("exp_id", "algo", "dataset", "seed", "score", "wall_clock_s", "git_commit", F.col("env.jax_or_torch").alias("engine"), F.col("env.cuda").alias("cuda"))
+
+
+@query("SELECT node, pos FROM p WHERE run = 'scatter'", p=fx.POSITIONS_BY_RUN)
+def a7_positions(spark, d):
+    path = _folder(spark, "a7")
+    sources.write_positions(frame(spark, d, fx.POSITIONS_BY_RUN), path)
+    return sources.read_positions(spark, path, "scatter").select("node", "pos")
+
+
+@query("SELECT run, CAST(COUNT(*) AS BIGINT) AS n, MAX(score) AS best FROM h GROUP BY run", h=fx.HISTORY)
+def a8_result_table(spark, d):
+    path = _folder(spark, "a8")
+    sources.write_table(frame(spark, d, fx.HISTORY).groupBy("run").agg(F.count("*").alias("n"), F.max("score").alias("best")), path, "csv")
+    return spark.read.schema("run bigint, n bigint, best double").option("header", True).csv(path)
+
+
+@query("SELECT exp_id, src_region, tgt_region, value FROM raw WHERE exp_id % 3 = 2 AND exp_id % 2 = 1", raw=fx.PROJECTIONS)
+def a9_projections(spark, d):
+    path = _folder(spark, "a9")
+    rows = frame(spark, d, fx.PROJECTIONS).selectExpr("exp_id", "src_region", "tgt_region", "INT(exp_id % 3) AS hemisphere", "value", "exp_id % 2 = 0 AS cre")
+    rows.write.option("header", True).csv(path)
+    return sources.read_projections(spark, path, hemisphere=2, cre=False).select("exp_id", "src_region", "tgt_region", "value")
+
+
 # --- preparation -----------------------------------------------------------------------------------------------------
 
 DEGREES = """deg AS (SELECT node, CAST(SUM(1 - o) AS BIGINT) AS in_deg, CAST(SUM(o) AS BIGINT) AS out_deg, COUNT(*) AS total_deg,
@@ -218,6 +287,11 @@ def c8_reciprocity(spark, d):
     return rounded(graph.reciprocity(frame(spark, d, fx.STEPS)), "bidirectional_pct")
 
 
+@query()
+def c2_graph_summary(spark, d):
+    return components.graph_summary(frame(spark, d, fx.NATION_FLOW))
+
+
 @query()
 def c9_scc(spark, d):
     return components.strongly_connected_components(frame(spark, d, fx.UP_FLOW.replace("src % 7 < tgt % 7", "src % 7 <= tgt % 7")))
@@ -772,7 +846,7 @@ def i14_mean_norm(spark, d):
 
 @query()
 def i15_geometry_sweep(spark, d):
-    return geometry.geometry_sweep(_features(spark, d), ["he_normal", "constant_small"], [2], 32)
+    return geometry.geometry_sweep(_features(spark, d), ["he_normal", "constant_small"], [2], 32, curve_depth=2)
 
 
 @query(

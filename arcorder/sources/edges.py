@@ -66,11 +66,13 @@ def load_saved_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes")
 
 
-def read_runs(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).json(glob, multiLine=True)
+def read_runs(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+    """Run records, one JSON object a file; multi_line=False for the lines that write_runs makes."""
+    return spark.read.schema(RUN_SCHEMA).json(glob, multiLine=multi_line)
 
 
 def write_runs(records: DataFrame, path: str) -> None:
+    """One JSON object a line, appended to what the folder holds; nulls are written out."""
     records.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
