@@ -58,9 +58,10 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed_sample(df: DataFrame, key: str, rows: int, seed: int = 1) -> DataFrame:
-    """About `rows` rows of df (all if it has fewer), chosen by a hash of the key, the same on every run.
+    """About `rows` rows of df with a key (all if it has fewer), chosen by a hash of the key, the same on every run.
 
     The share follows from the table's count, so the sample stays bounded however large the table is.
     """
+    df = df.where(F.col(f"`{key}`").isNotNull())
     share = min(1.0, rows / max(1, df.count()))
     return df if share == 1 else df.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), F.lit(1_000_000_007)) < int(share * 1_000_000_007))

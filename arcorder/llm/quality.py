@@ -43,7 +43,12 @@ def indicators(off: np.ndarray, raw: np.ndarray) -> Iterator[np.ndarray]:
         again = np.zeros(len(h), dtype=np.uint64)
         again[1:] += (h[1:] == h[:-1]).astype(np.uint64)
         again[2:] += np.uint64(2) * (h[2:] == h[:-2]).astype(np.uint64)
+        # a text's first words repeat nothing, and its first word starts a line, whatever stands before it in the batch
+        head = first[:-1][np.diff(first) > 0]
+        again[head] = 0
+        again[first[:-1][np.diff(first) > 1] + 1] %= 2
         line = (raw[np.maximum(starts - 1, 0)] == 10).astype(np.uint64)
+        line[head] = 1
         shape = size
         for value, width in ((_kind[raw[starts]], 8), (_kind[raw[np.minimum(starts + 1, ends - 1)]], 8), (last, 8), (second, 8), (again, 4), (line, 2)):
             shape = shape * np.uint64(width) + value

@@ -37,6 +37,14 @@ def test_slices_of_a_batch_hold_all_rows():
     assert [r for p in split_batch(batch, 0, 8) for r in p.column(0).to_pylist()] == ["x" * n for n in (100, 0, 7)]
 
 
+def test_indicators_do_not_depend_on_the_batch():
+    texts = ["b b\na", "a a b", None, "b", "", "b b"]
+    alone = [next(iter(quality.indicators(*raw([t])))).tolist() for t in texts]
+    assert [s.tolist() for s in quality.indicators(*raw(texts))] == alone
+    together = toxicity.word_rows(*raw(texts))
+    assert together[1].tolist() == [3, 3, 1, 1, 1, 2]
+
+
 def test_forest_joins():
     f = Forest(6)
     f.join(np.array([5, 4]), np.array([4, 3]))

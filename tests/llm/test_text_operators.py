@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -15,14 +16,24 @@ from arcorder.llm import bpe, components, embedding_dedup, exact_dedup, html_tex
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@functools.cache
+def own():
+    return bpe.Bpe(bpe.read_vocabulary(PATH))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(PATH)
+    return library()
 
 
 @pytest.fixture(scope="module")
 def model():
-    return bpe.Bpe(bpe.read_vocabulary(PATH))
+    return own()
 
 
 @pytest.fixture(scope="module")
@@ -37,13 +48,10 @@ HARD = ["", None, "a   b", "foo\n \nbar", "x \n y", "it's 's\n's", "<|endoftext|
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join))
 def test_bpe_equals_the_library(text):
-    t, m = Tokenizer.from_file(PATH) if not hasattr(test_bpe_equals_the_library, "t") else test_bpe_equals_the_library.t, None
-    test_bpe_equals_the_library.t = t
-    m = test_bpe_equals_the_library.__dict__.setdefault("m", bpe.Bpe(bpe.read_vocabulary(PATH)))
-    ids = np.frombuffer(m.encode([text])[0], "<u4")
-    want = t.encode(text, add_special_tokens=False).ids
+    ids = np.frombuffer(own().encode([text])[0], "<u4")
+    want = library().encode(text, add_special_tokens=False).ids
     assert ids.tolist() == want
-    assert m.decode_bytes(ids).decode("utf-8", "replace") == t.decode(want, skip_special_tokens=False)
+    assert own().decode_bytes(ids).decode("utf-8", "replace") == library().decode(want, skip_special_tokens=False)
 
 
 def test_bpe_on_hard_texts_and_with_full_caches(model, tokenizer, monkeypatch):
