@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from arcorder.functions.columns import normal, uniform
 from arcorder.operators.graph import degrees, nodes_of, normalise_weights
 from arcorder.operators.ranking import global_rank
 from arcorder.operators.score import score_runs, surrogate_gradient
-from arcorder.operators.storage import written
+from arcorder.operators.storage import shared_dir, written
 
 
 @dataclass
@@ -208,33 +209,105 @@ def order_greedy(edges: DataFrame, use_abs: bool = False, graph: str = "graph_id
     return edges.select(graph, "src", "tgt", F.col("weight").cast("double").alias("weight")).groupBy(graph).applyInPandas(place, schema)
 
 
-def order_peeled(edges: DataFrame, share: float = 0.3, rounds: int = 60) -> DataFrame:
-    """(node, rank) for one large graph, in bulk: sources go to the front and sinks to the back, else the share of nodes of highest out - in."""
-    rest = written(edges.select("src", "tgt", "weight").where("src <> tgt"), "peel-edges")
+def _hanging(rest: DataFrame, d: DataFrame, side: int) -> DataFrame:
+    """(node, depth) of the sources (side 0) or sinks (side 1) and all nodes that hang on one by chains of single edges.
+
+    The one edge of a node is its pointer, and pointers are doubled, so a chain of n nodes takes log2(n) joins.
+    """
+    near, far, deg = ("tgt", "src", "in_deg") if side == 0 else ("src", "tgt", "out_deg")
+    ends = d.where(f"{deg} = 0").select("node", F.lit(0).cast("long").alias("depth"))
+    single = rest.join(d.where(f"{deg} = 1").select(F.col("node").alias(near)), near)
+    ptr = written(single.select(F.col(near).alias("node"), F.col(far).alias("up"), F.lit(1).cast("long").alias("depth")), "peel-pointers")
+    for _ in range(max(1, ptr.count()).bit_length()):  # pointers on a cycle never end, all others have by then
+        moved = ptr.join(ptr.toDF("up", "_up", "_depth"), "up", "left").withColumn("_moved", F.col("_up").isNotNull())
+        moved = written(moved.select("node", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "_moved"), "peel-pointers")
+        ptr = moved.drop("_moved")
+        if not moved.where("_moved").limit(1).count():
+            break
+    return ends.unionByName(ptr.join(ends.select(F.col("node").alias("up")), "up", "left_semi").select("node", "depth"))
+
+
+def _peel_small(share: float, first: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The rounds of order_peeled from round `first` on, for edges that fit one task."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        out: dict[int, list[tuple[int, float]]] = {}
+        into: dict[int, list[tuple[int, float]]] = {}
+        diff: dict[int, float] = {}
+        for u, v, w in zip(table["src"].tolist(), table["tgt"].tolist(), table["weight"].tolist(), strict=True):
+            out.setdefault(u, []).append((v, w))
+            into.setdefault(v, []).append((u, w))
+            diff[u], diff[v] = diff.get(u, 0.0) + w, diff.get(v, 0.0) - w
+        in_deg, out_deg = {u: len(into.get(u, ())) for u in diff}, {u: len(out.get(u, ())) for u in diff}
+        left, rows, i = set(diff), [], first
+        ends = [u for u in left if not in_deg[u] or not out_deg[u]]
+        while left:
+            if ends:
+                chosen = [(u, 0 if not in_deg[u] else 1) for u in ends]
+            else:
+                ordered = sorted(diff[u] for u in left)
+                cut = ordered[max(0, math.ceil((1 - share) * len(ordered)) - 1)]
+                chosen = [(u, 0) for u in left if diff[u] >= cut]
+            rows += [(u, side, i, diff[u]) for u, side in chosen]
+            left.difference_update(u for u, _ in chosen)
+            touched = set()
+            for u, _ in chosen:
+                for v, w in out.get(u, ()):
+                    in_deg[v], diff[v] = in_deg[v] - 1, diff[v] + w
+                    touched.add(v)
+                for v, w in into.get(u, ()):
+                    out_deg[v], diff[v] = out_deg[v] - 1, diff[v] - w
+                    touched.add(v)
+            ends = [u for u in touched if u in left and (not in_deg[u] or not out_deg[u])]
+            i += 1
+        return pd.DataFrame(rows, columns=["node", "side", "round", "diff"])
+
+    return run
+
+
+def order_peeled(edges: DataFrame, share: float = 0.3, small: int = 200_000) -> DataFrame:
+    """(node, rank) for one large graph, in bulk: sources go to the front and sinks to the back, else the share of nodes of highest out - in.
+
+    Rounds go on until every node is placed. Where a round of sources and sinks follows another, the chains of single
+    edges that hang on them are placed with them; once at most `small` edges are left, one task runs the rounds that remain.
+    """
+    spark = edges.sparkSession
+    rest = written(edges.select("src", "tgt", F.col("weight").cast("double").alias("weight")).where("src <> tgt"), "peel-edges")
     left = written(nodes_of(edges), "peel-nodes")
-    placed = []
-    for i in range(rounds):
+    placed = f"{shared_dir(spark)}/peel-placed-{uuid.uuid4().hex}"
+    schema = f"node {edges.schema['src'].dataType.simpleString()}, side int, round long, diff double"
+
+    def place(rows: DataFrame) -> None:
+        rows.select("node", F.col("side").cast("int").alias("side"), F.col("round").cast("long").alias("round"), F.col("diff").cast("double").alias("diff")).write.mode("append").parquet(placed)
+
+    i, again = 0, False
+    while True:
         d = written(degrees(rest).select("node", "in_deg", "out_deg", (F.col("out_w") - F.col("in_w")).alias("diff")), "peel-degrees")
-        alone = left.join(d, "node", "left_anti")
-        placed.append(alone.select("node", F.lit(0).alias("side"), F.lit(i).alias("round"), F.lit(0.0).alias("diff")))
-        if not d.limit(1).count():
-            left = None
+        place(left.join(d, "node", "left_anti").select("node", F.lit(0).alias("side"), F.lit(i).alias("round"), F.lit(0.0).alias("diff")))
+        n = rest.count()
+        if n <= small:
+            if n:
+                place(rest.groupBy(F.lit(0).alias("_all")).applyInPandas(_peel_small(share, i), schema))
             break
-        ends = d.where("in_deg = 0 OR out_deg = 0")
-        if ends.limit(1).count():
-            chosen = ends.select("node", F.when(F.col("in_deg") == 0, 0).otherwise(1).alias("side"), F.lit(i).alias("round"), F.col("diff").cast("double").alias("diff"))
+        steps, ends = 1, d.where("in_deg = 0 OR out_deg = 0")
+        found = bool(ends.limit(1).count())
+        if found and again:
+            both = _hanging(rest, d, 0).withColumn("side", F.lit(0)).unionByName(_hanging(rest, d, 1).withColumn("side", F.lit(1)))
+            one = both.groupBy("node").agg(F.min(F.struct("side", "depth")).alias("p")).select("node", "p.side", "p.depth")
+            chosen = one.join(d.select("node", "diff"), "node").select("node", "side", (F.lit(i) + F.col("depth")).alias("round"), "diff")
+        elif found:
+            chosen = ends.select("node", F.when(F.col("in_deg") == 0, 0).otherwise(1).alias("side"), F.lit(i).alias("round"), "diff")
         else:
             cut = d.agg(F.percentile_approx("diff", F.lit(1 - share), F.lit(10000)).alias("_cut"))
-            chosen = d.crossJoin(F.broadcast(cut)).where("diff >= _cut").select("node", F.lit(0).alias("side"), F.lit(i).alias("round"), F.col("diff").cast("double").alias("diff"))
+            chosen = d.crossJoin(F.broadcast(cut)).where("diff >= _cut").select("node", F.lit(0).alias("side"), F.lit(i).alias("round"), "diff")
         chosen = written(chosen, "peel-chosen")
-        placed.append(chosen)
+        place(chosen)
+        if found and again:
+            steps = chosen.agg(F.max("round")).first()[0] - i + 1
         left = written(d.select("node").join(chosen, "node", "left_anti"), "peel-nodes")
         rest = written(rest.join(chosen.select(F.col("node").alias("src")), "src", "left_anti").join(chosen.select(F.col("node").alias("tgt")), "tgt", "left_anti"), "peel-edges")
-    if left is not None:
-        placed.append(left.select("node", F.lit(0).alias("side"), F.lit(rounds).alias("round"), F.lit(0.0).alias("diff")))
-    out = placed[0]
-    for part in placed[1:]:
-        out = out.unionByName(part)
+        i, again = i + steps, found
+    out = spark.read.schema(schema).parquet(placed)
     return global_rank(out, F.col("side"), F.when(F.col("side") == 0, F.col("round")).otherwise(-F.col("round")), F.desc("diff"), F.col("node")).select("node", "rank")
 
 

@@ -133,6 +133,32 @@ def test_searches_return_permutations_and_never_lose(spark):
     assert pct == sorted(pct) and score.score_runs(edges, best).first()["pct"] == pytest.approx(pct[-1])
 
 
+@pytest.mark.parametrize("small", [200_000, 40])
+def test_peeling_places_deep_graphs_whole(spark, small):
+    """A path, a tree and a ladder deeper than any fixed number of rounds are acyclic: all weight points forward."""
+    ids = random.Random(3).sample(range(10_000), 800)
+    path = [(ids[i], ids[i + 1], 1) for i in range(399)]
+    ladder = [(ids[400 + i], ids[400 + i + k], 2) for i in range(200) for k in (1, 2)] if small > 40 else []
+    tree = [(ids[600 + i // 2], ids[601 + i], 3) for i in range(100)]
+    edges = spark.createDataFrame(path + ladder + tree, "src long, tgt long, weight long")
+    order = search.order_peeled(edges, small=small)
+    nodes = {x for e in path + ladder + tree for x in e[:2]}
+    assert {r["node"] for r in order.collect()} == nodes and sorted(r["rank"] for r in order.collect()) == list(range(len(nodes)))
+    assert score.score_from_order(edges, order).first()["pct"] == 100
+
+
+def test_peeling_in_one_task_and_in_rounds_score_alike(spark):
+    rng = random.Random(8)
+    cyclic = [(a, b, rng.randint(1, 9)) for a in range(60) for b in rng.sample(range(60), 4)] + [(100 + i, 101 + i, 1) for i in range(90)] + [(190, 0, 5)]
+    edges = spark.createDataFrame(cyclic, "src long, tgt long, weight long")
+    pct = []
+    for small in (200_000, 0):
+        order = search.order_peeled(edges, small=small)
+        assert sorted(r["rank"] for r in order.collect()) == list(range(151))
+        pct.append(score.score_from_order(edges, order).first()["pct"])
+    assert min(pct) > 60 and abs(pct[0] - pct[1]) < 5
+
+
 def test_beta_schedule_and_learning_rate():
     betas = search.cyclic_betas(20_000, 5)
     assert len(betas) == 20_000 and min(betas) == pytest.approx(0.05) and max(betas) == pytest.approx(1.05)
