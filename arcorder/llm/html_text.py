@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +24,10 @@ from arcorder.llm.common import hashed_sample, split_batch, unused_name
 
 #: Labelled pages that the weights are fitted on.
 SAMPLE = 400
+#: The rest of a self-closed tag; a slash that ends an unquoted value is part of the value.
+SELF_CLOSED = r"(?:[^\s\"'>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+|\s++|/(?!>))*+/>"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|select|(?:svg|iframe)(?!{SELF_CLOSED}))(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -32,7 +35,7 @@ ATTRIBUTES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 #: Elements that are no main text, by name, and names of classes, ids and roles that say so.
 ASIDE_TAGS = {"head", "nav", "footer", "aside", "form", "button", "menu", "dialog", "header"}
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w*|shar(?:e|ing)|social|related|recommend\w*|"
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w*|shar(?:e|ing)|social|related|recommend\w*|"
     r"sidebar|aside|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|repl(?:y|ies)|disqus|log-?in|sign-?up|search|pag(?:er|ination)|pop-?up|modal|toolbar|widget|"
     r"complementary|contentinfo)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -42,18 +45,40 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HOLDERS = {"html", "body", "article", "main"}
+#: Elements whose end tag is optional: the start tags that end them, and the open elements that these don't reach across.
+LISTS, TABLE = {"ul", "ol", "menu"}, {"table"}
+CLOSED_BY = {
+    "p": (BLOCKS - {"body", "caption", "html", "tbody", "td", "tfoot", "th", "thead", "tr"} | {"menu", "dialog"}, {"button", "td", "th", "caption", "table"}),
+    "li": ({"li"}, LISTS),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, TABLE),
+    "th": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, TABLE),
+    "tr": ({"tr", "tbody", "thead", "tfoot"}, TABLE),
+    "tbody": ({"tbody", "tfoot"}, TABLE),
+    "thead": ({"tbody", "tfoot"}, TABLE),
+    "option": ({"option", "optgroup"}, {"select", "datalist"}),
+}
+CLOSES = {n: {k for k, (by, _) in CLOSED_BY.items() if n in by} for n in set().union(*[by for by, _ in CLOSED_BY.values()])}
+HEAD_ONLY = {"base", "link", "meta"}
+CELLS = {"td", "th", "caption"}
+TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "body", "html"}
+BARS = {b: {k for k, (_, within) in CLOSED_BY.items() if b in within} for b in set().union(*[within for _, within in CLOSED_BY.values()])}
 
 Token = tuple[str, str, int]  # kind (its weight's name), text, number of words
 
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    at, aside, depth, linked, in_article = 0, "", 0, 0, 0
+    at, linked, in_article = 0, 0, 0
+    opened: list[str] = []  # names of the open elements
+    count: Counter[str] = Counter()
+    aside = -1  # place in `opened` of the element that is no main text
 
     def text(a: int, b: int) -> None:
         if b > a and (raw := page[a:b]) and not raw.isspace():
             said = html_lib.unescape(raw) if "&" in raw else raw
-            out.append(("aside" if aside else "link" if linked else "word", said, len(said.split())))
+            out.append(("aside" if aside >= 0 else "link" if linked else "word", said, len(said.split())))
         elif b > a:
             out.append(("space", " ", 0))
 
@@ -64,19 +89,21 @@ def tokens(page: str) -> list[Token]:
         if not name:
             continue
         closing = bool(m[2])
-        if name in HOLDERS and not closing:
-            aside, depth = "", 0
-        if aside:
-            if name == aside:
-                depth += -1 if closing else 1
-                if not depth:
-                    aside = ""
-        elif not closing and name not in HOLDERS and name not in VOID:
-            named = name in ASIDE_TAGS and not (name == "header" and in_article)
-            if not named and m[4] and "=" in m[4]:
-                named = any(ASIDE_NAMES.search(x[0] or x[1] or x[2]) for x in ATTRIBUTES.findall(m[4]))
-            if named and not m[4].endswith("/"):
-                aside, depth = name, 1
+        if closing:
+            end_element(opened, count, name)
+        else:
+            end_implied(opened, count, name)
+        if len(opened) <= aside or name in HOLDERS and not closing:
+            aside = -1
+        if not closing and name not in VOID and not m[4].endswith("/"):
+            if aside < 0 and name not in HOLDERS:
+                named = name in ASIDE_TAGS and not (name == "header" and in_article)
+                if not named and "=" in m[4]:
+                    named = any(ASIDE_NAMES.search(x[0] or x[1] or x[2]) for x in ATTRIBUTES.findall(m[4]))
+                if named:
+                    aside = len(opened)
+            opened.append(name)
+            count[name] += 1
         if name == "a":
             linked = 0 if closing else 1
         if name in ("article", "main"):
@@ -86,6 +113,39 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
+def cut_stack(opened: list[str], count: Counter[str], i: int) -> None:
+    count.subtract(opened[i:])
+    del opened[i:]
+
+
+def end_implied(opened: list[str], count: Counter[str], name: str) -> None:
+    """Takes from the open elements those that the start tag of `name` ends."""
+    if opened and opened[-1] == "head" and name not in HEAD_ONLY:
+        cut_stack(opened, count, len(opened) - 1)
+    can = {k for k in CLOSES.get(name, ()) if count[k]}
+    i = len(opened) - 1
+    while can and i >= 0:
+        inner = opened[i]
+        if inner in can:
+            cut_stack(opened, count, i)
+        can -= BARS.get(inner, set())
+        can = {k for k in can if count[k]}
+        i -= 1
+
+
+def end_element(opened: list[str], count: Counter[str], name: str) -> None:
+    """An end tag ends the nearest open element of its name and all in it; an inline one ends none across a block, none ends across a cell but a table's."""
+    if not count[name]:
+        return
+    for i in range(len(opened) - 1, -1, -1):
+        inner = opened[i]
+        if inner == name:
+            cut_stack(opened, count, i)
+            return
+        if name not in BLOCKS and name not in ASIDE_TAGS and inner in BLOCKS or inner in CELLS and name not in TABLE_PARTS:
+            return
+
+
 def score(weights: dict[str, float], token: Token) -> float:
     kind, _, words = token
     return weights.get(kind, -1.0) * (words if words else 1)

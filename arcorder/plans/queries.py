@@ -498,12 +498,13 @@ def f8_adam_step(spark, d):
     return search.adam_step(state, grad, 0.05, 1).select("node", F.round("pos", 5).alias("pos"), r6("m").alias("m"))
 
 
-SHORT = search.Config(epochs=6, cycles=1, log_interval=2, init_mode="degree_diff")
+#: The operators' own epochs and cycles: the fastest schedule has ten epochs for each half of a cycle.
+FULL = search.Config()
 
 
 @query()
 def f9_run_ordering(spark, d):
-    return search.run_ordering(frame(spark, d, fx.PART_FLOW), SHORT)[1].select("run", "iter", "score", "best_score", "pct", "best_pct", "beta", "lr")
+    return search.run_ordering(frame(spark, d, fx.PART_FLOW), FULL)[1].select("run", "iter", "score", "best_score", "pct", "best_pct", "beta", "lr")
 
 
 @query(
@@ -530,17 +531,17 @@ def f10_local_search(spark, d):
 
 @query()
 def f11_multi_start(spark, d):
-    return search.multi_start(frame(spark, d, fx.NATION_FLOW), [42, 123, 999], SHORT)
+    return search.multi_start(frame(spark, d, fx.PART_FLOW), [42, 123, 999], FULL)
 
 
 @query()
 def f12_init_ablation(spark, d):
-    return search.init_ablation(frame(spark, d, fx.NATION_FLOW), ["random", "uniform", "degree_diff"], SHORT).select("run", "score", "pct", "best")
+    return search.init_ablation(frame(spark, d, fx.PART_FLOW), ["random", "uniform", "degree_diff"], FULL).select("run", "score", "pct", "best")
 
 
 @query()
 def f13_beta_ablation(spark, d):
-    return search.beta_ablation(frame(spark, d, fx.NATION_FLOW), list(search.BETA_VARIANTS), SHORT)
+    return search.beta_ablation(frame(spark, d, fx.PART_FLOW), list(search.BETA_VARIANTS), FULL)
 
 
 @query()

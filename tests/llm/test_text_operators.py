@@ -295,6 +295,21 @@ def test_best_region_against_all_regions():
         assert score(a, b) == pytest.approx(best)
 
 
+def test_html_asides_end_with_their_elements():
+    said = lambda page: [w for kind, text, _ in html_text.tokens(page) if kind == "word" for w in text.split()]
+    assert said('<body><p class="notice">off<p>one</p><p>two</p></body>') == ["one", "two"]
+    assert said('<ul><li class="share">off<li>one</ul><p>two</p>') == ["one", "two"]
+    assert said('<div><span class="ads">off</div><p>one') == ["one"]
+    assert said('<ul class="menu"><li>off<ul><li>off</ul><li>off</ul><p>one') == ["one"]
+    assert said('<div class="sidebar"><div><p>off</div><p>off</div>one') == ["one"]
+    assert said("<table><tr><td class=ad>off<td>one<tr><td>two</table>three") == ["one", "two", "three"]
+    assert said("<head><meta charset=utf-8><p>one") == ["one"]
+    assert said('<div class="with-sidebar"><p class="no-ads has_menu">one</p></div>') == ["one"]
+    assert said('<p>one <svg class="i"/> two</p><p>three</p><iframe src="x" />four') == ["one", "two", "three", "four"]
+    assert said("<title-bar>one</title-bar> <svg-icon></svg-icon>two <svg><path d='M'/></svg>three") == ["one", "two", "three"]
+    assert said("one<iframe src=http://a/>off</iframe>two<svg a='/>'><text>off</text></svg>three") == ["one", "two", "three"]
+
+
 def test_html_job_on_odd_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "", ""), (4, "x", "<p>unclosed <b"), (5, "y", "<p>" + "word " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcorder.operators import components, graph, ranking, regions, score, search, stability
+from arcorder.plans import queries
 from arcorder.sources import edges as sources
 
 TINY = [(0, 1, 5), (0, 2, 3), (1, 2, 2), (2, 0, 4), (3, 1, 1), (2, 3, 6)]
@@ -166,6 +167,26 @@ def test_beta_schedule_and_learning_rate():
     assert search.learning_rate(cfg, 0) == cfg.lr and search.learning_rate(cfg, 100) == pytest.approx(cfg.lr * cfg.lr_end_factor)
 
 
+def test_registered_searches_are_whole(spark, monkeypatch):
+    """Each registered search runs all epochs on a graph that grows with the tables, and no two schedules of f13 are alike."""
+    seen = []
+
+    def caught(edges, runs, time_limit=None):
+        seen.append((edges, runs))
+        raise InterruptedError
+
+    monkeypatch.setattr(search, "search", caught)
+    for name in ("f9_run_ordering", "f11_multi_start", "f12_init_ablation", "f13_beta_ablation"):
+        with pytest.raises(InterruptedError):
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    for edges, runs in seen:
+        assert edges.count() > 625 and all((c.epochs, c.cycles) == (search.Config().epochs, search.Config().cycles) for _, c in runs.values())
+    betas = {v: tuple(round(b, 6) for b in c.betas(c.epochs)) for v, (_, c) in seen[-1][1].items()}
+    assert len(set(betas.values())) == len(search.BETA_VARIANTS) and min(betas["cyclic_fast"]) < 0.1
+    falls = [b < a for a, b in zip(betas["cyclic_fast"], betas["cyclic_fast"][1:])]
+    assert sum(a != b for a, b in zip(falls, falls[1:])) == 19
+
+
 def test_kendall_and_spearman_extremes(spark):
     rows = [("a", i, float(i)) for i in range(40)] + [("b", i, float(-i)) for i in range(40)] + [("c", i, float(i)) for i in range(40)]
     p = spark.createDataFrame(rows, "run string, node long, pos double")
