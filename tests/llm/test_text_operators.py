@@ -3,6 +3,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -272,31 +273,31 @@ text &lt;here&gt; with <b>bold</b> words and more words to read.<p>Second <a hre
 <section id="comments"><p>I disagree with this article a lot and say so at length here.</p></section><footer>&copy; footer words</footer></body>"""
 
 
+WANT = "The title\nFirst paragraph of text <here> with bold words and more words to read.\nSecond linked words paragraph, long enough.\nA quote of some length."
+
+
 def test_html_main_text():
-    found = html_text.tokens(PAGE)
     weights = html_text.fit_weights([PAGE] * 3)
-    a, b = html_text.best_region(found, weights)
-    want = "The title\nFirst paragraph of text <here> with bold words and more words to read.\nSecond linked words paragraph, long enough.\nA quote of some length."
-    assert html_text.region_text(found[a:b]) == want
     plain = PAGE.replace("<main><article>", "<div>").replace("</article></main>", "</div>")
-    found = html_text.tokens(plain)
-    a, b = html_text.best_region(found, weights)
-    assert html_text.region_text(found[a:b]) == want
+    for page in (PAGE, plain):
+        for w in (weights, html_text.Weights()):
+            assert html_text.main_text(page, w) == WANT
 
 
-def test_best_region_against_all_regions():
+def test_best_run_against_all_runs():
     rng = random.Random(3)
     for _ in range(50):
-        found = [(rng.choice(["word", "p", "li", "aside"]), "w", rng.choice([0, 1, 4])) for _ in range(15)]
-        w = html_text.first_weights()
-        score = lambda a, b: sum(html_text.score(w, t) for t in found[a:b])
-        a, b = html_text.best_region(found, w)
-        best = max([0.0, *(score(i, j) for i in range(15) for j in range(i + 1, 16))])
-        assert score(a, b) == pytest.approx(best)
+        values = [rng.choice([1.0, -0.25, -2.0, 0.0, 3.0]) for _ in range(15)]
+        a, b = html_text.best_run(values)
+        assert sum(values[a:b]) == max([0.0, *(sum(values[i:j]) for i in range(15) for j in range(i + 1, 16))])
+
+
+def said(page):
+    """Words that stand in nothing but a section."""
+    return [w for names, text, n in html_text.tokens(page) if n and html_text.Weights().of((names, "", 1)) > 0 for w in text.split()]
 
 
 def test_html_asides_end_with_their_elements():
-    said = lambda page: [w for kind, text, _ in html_text.tokens(page) if kind == "word" for w in text.split()]
     assert said('<body><p class="notice">off<p>one</p><p>two</p></body>') == ["one", "two"]
     assert said('<ul><li class="share">off<li>one</ul><p>two</p>') == ["one", "two"]
     assert said('<div><span class="ads">off</div><p>one') == ["one"]
@@ -308,6 +309,56 @@ def test_html_asides_end_with_their_elements():
     assert said('<p>one <svg class="i"/> two</p><p>three</p><iframe src="x" />four') == ["one", "two", "three", "four"]
     assert said("<title-bar>one</title-bar> <svg-icon></svg-icon>two <svg><path d='M'/></svg>three") == ["one", "two", "three"]
     assert said("one<iframe src=http://a/>off</iframe>two<svg a='/>'><text>off</text></svg>three") == ["one", "two", "three"]
+    assert said("one <!-- off > off --> two<!doctype x>three < four <5") == ["one", "two", "three", "<", "four", "<5"]
+    assert said("<table><tr><td>one<p>two</b></td></tr></table><b>three<td>four</b>five") == ["one", "two", "three", "four", "five"]
+
+
+@pytest.mark.parametrize("piece", ["<p class=x ", "<p a='\"x> ", "<b><i>", "<li><div class=a>", "<!-- x ", "<svg ", "</", "<b><td></b>", "<p><button><i>"])
+def test_html_of_broken_markup_takes_linear_time(piece):
+    page = "<p>one two three</p>" + piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    html_text.main_text(page, html_text.Weights())
+    assert time.process_time() - start < 8
+
+
+def stripped(page):
+    return re.sub("</?(article|main)[^>]*>", "", page)
+
+
+def f1(got, want):
+    both = sum((collections.Counter(got.split()) & collections.Counter(want.split())).values())
+    return 2 * both / max(1, len(got.split()) + len(want.split()))
+
+
+def test_the_scan_finds_the_labelled_region_of_pages_without_marks(spark):
+    """End to end on whole pages; without the scan, or with the weights the perceptron starts from, it doesn't."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
+    train, held = rows[::2], rows[1::2]
+    weights = html_text.fit_weights([r["html"] for r in train])
+    start = html_text.fit_weights([r["html"] for r in train], epochs=0)
+    want = [html_text.region_text(f[a:b], html_text.Weights()) for f, a, b in (html_text.labelled_page(r["html"]) for r in held)]
+    scores = {}
+    for name, how in (("whole", lambda p: html_text.main_text(p, weights)), ("unlearned", lambda p: html_text.main_text(p, start)), ("no scan", lambda p: html_text.region_text(html_text.tokens(p), weights))):
+        got = [how(stripped(r["html"])) for r in held]
+        scores[name] = np.mean([f1(g, w) for g, w in zip(got, want, strict=True)]), np.mean([g == w for g, w in zip(got, want, strict=True)])
+    assert scores["whole"][0] > 0.999 and scores["whole"][1] > 0.98
+    assert scores["no scan"][1] < 0.05 and scores["no scan"][0] < scores["whole"][0] - 0.02
+    assert scores["unlearned"][1] < 0.5
+
+
+def test_html_weights_do_not_depend_on_the_order_of_rows(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    one = html_text.fit(pages, "page_id", "html", sample=60)
+    two = html_text.fit(pages.orderBy(F.desc("html")).repartition(7), "page_id", "html", sample=60)
+    learned = html_text.fit(pages.unionByName(pages), "page_id", "html", sample=60, budget=1 << 17)
+    assert dict(one) == dict(two) and one["in:footer"] < -1 and learned
+
+
+def test_html_kept_names(spark):
+    df = spark.createDataFrame([(1, "<p>a", "x", "y")], "page_id long, html string, names string, html_ string")
+    assert html_text.extract(df).columns == ["page_id", "names", "html_", "text"]
+    with pytest.raises(ValueError):
+        html_text.extract(df.withColumnRenamed("names", "TEXT"), keep=["TEXT"])
 
 
 def test_html_job_on_odd_rows(spark):
