@@ -189,9 +189,46 @@ def test_ngram_join_defined_cases(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_depth_is_shortened_to_the_recall():
-    k = ngram_join.matched_depth(0.8)
-    assert 1 - (1 - 0.8**k) ** ngram_join.TRIES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** ngram_join.TRIES
+def test_ngram_join_keeps_links_of_texts_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(90)]
+    a, b = " ".join(words[:40]), " ".join(words[40:])
+    rows = [(3, a + " gg"), (4, b + " fourteen"), (5, a), (5, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.ngram_join(df).collect()}
+    assert out == {(3, 3, 1, True), (4, 4, 1, True), (5, 3, 1, False), (5, 4, 1, False)}
+    left = ngram_join.without_near_duplicates(df.select("*", F.lit(1).alias("id"), F.lit(2).alias("key")))
+    assert left.columns == ["doc_id", "text", "id", "key"] and {r["text"] for r in left.collect()} == {a + " gg", b + " fourteen"}
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    """A class that only has very like candidates stops at the full depth; others go on to the depth of the threshold."""
+    least = ngram_join.least_depth(0.8)
+    assert ngram_join.found_at(0.8, least) >= ngram_join.RECALL > ngram_join.found_at(0.8, least + 1)
+    for depth in range(least, ngram_join.DEPTH + 1):
+        assert ngram_join.found_at(ngram_join.enough(depth), depth) == pytest.approx(ngram_join.RECALL, abs=1e-9)
+    df = spark.createDataFrame(list(enumerate(near_texts())), "doc_id long, text string")
+    docs = df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("print"), F.lower("text").alias("text")).mapInArrow(ngram_join._signatures(5), "id long, print long, set binary, sig binary")
+    classes = docs.where("set IS NOT NULL").dropDuplicates(["set"]).select(F.col("id").alias("cls"), "set", "sig").cache()
+    found = ngram_join._candidates(classes, 0.5).collect()
+    assert ngram_join.least_depth(0.5) <= min(r["depth"] for r in found) < 6 and max(r["depth"] for r in found) == ngram_join.DEPTH
+    assert all(len(r["prefix"]) == r["depth"] for r in found)
+
+
+def test_ngram_join_against_all_pairs_of_the_tables(spark):
+    """Every link of sf0.01, by plain set overlap of all pairs that share a shingle."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r["doc_id"]: frozenset(shingles(r["text"])) for r in rows}
+    holders, shared = collections.defaultdict(list), collections.Counter()
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for h in holders.values():
+        shared.update((a, b) for k, a in enumerate(h) for b in h[k + 1 :])
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    want = collections.Counter(x for p in links for x in p)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(links) > 100 and all(got[i] <= want[i] for i in sets)
+    assert sum(got.values()) >= 0.999 * sum(want.values())
 
 
 @pytest.mark.parametrize("block", [4096, 40])
