@@ -1,17 +1,50 @@
-"""Null models and synthetic graphs, made by Spark at any size; every number depends on its key and the seed only."""
+"""Null models and synthetic graphs, made by Spark at any size; every number depends on its key and the seed only.
+
+The edges of a source come from a random stream of its own, keyed by (seed, source), by skips between hits, so the
+work is in proportion to nodes and edges and not to pairs of nodes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcorder.functions.columns import normal, uniform
 from arcorder.operators.ranking import global_rank
+from arcorder.operators.storage import written
+
+#: Hits that are drawn at once.
+STEP = 1 << 16
+
+
+def hits(rng: np.random.Generator, n: int, p: float) -> Iterator[np.ndarray]:
+    """The numbers below n that a coin of probability p picks, each on its own, in ascending order."""
+    if p <= 0 or n <= 0:
+        return
+    if p >= 1:
+        yield np.arange(n)
+        return
+    at = -1
+    while at < n:
+        many = int(min(STEP, 16 + 1.2 * p * (n - at)))
+        place = at + np.cumsum(rng.geometric(p, many))
+        at = int(place[-1])
+        yield place[place < n]
 
 
 def erdos_renyi(spark: SparkSession, n: int, density: float, seed: int = 42) -> DataFrame:
-    """(src, tgt): each ordered pair of distinct nodes with probability `density`; map-only over n * n ids."""
-    cells = spark.range(n * n).select(F.expr(f"id div {n}").alias("src"), (F.col("id") % n).alias("tgt"))
-    return cells.where((F.col("src") != F.col("tgt")) & (uniform(seed, "src", "tgt") < density))
+    """(src, tgt): each ordered pair of distinct nodes with probability `density`."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for src in f["id"].tolist():
+                for tgt in hits(np.random.default_rng([seed, src]), n - 1, density):
+                    yield pd.DataFrame({"src": src, "tgt": tgt + (tgt >= src)})
+
+    return spark.range(n).mapInPandas(run, "src long, tgt long")
 
 
 def power_law_degrees(spark: SparkSession, n: int, seed: int = 42, exponent: float = 2.3) -> DataFrame:
@@ -23,12 +56,30 @@ def power_law_degrees(spark: SparkSession, n: int, seed: int = 42, exponent: flo
 def synthetic_connectome(spark: SparkSession, n: int, density: float, mu: float, sigma: float, seed: int = 42) -> DataFrame:
     """(src, tgt, weight): power-law out-degrees, the same degrees permuted as in-degrees, log-normal weights.
 
-    P(edge) is the product of the two degrees scaled to the density, at most 0.95, and 0 on the diagonal.
+    P(edge) is the product of the two degrees scaled to the density, at most 0.95, and 0 on the diagonal. Targets of equal
+    in-degree are one class; a source picks places in each class, and a join turns places into nodes. The driver holds
+    one row for each distinct degree, of which there are fewer than the root of twice the sum of all degrees.
     """
     k = power_law_degrees(spark, n, seed)
-    shuffled = global_rank(k, F.xxhash64("node", F.lit(seed + 1)), F.col("node")).select(F.col("rank").alias("tgt"), F.col("degree").alias("k_in"))
-    total = k.agg((F.sum("degree").cast("double") * F.sum("degree") / (float(n) * n * density)).alias("_scale"))
-    cells = spark.range(n * n).select(F.expr(f"id div {n}").alias("src"), (F.col("id") % n).alias("tgt")).where("src <> tgt")
-    joined = cells.join(k.toDF("src", "k_out"), "src").join(shuffled, "tgt").crossJoin(F.broadcast(total))
-    p = F.least(F.col("k_out") * F.col("k_in") / F.col("_scale"), F.lit(0.95))
-    return joined.where(uniform(seed + 2, "src", "tgt") < p).select("src", "tgt", F.exp(mu + sigma * normal(seed + 3, "src", "tgt")).alias("weight"))
+    mixed = global_rank(k, F.xxhash64("node", F.lit(seed + 1)), F.col("node")).select(F.col("rank").alias("tgt"), F.col("degree").alias("k_in"))
+    placed = written(global_rank(mixed, "k_in", "tgt", name="place").select("place", "tgt"), "connectome-places")
+    sizes = sorted(tuple(r) for r in k.groupBy("degree").count().collect())
+    degree, size = (np.array([r[j] for r in sizes], dtype=np.int64) for j in (0, 1))
+    first = np.cumsum(size) - size
+    total = float((degree * size).sum())
+    scale = total * total / (float(n) * n * density)
+    sent = spark.sparkContext.broadcast((degree, size, first))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        degree, size, first = sent.value
+        for f in frames:
+            for src, k_out in zip(f["node"].tolist(), f["degree"].tolist(), strict=True):
+                rng = np.random.default_rng([seed + 2, src])
+                p = np.minimum(k_out * degree / scale, 0.95)
+                # how many of each class; which of them is drawn for the classes that have any
+                many = rng.binomial(size, p)
+                for c in np.flatnonzero(many):
+                    yield pd.DataFrame({"src": src, "place": first[c] + rng.choice(int(size[c]), int(many[c]), replace=False)})
+
+    drawn = k.mapInPandas(run, "src long, place long")
+    return drawn.join(placed, "place").where("src <> tgt").select("src", "tgt", F.exp(mu + sigma * normal(seed + 3, "src", "tgt")).alias("weight"))

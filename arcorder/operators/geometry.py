@@ -226,6 +226,7 @@ def silhouette(df: DataFrame, by: list[str] | None = None, vector: str = "e", bl
     def sums(t: pd.DataFrame) -> pd.DataFrame:
         out = []
         x = np.stack(t["v"].to_numpy())
+        square = np.einsum("ij,ij->i", x, x)
         a, b = t["a"].iloc[0], t["b"].iloc[0]
         left, right = np.flatnonzero(t["block"] == a), np.flatnonzero(t["block"] == b)
         for mine, others in [(left, right)] + ([(right, left)] if a != b else []):
@@ -235,8 +236,9 @@ def silhouette(df: DataFrame, by: list[str] | None = None, vector: str = "e", bl
             one = np.eye(len(labels))[code]
             for k in range(0, len(mine), 256):
                 part = mine[k : k + 256]
-                d = np.stack([np.sqrt(((x[others] - x[i]) ** 2).sum(1)) for i in part])
-                s = d @ one
+                d = square[part][:, None] + square[others][None, :] - 2 * (x[part] @ x[others].T)
+                d[part[:, None] == others[None, :]] = 0  # a row itself, whatever the products round to
+                s = np.sqrt(np.maximum(d, 0)) @ one
                 i, j = np.indices(s.shape)
                 out.append(pd.DataFrame({"id": t["id"].to_numpy()[part][i.ravel()], "label": t["label"].to_numpy()[part][i.ravel()], "other_label": labels[j.ravel()], "total": s.ravel()}))
         result = pd.concat(out) if out else pd.DataFrame({"id": [], "label": [], "other_label": [], "total": []})

@@ -63,6 +63,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the exact quantile of each name, between two neighbours in proportion; null for no rows.
+
+    The values are ranked by range partitions, so any number of distinct ones is fine.
+    """
+    ranked = global_rank(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v")), "_v", name="_r")
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("_n"))))
+
+    def at(rank):
+        return F.max(F.when(F.col("_r") == rank, F.col("_v")))
+
+    cells = []
+    for name, share in shares.items():
+        place = (F.col("_n") - 1) * share
+        cells += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_at_{name}")]
+    return ranked.agg(*cells).select(*[(F.col(f"_lo_{n}") + F.col(f"_at_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in shares])
+
+
 def degree_stats(edges: DataFrame) -> DataFrame:
     d = degrees(edges).agg(
         F.count("*").alias("n_nodes"),
@@ -77,13 +95,12 @@ def degree_stats(edges: DataFrame) -> DataFrame:
         F.count("*").alias("n_edges"),
         F.sum("weight").alias("total_weight"),
         F.min("weight").alias("weight_min"),
-        F.percentile("weight", F.lit(0.5)).alias("weight_median"),
         F.avg("weight").alias("weight_mean"),
         F.max("weight").alias("weight_max"),
-        F.percentile("weight", F.lit(0.99)).alias("weight_p99"),
     )
     n = F.col("n_nodes")
-    return d.crossJoin(w).withColumn("density", F.when(n > 1, F.col("n_edges") / (n * (n - 1))).otherwise(0.0))
+    cuts = quantiles(edges, "weight", {"weight_median": 0.5, "weight_p99": 0.99})
+    return d.crossJoin(w).crossJoin(cuts).withColumn("density", F.when(n > 1, F.col("n_edges") / (n * (n - 1))).otherwise(0.0))
 
 
 def sources(edges: DataFrame) -> DataFrame:
@@ -129,13 +146,13 @@ def reciprocity(edges: DataFrame) -> DataFrame:
 def hubs(edges: DataFrame, p: float = 0.9) -> DataFrame:
     """Nodes whose in-degree reaches the exact percentile over all nodes."""
     d = degrees(edges).select("node", "in_deg")
-    return d.crossJoin(F.broadcast(d.agg(F.percentile("in_deg", F.lit(p)).alias("_cut")))).where("in_deg >= _cut").drop("_cut")
+    return d.crossJoin(F.broadcast(quantiles(d, "in_deg", {"_cut": p}))).where("in_deg >= _cut").drop("_cut")
 
 
 def rich_club(edges: DataFrame) -> DataFrame:
     """phi(k) for k from 1 to below int(p95 of total degree), by suffix sums over two histograms."""
     d = degrees(edges).select("node", "total_deg")
-    top = d.agg(F.percentile("total_deg", F.lit(0.95)).alias("p"), F.count("*").alias("n"))
+    top = quantiles(d, "total_deg", {"p": 0.95}).crossJoin(d.agg(F.count("*").alias("n")))
     m = edges.agg(F.count("*").alias("m"))
     ends = edges.join(d.toDF("src", "_s"), "src").join(d.toDF("tgt", "_t"), "tgt").select(F.least("_s", "_t").alias("k"), F.lit(1).alias("e"), F.lit(0).alias("v"))
     counts = ends.unionByName(d.select(F.col("total_deg").alias("k"), F.lit(0).alias("e"), F.lit(1).alias("v"))).groupBy("k").agg(F.sum("e").alias("e"), F.sum("v").alias("v"))

@@ -9,14 +9,16 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from arcorder.functions.columns import normal, uniform
+from arcorder.operators.components import hanging
 from arcorder.operators.graph import degrees, nodes_of, normalise_weights
 from arcorder.operators.ranking import global_rank
 from arcorder.operators.score import score_runs, surrogate_gradient
-from arcorder.operators.storage import shared_dir, written
+from arcorder.operators.storage import discard, shared_dir, written
 
 
 @dataclass
@@ -87,7 +89,7 @@ def search(edges: DataFrame, runs: dict[str, tuple[int, Config]], time_limit: fl
     """All runs (name: seed and settings, of equal epochs) at once -> best positions (run, node, pos) and history.
 
     An epoch is two joins of the edges with the positions and one sum by (run, node); nothing but one row for each
-    run and logged epoch comes to the driver.
+    run and logged epoch comes to the driver. On disk are the edges, the best positions and two states at most.
     """
     spark = edges.sparkSession
     first = next(iter(runs.values()))[1]
@@ -97,7 +99,7 @@ def search(edges: DataFrame, runs: dict[str, tuple[int, Config]], time_limit: fl
     for other in starts[1:]:
         state = state.unionByName(other)
     state = written(state.select("run", "node", "pos", F.lit(0.0).alias("m"), F.lit(0.0).alias("v")), "search-state")
-    best = state.select("run", "node", "pos")
+    best = written(state.select("run", "node", "pos"), "search-best")
     scores = {r["run"]: r for r in score_runs(norm, best).collect()}
     top = {run: scores[run]["score"] for run in runs}
     schedule = {run: (cfg.betas or (lambda t, c=cfg.cycles: cyclic_betas(t, c)))(cfg.epochs) for run, (_, cfg) in runs.items()}
@@ -108,7 +110,9 @@ def search(edges: DataFrame, runs: dict[str, tuple[int, Config]], time_limit: fl
         beta = F.element_at(F.create_map(*[F.lit(x) for run in runs for x in (run, schedule[run][i])]), F.col("run"))
         rate = F.element_at(F.create_map(*[F.lit(x) for run, (_, cfg) in runs.items() for x in (run, learning_rate(cfg, i))]), F.col("run"))
         grad = surrogate_gradient(norm, state.select("run", "node", "pos"), beta)
-        state = written(adam_step(state, grad, rate, i + 1, first.grad_clip), "search-state")
+        new = written(adam_step(state, grad, rate, i + 1, first.grad_clip), "search-state")
+        discard(state)
+        state = new
         if i % first.log_interval == 0 or i == first.epochs - 1:
             better = []
             for r in score_runs(norm, state.select("run", "node", "pos")).collect():
@@ -119,7 +123,10 @@ def search(edges: DataFrame, runs: dict[str, tuple[int, Config]], time_limit: fl
                 total = r["total_weight"]
                 history.append((run, i, float(r["score"]), float(top[run]), r["score"] * 100 / total, top[run] * 100 / total, schedule[run][i], time.time() - began, learning_rate(runs[run][1], i + 1)))
             if better:
-                best = best.where(~F.col("run").isin(better)).unionByName(state.where(F.col("run").isin(better)).select("run", "node", "pos"))
+                kept = written(best.where(~F.col("run").isin(better)).unionByName(state.where(F.col("run").isin(better)).select("run", "node", "pos")), "search-best")
+                discard(best)
+                best = kept
+    discard(state, norm)
     columns = "run string, iter int, score double, best_score double, pct double, best_pct double, beta double, elapsed double, lr double"
     return best, spark.createDataFrame(history, columns)
 
@@ -169,65 +176,56 @@ def order_simple(edges: DataFrame, seed: int = 42) -> DataFrame:
     return order if scores.get("forward", 0) >= scores.get("reverse", 0) else order.select("node", (n - 1 - F.col("rank")).alias("rank"))
 
 
-def order_greedy(edges: DataFrame, use_abs: bool = False, graph: str = "graph_id", max_edges: int = 5_000_000) -> DataFrame:
-    """(graph, node, rank): exact greedy order of many small graphs, one group each.
+def order_greedy(edges: DataFrame, use_abs: bool = False, graph: str = "graph_id", max_edges: int = 50_000_000) -> DataFrame:
+    """(graph, node, rank): exact greedy order of many graphs, one group each.
 
-    The rule is sequential, so a graph must fit one task: one of more than max_edges is an error. For such a graph
-    see order_peeled.
+    The rule is sequential, so a graph must fit one task (about 300 bytes an edge): one of more than max_edges is an
+    error. For such a graph see order_peeled. Of equal nodes the smallest goes first; parallel edges are summed.
     """
     largest = edges.groupBy(graph).count().agg(F.max("count")).first()[0] or 0
     if largest > max_edges:
         raise ValueError(f"a graph has {largest} edges, more than {max_edges}: use order_peeled")
 
     def place(table: pd.DataFrame) -> pd.DataFrame:
-        diff: dict[int, float] = {}
-        around: dict[int, list[tuple[int, float]]] = {}
-        for u, v, w in zip(table["src"], table["tgt"], table["weight"], strict=True):
-            diff[u], diff[v] = diff.get(u, 0.0) + w, diff.get(v, 0.0) - w
-            around.setdefault(u, []).append((v, w))
-            around.setdefault(v, []).append((u, -w))
+        ids, at = np.unique(np.concatenate([table["src"].to_numpy(), table["tgt"].to_numpy()]), return_inverse=True)
+        n, w = len(ids), table["weight"].to_numpy()
+        u, v = at[: len(table)], at[len(table) :]
+        diff = np.bincount(u, w, n) - np.bincount(v, w, n)
+        # what the other end of each edge gains when this end is placed: an edge u -> v no longer is weight into v, nor weight out of u
+        near, far, gain = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([w, -w])
+        order = np.argsort(near, kind="stable")
+        first, far, gain = np.searchsorted(near[order], np.arange(n + 1)).tolist(), far[order].tolist(), gain[order].tolist()
+        diff, rank = diff.tolist(), [-1] * n
         key = abs if use_abs else float
-        heap = [(-key(d), u) for u, d in diff.items()]
+        heap = [(-key(d), x) for x, d in enumerate(diff)]
         heapq.heapify(heap)
-        rank: dict[int, int] = {}
-        front, back = 0, len(diff) - 1
+        front, back = 0, n - 1
         while heap:
-            k, u = heapq.heappop(heap)
-            if u in rank or -k != key(diff[u]):
+            k, x = heapq.heappop(heap)
+            if rank[x] >= 0 or -k != key(diff[x]):
                 continue
-            if use_abs and diff[u] <= 0:
-                rank[u], back = back, back - 1
+            if use_abs and diff[x] <= 0:
+                rank[x], back = back, back - 1
             else:
-                rank[u], front = front, front + 1
-            for v, w in around[u]:
-                if v not in rank:
-                    diff[v] += w  # an edge u -> v no longer counts as weight into v, one v -> u no longer as weight out of it
-                    heapq.heappush(heap, (-key(diff[v]), v))
-        return pd.DataFrame({graph: table[graph].iloc[0], "node": list(rank), "rank": list(rank.values())})
+                rank[x], front = front, front + 1
+            changed = set()
+            for i in range(first[x], first[x + 1]):
+                y = far[i]
+                if rank[y] < 0:
+                    diff[y] += gain[i]
+                    changed.add(y)
+            for y in changed:
+                heapq.heappush(heap, (-key(diff[y]), y))
+            if len(heap) > 4 * n + 64:  # mostly entries that were overtaken
+                heap = [(-key(d), y) for y, d in enumerate(diff) if rank[y] < 0]
+                heapq.heapify(heap)
+        return pd.DataFrame({graph: table[graph].iloc[0], "node": ids, "rank": rank})
 
     schema = f"{graph} {edges.schema[graph].dataType.simpleString()}, node long, rank long"
     return edges.select(graph, "src", "tgt", F.col("weight").cast("double").alias("weight")).groupBy(graph).applyInPandas(place, schema)
 
 
-def _hanging(rest: DataFrame, d: DataFrame, side: int) -> DataFrame:
-    """(node, depth) of the sources (side 0) or sinks (side 1) and all nodes that hang on one by chains of single edges.
-
-    The one edge of a node is its pointer, and pointers are doubled, so a chain of n nodes takes log2(n) joins.
-    """
-    near, far, deg = ("tgt", "src", "in_deg") if side == 0 else ("src", "tgt", "out_deg")
-    ends = d.where(f"{deg} = 0").select("node", F.lit(0).cast("long").alias("depth"))
-    single = rest.join(d.where(f"{deg} = 1").select(F.col("node").alias(near)), near)
-    ptr = written(single.select(F.col(near).alias("node"), F.col(far).alias("up"), F.lit(1).cast("long").alias("depth")), "peel-pointers")
-    for _ in range(max(1, ptr.count()).bit_length()):  # pointers on a cycle never end, all others have by then
-        moved = ptr.join(ptr.toDF("up", "_up", "_depth"), "up", "left").withColumn("_moved", F.col("_up").isNotNull())
-        moved = written(moved.select("node", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "_moved"), "peel-pointers")
-        ptr = moved.drop("_moved")
-        if not moved.where("_moved").limit(1).count():
-            break
-    return ends.unionByName(ptr.join(ends.select(F.col("node").alias("up")), "up", "left_semi").select("node", "depth"))
-
-
-def _peel_small(share: float, first: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _peel_small(share: float, first: int, use_abs: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The rounds of order_peeled from round `first` on, for edges that fit one task."""
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
@@ -245,9 +243,10 @@ def _peel_small(share: float, first: int) -> Callable[[pd.DataFrame], pd.DataFra
             if ends:
                 chosen = [(u, 0 if not in_deg[u] else 1) for u in ends]
             else:
-                ordered = sorted(diff[u] for u in left)
+                key = abs if use_abs else float
+                ordered = sorted(key(diff[u]) for u in left)
                 cut = ordered[max(0, math.ceil((1 - share) * len(ordered)) - 1)]
-                chosen = [(u, 0) for u in left if diff[u] >= cut]
+                chosen = [(u, int(use_abs and diff[u] <= 0)) for u in left if key(diff[u]) >= cut]
             rows += [(u, side, i, diff[u]) for u, side in chosen]
             left.difference_update(u for u, _ in chosen)
             touched = set()
@@ -265,9 +264,10 @@ def _peel_small(share: float, first: int) -> Callable[[pd.DataFrame], pd.DataFra
     return run
 
 
-def order_peeled(edges: DataFrame, share: float = 0.3, small: int = 200_000) -> DataFrame:
+def order_peeled(edges: DataFrame, share: float = 0.3, small: int = 200_000, use_abs: bool = False) -> DataFrame:
     """(node, rank) for one large graph, in bulk: sources go to the front and sinks to the back, else the share of nodes of highest out - in.
 
+    With use_abs, that is the share of highest |out - in|: to the front where it is positive, to the back where not.
     Rounds go on until every node is placed. Where a round of sources and sinks follows another, the chains of single
     edges that hang on them are placed with them; once at most `small` edges are left, one task runs the rounds that remain.
     """
@@ -287,25 +287,29 @@ def order_peeled(edges: DataFrame, share: float = 0.3, small: int = 200_000) ->
         n = rest.count()
         if n <= small:
             if n:
-                place(rest.groupBy(F.lit(0).alias("_all")).applyInPandas(_peel_small(share, i), schema))
+                place(rest.groupBy(F.lit(0).alias("_all")).applyInPandas(_peel_small(share, i, use_abs), schema))
             break
         steps, ends = 1, d.where("in_deg = 0 OR out_deg = 0")
         found = bool(ends.limit(1).count())
         if found and again:
-            both = _hanging(rest, d, 0).withColumn("side", F.lit(0)).unionByName(_hanging(rest, d, 1).withColumn("side", F.lit(1)))
+            both = hanging(rest, d, 0).withColumn("side", F.lit(0)).unionByName(hanging(rest, d, 1).withColumn("side", F.lit(1)))
             one = both.groupBy("node").agg(F.min(F.struct("side", "depth")).alias("p")).select("node", "p.side", "p.depth")
             chosen = one.join(d.select("node", "diff"), "node").select("node", "side", (F.lit(i) + F.col("depth")).alias("round"), "diff")
         elif found:
             chosen = ends.select("node", F.when(F.col("in_deg") == 0, 0).otherwise(1).alias("side"), F.lit(i).alias("round"), "diff")
         else:
-            cut = d.agg(F.percentile_approx("diff", F.lit(1 - share), F.lit(10000)).alias("_cut"))
-            chosen = d.crossJoin(F.broadcast(cut)).where("diff >= _cut").select("node", F.lit(0).alias("side"), F.lit(i).alias("round"), "diff")
+            keyed = d.withColumn("_key", F.abs("diff") if use_abs else F.col("diff"))
+            cut = keyed.agg(F.percentile_approx("_key", F.lit(1 - share), F.lit(10000)).alias("_cut"))
+            side = F.when(F.col("diff") <= 0, 1).otherwise(0) if use_abs else F.lit(0)
+            chosen = keyed.crossJoin(F.broadcast(cut)).where("_key >= _cut").select("node", side.alias("side"), F.lit(i).alias("round"), "diff")
         chosen = written(chosen, "peel-chosen")
         place(chosen)
         if found and again:
             steps = chosen.agg(F.max("round")).first()[0] - i + 1
+        before = left, rest, d, chosen
         left = written(d.select("node").join(chosen, "node", "left_anti"), "peel-nodes")
         rest = written(rest.join(chosen.select(F.col("node").alias("src")), "src", "left_anti").join(chosen.select(F.col("node").alias("tgt")), "tgt", "left_anti"), "peel-edges")
+        discard(*before)
         i, again = i + steps, found
     out = spark.read.schema(schema).parquet(placed)
     return global_rank(out, F.col("side"), F.when(F.col("side") == 0, F.col("round")).otherwise(-F.col("round")), F.desc("diff"), F.col("node")).select("node", "rank")

@@ -19,7 +19,7 @@ def spearman_pairs(positions: DataFrame) -> DataFrame:
     return _pairs(ranks_by_run(positions), "tied_rank").groupBy("run1", "run2").agg(F.corr("tied_rank1", "tied_rank2").alias("rho"))
 
 
-def kendall_pairs(positions: DataFrame, bits: int = 40) -> DataFrame:
+def kendall_pairs(positions: DataFrame) -> DataFrame:
     """(run1, run2, discordant, tau): tau-b. Strict inversions are counted bit by bit of the second rank, in n log n rows."""
     ranked = ranks_by_run(positions)
     dense = global_rank(ranked.select("run", "pos").distinct(), "run", "pos", name="_d")
@@ -28,7 +28,7 @@ def kendall_pairs(positions: DataFrame, bits: int = 40) -> DataFrame:
     rows = global_rank(pairs, "run1", "run2", "d1", "d2", "node", name="at")
     # a pair of rows is inverted at the highest bit where their second ranks differ, the earlier row holding the 1
     top = max(1, int(ranked.agg(F.max("d")).first()[0] or 0).bit_length())
-    levels = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(min(bits, top) - 1)))).select(
+    levels = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(top - 1)))).select(
         "run1", "run2", "at", "b", F.expr("shiftright(d2, b + 1)").alias("g"), F.expr("shiftright(d2, b) & 1").alias("one")
     )
     counted = running_total(levels, ["run1", "run2", "b", "g"], "at", "one")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from arcorder.functions import columns as fn
 from arcorder.functions.columns import equal_bins
 from arcorder.operators import components, generators, geometry, graph, history, regions, score, search, stability
 from arcorder.operators.storage import shared_dir
@@ -18,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, **tables: str):
+def query(sql: str | None = None, recursive: bool = False, **tables: str):
     """Register a query under its function's name; `tables` name the common table expressions of its SQL."""
 
     def add(fn):
@@ -26,7 +27,7 @@ def query(sql: str | None = None, **tables: str):
         if sql is not None:
             heads = ", ".join(f"{name} AS ({plain(text)})" for name, text in tables.items())
             # SQL that starts with a comma goes on with further common table expressions
-            ORACLES[fn.__name__] = (f"WITH {heads} " if heads else "") + sql.strip()
+            ORACLES[fn.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{heads} " if heads else "") + sql.strip()
         return fn
 
     return add
@@ -72,6 +73,26 @@ def a4_saved_graph(spark, d):
     return edges.join(nodes.toDF("src", "src_id"), "src").select("src", "tgt", "weight", "src_id")
 
 
+@query(
+    "SELECT s.idx AS src, t.idx AS tgt, weight FROM edges JOIN dict s ON edges.src = s.node JOIN dict t ON edges.tgt = t.node",
+    edges=fx.MIXED_FLOW, dict="SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM edges UNION SELECT tgt FROM edges)",
+)
+def a3_load_graph(spark, d):
+    path, edges = _folder(spark, "a3"), frame(spark, d, fx.MIXED_FLOW)
+    edges.toDF(*sources.CSV_COLUMNS).write.option("header", True).csv(path)
+    s = graph.degree_stats(edges).first()
+    return sources.load_graph(spark, "written", path, spec=sources.Dataset("csv", s["n_nodes"], s["n_edges"], s["total_weight"]))[0]
+
+
+@query("SELECT algo, dataset, seed, score, run_no AS n_epochs_done FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY algo, dataset ORDER BY score DESC, run_no) = 1", r=fx.RUNS)
+def a5_read_runs(spark, d):
+    """The best run of each group as one JSON file each, read back by a glob."""
+    path = _folder(spark, "a5")
+    best = history.best_of(frame(spark, d, fx.RUNS), ["algo", "dataset"], "score", "run_no").withColumnRenamed("run_no", "n_epochs_done")
+    best.select("algo", "dataset", "seed", "score", "n_epochs_done").write.option("maxRecordsPerFile", 1).json(path)
+    return sources.read_runs(spark, f"{path}/*.json").select("algo", "dataset", "seed", "score", "n_epochs_done")
+
+
 @query(
     """SELECT STRFTIME(stamp, '%Y%m%dT%H%M%SZ') || '-' || algo || '-' || dataset || '-s' || CAST(seed AS VARCHAR) || '-' || SUBSTRING(config_hash, 1, 6) AS exp_id,
   algo, dataset, seed, score, wall_clock_s, git_commit, 'spark' AS engine, CAST(NULL AS VARCHAR) AS cuda FROM r""",
@@ -256,7 +277,7 @@ def c6_weight_histogram(spark, d):
 @query(hist_sql("body", "weight", 30), edges=fx.PART_FLOW, body="SELECT weight FROM edges WHERE weight <= (SELECT QUANTILE_CONT(weight, 0.99) FROM edges)")
 def c6_body_histogram(spark, d):
     edges = frame(spark, d, fx.PART_FLOW)
-    cut = edges.agg(F.percentile("weight", F.lit(0.99)).alias("cut"))
+    cut = graph.quantiles(edges, "weight", {"cut": 0.99})
     return rounded(graph.histogram(edges.crossJoin(F.broadcast(cut)).where("weight <= cut"), "weight", 30), "lo")
 
 
@@ -287,19 +308,33 @@ def c8_reciprocity(spark, d):
     return rounded(graph.reciprocity(frame(spark, d, fx.STEPS)), "bidirectional_pct")
 
 
-@query()
+REACH = """, reach(a, b) AS (SELECT src, tgt FROM edges UNION SELECT reach.a, e.tgt FROM reach JOIN edges e ON reach.b = e.src),
+nodes AS (SELECT src AS node FROM edges UNION SELECT tgt FROM edges),
+scc AS (SELECT node, LEAST(node, COALESCE((SELECT MIN(r.b) FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a WHERE r.a = node), node)) AS component FROM nodes)"""
+
+
+@query(
+    f"""{REACH}, sizes AS (SELECT COUNT(*) AS size FROM scc GROUP BY component)
+SELECT (SELECT COUNT(*) FROM nodes) AS n_nodes, (SELECT COUNT(*) FROM edges) AS n_edges, COUNT(*) AS n_scc, MAX(size) AS largest_scc, ROUND(MAX(size) / CAST(SUM(size) AS DOUBLE), 9) AS largest_scc_frac FROM sizes""",
+    recursive=True, edges=fx.MIXED_FLOW,
+)
 def c2_graph_summary(spark, d):
-    return components.graph_summary(frame(spark, d, fx.NATION_FLOW))
+    out = components.graph_summary(frame(spark, d, fx.MIXED_FLOW))
+    return out.select("n_nodes", "n_edges", "n_scc", "largest_scc", F.round("largest_scc_frac", 9).alias("largest_scc_frac"))
 
 
-@query()
+@query(f"{REACH} SELECT node, component FROM scc", recursive=True, edges=fx.MIXED_FLOW)
 def c9_scc(spark, d):
-    return components.strongly_connected_components(frame(spark, d, fx.UP_FLOW.replace("src % 7 < tgt % 7", "src % 7 <= tgt % 7")))
+    return components.strongly_connected_components(frame(spark, d, fx.MIXED_FLOW))
 
 
-@query()
+@query(
+    f"""{REACH}, sizes AS (SELECT component, COUNT(*) AS size FROM scc GROUP BY component), top AS (SELECT * FROM sizes ORDER BY size DESC, component LIMIT 1)
+SELECT node, scc.component = top.component AS in_largest, ROUND(size / CAST((SELECT COUNT(*) FROM nodes) AS DOUBLE), 9) AS fraction FROM scc, top""",
+    recursive=True, edges=fx.PART_FLOW,
+)
 def c10_largest_scc(spark, d):
-    return components.largest_scc(frame(spark, d, fx.PART_FLOW))
+    return components.largest_scc(frame(spark, d, fx.PART_FLOW)).withColumn("fraction", F.round("fraction", 9))
 
 
 @deg_query("SELECT node, in_deg FROM deg WHERE in_deg >= (SELECT QUANTILE_CONT(in_deg, 0.9) FROM deg)")
@@ -324,14 +359,40 @@ def c13_lognormal_fit(spark, d):
     return rounded(graph.lognormal_fit(frame(spark, d, fx.PART_FLOW)), "mu", "sigma")
 
 
-@query()
+#: The coefficients of an approximation of the error function (within 1.5e-7), and Acklam's of the inverse normal.
+ERF = """(1 - EXP(-u * u) * (((((1.061405429 / (1 + 0.3275911 * u) - 1.453152027) / (1 + 0.3275911 * u) + 1.421413741) / (1 + 0.3275911 * u) - 0.284496736) / (1 + 0.3275911 * u)
+  + 0.254829592) / (1 + 0.3275911 * u)))"""
+
+
+@query(
+    f"""SELECT ROUND(MAX(GREATEST(r / n - f, f - (r - 1) / n)), 4) AS statistic FROM (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY lw) AS DOUBLE) AS r, CAST(COUNT(*) OVER () AS DOUBLE) AS n, 0.5 + 0.5 * SIGN(z) * {ERF} AS f
+  FROM (SELECT lw, z, ABS(z) / SQRT(CAST(2 AS DOUBLE)) AS u FROM (SELECT lw, (lw - AVG(lw) OVER ()) / STDDEV_POP(lw) OVER () AS z FROM logs)))""",
+    edges=fx.PART_FLOW, logs="SELECT LN(weight) AS lw FROM edges",
+)
 def c14_ks_normal(spark, d):
-    return geometry.ks_normal(frame(spark, d, fx.PART_FLOW).select(F.ln("weight").alias("lw")), "lw")
+    return geometry.ks_normal(frame(spark, d, fx.PART_FLOW).select(F.ln("weight").alias("lw")), "lw").select(F.round("statistic", 4).alias("statistic"))
 
 
-@query()
+def _horner(x: str, coefficients: tuple[float, ...]) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + {c!r}"
+    return f"({out})"
+
+
+QUANTILE = f"""CASE WHEN p < {fn.ACKLAM_TAIL} THEN {_horner("t", fn.ACKLAM_C)} / {_horner("t", fn.ACKLAM_D)} WHEN p > 1 - {fn.ACKLAM_TAIL} THEN -{_horner("t", fn.ACKLAM_C)} / {_horner("t", fn.ACKLAM_D)}
+  ELSE (p - 0.5) * {_horner("((p - 0.5) * (p - 0.5))", fn.ACKLAM_A)} / {_horner("((p - 0.5) * (p - 0.5))", fn.ACKLAM_B)} END"""
+
+
+@query(
+    f"""SELECT "rank", ROUND(sample, 6) AS sample, ROUND({QUANTILE}, 6) AS theoretical FROM (SELECT *, SQRT(-2 * LN(LEAST(p, 1 - p))) AS t FROM (
+  SELECT *, CASE WHEN "rank" = 0 THEN 1 - POW(0.5, 1 / n) WHEN "rank" = n - 1 THEN POW(0.5, 1 / n) ELSE ("rank" + 1 - 0.3175) / (n + 0.365) END AS p FROM (
+    SELECT ROW_NUMBER() OVER (ORDER BY lw) - 1 AS "rank", lw AS sample, CAST(COUNT(*) OVER () AS DOUBLE) AS n FROM logs)))""",
+    edges=fx.USER_FLOW, logs="SELECT LN(weight) AS lw FROM edges",
+)
 def c15_qq_points(spark, d):
-    return geometry.qq_points(frame(spark, d, fx.USER_FLOW).select(F.ln("weight").alias("lw")), "lw")
+    return rounded(geometry.qq_points(frame(spark, d, fx.USER_FLOW).select(F.ln("weight").alias("lw")), "lw"), "sample", "theoretical")
 
 
 @deg_query("SELECT node, ROUND(in_deg / (SELECT AVG(in_deg) FROM deg), 6) AS in_degree_ratio FROM deg")
@@ -353,11 +414,30 @@ def n1_erdos_renyi(spark, d):
     return graph.degrees(generators.erdos_renyi(spark, s["n_nodes"], s["density"]).withColumn("weight", F.lit(1)))
 
 
+@query("SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS twice, TRUE AS dense_enough FROM (SELECT src FROM edges UNION SELECT tgt FROM edges)", edges=fx.PART_FLOW)
+def n1_erdos_renyi_holds(spark, d):
+    """What must hold of a random graph of the table's size: no loops, no edge twice, its density within five standard deviations."""
+    s = graph.degree_stats(frame(spark, d, fx.PART_FLOW)).first()
+    n, p = s["n_nodes"], s["density"]
+    edges = generators.erdos_renyi(spark, n, p)
+    counts = edges.agg(F.count("*").alias("m"), F.count_if(F.col("src") == F.col("tgt")).alias("loops")).crossJoin(edges.distinct().agg(F.count("*").alias("different")))
+    spread = 5 * (n * (n - 1) * p * (1 - p)) ** 0.5
+    return counts.select(F.lit(n).cast("long").alias("n"), "loops", (F.col("m") - F.col("different")).alias("twice"), (F.abs(F.col("m") - n * (n - 1) * p) < spread).alias("dense_enough"))
+
+
 @query()
 def n2_power_law_degrees(spark, d):
     return generators.power_law_degrees(spark, graph.nodes_of(frame(spark, d, fx.PART_FLOW)).count())
 
 
+@query("SELECT COUNT(*) AS n, TRUE AS bounded, TRUE AS tail_holds FROM (SELECT src FROM edges UNION SELECT tgt FROM edges)", edges=fx.PART_FLOW)
+def n2_power_law_holds(spark, d):
+    """All degrees lie between 1 and n - 1, and the share of those above 4 is the law's within five standard deviations."""
+    k = n2_power_law_degrees(spark, d)
+    n, tail = k.count(), 4.5**-1.3
+    return k.agg(F.count("*").alias("n"), F.bool_and(F.col("degree").between(1, n - 1)).alias("bounded"), (F.abs(F.count_if(F.col("degree") > 4) / n - tail) < 5 * (tail / n) ** 0.5).alias("tail_holds"))
+
+
 @query()
 def n3_synthetic_connectome(spark, d):
     edges = frame(spark, d, fx.USER_FLOW)
@@ -365,6 +445,20 @@ def n3_synthetic_connectome(spark, d):
     return generators.synthetic_connectome(spark, s["n_nodes"], s["density"], fit["mu"], fit["sigma"])
 
 
+@query("SELECT CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS twice, TRUE AS inside, TRUE AS weights_hold FROM (SELECT 1)")
+def n3_synthetic_holds(spark, d):
+    """No loops, no edge twice, ids below n, and the mean log weight is mu within five standard deviations."""
+    edges = frame(spark, d, fx.USER_FLOW)
+    n, fit, made = graph.nodes_of(edges).count(), graph.lognormal_fit(edges).first(), n3_synthetic_connectome(spark, d)
+    mean = F.avg(F.ln("weight"))
+    counts = made.agg(
+        F.count_if(F.col("src") == F.col("tgt")).alias("loops"), F.count("*").alias("m"), F.max(F.greatest("src", "tgt")).alias("top"),
+        (F.abs(mean - fit["mu"]) < 5 * fit["sigma"] / F.sqrt(F.count("*"))).alias("weights_hold"),
+    )
+    different = made.select("src", "tgt").distinct().agg(F.count("*").alias("different"))
+    return counts.crossJoin(different).select("loops", (F.col("m") - F.col("different")).alias("twice"), (F.col("top") < n).alias("inside"), "weights_hold")
+
+
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 JOINED = "joined AS (SELECT edges.*, s.pos AS ps, t.pos AS pt FROM edges JOIN p s ON src = s.node JOIN p t ON tgt = t.node)"
@@ -460,14 +554,50 @@ def f1_simple(spark, d):
     return search.order_simple(frame(spark, d, fx.PART_FLOW))
 
 
-@query()
+ORDER_HOLDS = """SELECT COUNT(*) AS n, TRUE AS permutation, TRUE AS good FROM (SELECT src FROM edges UNION SELECT tgt FROM edges)"""
+
+
+def order_holds(edges, order, least):
+    """One row: the number of nodes, whether the ranks are 0 to n - 1 once each, and whether `least` percent of the weight points forward."""
+    shape = order.agg(F.count("*").alias("n"), (F.countDistinct("rank", "node") == F.count("*")).alias("once"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("rank").alias("ranks"))
+    pct = score.score_from_order(edges, order).select("pct")
+    whole = F.col("once") & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("ranks") == F.col("n"))
+    return shape.crossJoin(pct).select("n", whole.alias("permutation"), (F.col("pct") >= least).alias("good"))
+
+
+def _shares(edges):
+    """Half of what is no loop, in percent: the better of an order and its reverse reaches it."""
+    return 50.0 * edges.agg((F.sum(F.when(F.col("src") != F.col("tgt"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("s")).first()["s"]
+
+
+@query(ORDER_HOLDS, edges=fx.PART_FLOW)
+def f1_simple_holds(spark, d):
+    edges = frame(spark, d, fx.PART_FLOW)
+    return order_holds(edges, f1_simple(spark, d), _shares(edges))
+
+
+#: One node a step of every graph at once: the one of highest out - in weight among the nodes left, the smallest of equals.
+GREEDY = """, nodes AS (SELECT graph_id, src AS node FROM edges UNION SELECT graph_id, tgt FROM edges),
+state(graph_id, node, step, back, rk) AS (
+  SELECT graph_id, node, CAST(0 AS BIGINT), COUNT(*) OVER (PARTITION BY graph_id) - 1, CAST(NULL AS BIGINT) FROM nodes
+  UNION ALL
+  (WITH open_ AS (SELECT * FROM state WHERE rk IS NULL),
+   diff AS (SELECT o.*, COALESCE((SELECT SUM(weight) FROM edges e JOIN open_ p ON p.graph_id = e.graph_id AND p.node = e.tgt WHERE e.graph_id = o.graph_id AND e.src = o.node), 0)
+      - COALESCE((SELECT SUM(weight) FROM edges e JOIN open_ p ON p.graph_id = e.graph_id AND p.node = e.src WHERE e.graph_id = o.graph_id AND e.tgt = o.node), 0) AS d FROM open_ o),
+   best AS (SELECT graph_id, node, {last} AS last_ FROM diff QUALIFY ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY {key} DESC, node) = 1)
+   SELECT o.graph_id, o.node, o.step + CASE WHEN last_ THEN 0 ELSE 1 END, o.back - CASE WHEN last_ THEN 1 ELSE 0 END, CASE WHEN b.node = o.node THEN CASE WHEN last_ THEN o.back ELSE o.step END END
+   FROM open_ o JOIN best b ON b.graph_id = o.graph_id))
+SELECT graph_id, node, rk AS "rank" FROM state WHERE rk IS NOT NULL"""
+
+
+@query(GREEDY.format(key="d", last="FALSE"), recursive=True, edges=fx.CUSTOMER_FLOW)
 def f2_greedy(spark, d):
-    return search.order_greedy(frame(spark, d, fx.YEAR_FLOW))
+    return search.order_greedy(frame(spark, d, fx.CUSTOMER_FLOW))
 
 
-@query()
+@query(GREEDY.format(key="ABS(d)", last="d <= 0"), recursive=True, edges=fx.CUSTOMER_FLOW)
 def f3_greedy_abs(spark, d):
-    return search.order_greedy(frame(spark, d, fx.YEAR_FLOW), use_abs=True)
+    return search.order_greedy(frame(spark, d, fx.CUSTOMER_FLOW), use_abs=True)
 
 
 @query()
@@ -475,6 +605,18 @@ def f2_peeled(spark, d):
     return search.order_peeled(frame(spark, d, fx.PART_FLOW))
 
 
+@query(ORDER_HOLDS, edges=fx.PART_FLOW)
+def f2_peeled_holds(spark, d):
+    edges = frame(spark, d, fx.PART_FLOW)
+    return order_holds(edges, f2_peeled(spark, d), _shares(edges))
+
+
+@query(ORDER_HOLDS, edges=fx.PART_FLOW)
+def f3_peeled_abs_holds(spark, d):
+    edges = frame(spark, d, fx.PART_FLOW)
+    return order_holds(edges, search.order_peeled(edges, use_abs=True), _shares(edges))
+
+
 @deg_query("SELECT node, ROUND((out_w - in_w) / ((SELECT MAX(ABS(out_w - in_w)) FROM deg) + 0.00000001), 6) AS pos FROM deg")
 def f4_init_degree_diff(spark, d):
     return rounded(search.init_positions(frame(spark, d, fx.PART_FLOW), "degree_diff", noise=0), "pos")
@@ -529,6 +671,13 @@ def f10_local_search(spark, d):
     return search.local_search(frame(spark, d, fx.PART_FLOW), score.node_ranks(frame(spark, d, fx.POSITIONS)), rounds=2)
 
 
+@query("SELECT COUNT(*) AS n, TRUE AS permutation, TRUE AS good FROM p", p=fx.POSITIONS)
+def f10_local_search_holds(spark, d):
+    """The order is whole and scores no less than the one it starts from."""
+    edges, start = frame(spark, d, fx.PART_FLOW), score.node_ranks(frame(spark, d, fx.POSITIONS))
+    return order_holds(edges, f10_local_search(spark, d), score.score_from_order(edges, start).first()["pct"])
+
+
 @query()
 def f11_multi_start(spark, d):
     return search.multi_start(frame(spark, d, fx.PART_FLOW), [42, 123, 999], FULL)
@@ -544,9 +693,13 @@ def f13_beta_ablation(spark, d):
     return search.beta_ablation(frame(spark, d, fx.PART_FLOW), list(search.BETA_VARIANTS), FULL)
 
 
-@query()
+@query(
+    f""", {DEGREES}, p AS (SELECT node, (out_w - in_w) / ((SELECT MAX(ABS(out_w - in_w)) FROM deg) + 0.00000001) AS pos FROM deg), {JOINED},
+one AS ({SCORE} FROM joined) SELECT 'seed' || CAST(seed AS VARCHAR) AS run, one.* FROM one, (SELECT UNNEST([42, 123, 999]) AS seed)""",
+    edges=fx.PART_FLOW,
+)
 def f14_run_variant(spark, d):
-    return search.run_variant(frame(spark, d, fx.PART_FLOW), lambda e, s: search.init_positions(e, "degree_diff", s), [42, 123, 999])
+    return rounded(search.run_variant(frame(spark, d, fx.PART_FLOW), lambda e, s: search.init_positions(e, "degree_diff", s, noise=0.0), [42, 123, 999]), "pct")
 
 
 # --- histories and records -------------------------------------------------------------------------------------------
@@ -589,7 +742,7 @@ def g4_summarise_runs(spark, d):
 @query(
     """SELECT algo, dataset, config_hash, COUNT(*) AS n_seeds, ROUND(AVG(pct), 6) AS pct_mean, ROUND(STDDEV_SAMP(pct), 6) AS pct_std, ROUND(AVG(score), 3) AS score_mean,
   ROUND(STDDEV_SAMP(score), 3) AS score_std, ROUND(AVG(wall_clock_s), 6) AS wall_clock_mean, STRING_AGG(CAST(seed AS VARCHAR), ', ' ORDER BY seed) AS seeds,
-  (SELECT STRING_AGG(c, ', ' ORDER BY c) FROM (SELECT DISTINCT SUBSTRING(COALESCE(git_commit, 'n/a'), 1, 11) AS c FROM r q WHERE q.algo = r.algo AND q.dataset = r.dataset)) AS git_commits
+  (SELECT STRING_AGG(c, ', ' ORDER BY c) FROM (SELECT DISTINCT SUBSTRING(COALESCE(git_commit, 'n/a'), 1, 11) AS c FROM r q WHERE q.algo = r.algo AND q.dataset = r.dataset AND q.config_hash = r.config_hash)) AS git_commits
 FROM r GROUP BY algo, dataset, config_hash""",
     r=fx.RUNS,
 )
@@ -747,13 +900,17 @@ def i1_standardise(spark, d):
     return rounded(out.withColumn("k", F.col("k").cast("long")), "x")
 
 
+def _outputs(spark, d):
+    """A layer with an output for each customer."""
+    return spark.read.parquet(f"{d}/customer.parquet").count()
+
+
 @query()
 def i2_init_weights(spark, d):
-    df = _features(spark, d)
-    size = len(df.select("e").first()["e"])
+    size, outputs = len(_features(spark, d).select("e").first()["e"]), _outputs(spark, d)
     out = None
     for s in geometry.SCHEMES:
-        w = geometry.init_weights(spark, s, size, size).withColumn("scheme", F.lit(s))
+        w = geometry.init_weights(spark, s, size, size if s == "orthogonal" else outputs).withColumn("scheme", F.lit(s))
         out = w if out is None else out.unionByName(w)
     return out.groupBy("scheme").agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean"), r6(F.stddev_pop("w")).alias("std"), F.count_if(F.col("w") == 0).alias("zeros"))
 
@@ -761,18 +918,18 @@ def i2_init_weights(spark, d):
 @query()
 def i3_sample_marginal(spark, d):
     pool = graph.connectome_stats(frame(spark, d, fx.PART_FLOW))[1].select(F.col("weight_normed").alias("value"))
-    return geometry.sample_marginal(pool, 64, 32)
+    return geometry.sample_marginal(pool, 64, _outputs(spark, d))
 
 
 @query()
 def i4_sample_lognormal(spark, d):
     fit = graph.lognormal_fit(frame(spark, d, fx.PART_FLOW)).first()
-    return geometry.sample_lognormal(spark, fit["mu"], fit["sigma"], 64, 32)
+    return geometry.sample_lognormal(spark, fit["mu"], fit["sigma"], 64, _outputs(spark, d))
 
 
 @query()
 def i5_sample_degree(spark, d):
-    return geometry.sample_degree(graph.connectome_stats(frame(spark, d, fx.PART_FLOW))[0], 64, 32)
+    return geometry.sample_degree(graph.connectome_stats(frame(spark, d, fx.PART_FLOW))[0], 64, _outputs(spark, d))
 
 
 @query("SELECT id AS i, CAST(k AS BIGINT) AS j, ROUND(x * (SQRT(CAST(2 AS DOUBLE) / 64) / (SELECT STDDEV_POP(x) FROM flat)), 6) + 0 AS w FROM flat", f=fx.FEATURES, flat=FLAT)
@@ -781,16 +938,22 @@ def i6_match_variance(spark, d):
     return rounded(geometry.match_variance(cells.withColumn("j", F.col("j").cast("long")), (2 / 64) ** 0.5), "w")
 
 
-def _layers(spark, d, activation="post"):
-    df = _features(spark, d)
-    size = len(df.select("e").first()["e"])
-    layers = geometry.layer_matrices([geometry.init_weights(spark, "he_normal", size, 32, 1), geometry.init_weights(spark, "he_normal", 32, 32, 2)])
-    return geometry.forward_layers(df, layers, activation)
+#: Weights of two layers by their numbers, so that SQL can make them too.
+FIRST, SECOND = "CAST((i * 31 + j * 17) % 13 - 6 AS DOUBLE) / 10", "CAST((i * 7 + j * 5) % 11 - 5 AS DOUBLE) / 10"
+LAYER = """SELECT id, label, i, GREATEST(SUM(x * {w}), 0) AS x FROM (SELECT id, label, CAST(k AS BIGINT) AS j, x FROM {source}) t, (SELECT UNNEST(GENERATE_SERIES(0, 31)) AS i) GROUP BY id, label, i"""
 
 
-@query()
+@query(
+    """SELECT id, label, CAST(1 AS INTEGER) AS layer, ROUND(SUM(x), 6) AS total FROM one GROUP BY id, label
+UNION ALL SELECT id, label, CAST(2 AS INTEGER), ROUND(SUM(x), 6) FROM two GROUP BY id, label""",
+    f=fx.FEATURES, flat="SELECT id, label, generate_subscripts(e, 1) - 1 AS k, CAST(UNNEST(e) AS DOUBLE) AS x FROM f", one=LAYER.format(w=FIRST, source="flat"), two=LAYER.format(w=SECOND, source="(SELECT id, label, i AS k, x FROM one)"),
+)
 def i7_forward_layers(spark, d):
-    return _layers(spark, d).select("id", "label", "layer", r6(F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    df = _features(spark, d)
+    size = len(df.select("e").first()["e"])
+    made = [spark.range(32 * n).selectExpr(f"id div {n} AS i", f"id % {n} AS j").selectExpr("i", "j", f"{w} AS w") for w, n in ((FIRST, size), (SECOND, 32))]
+    layers = geometry.forward_layers(df, geometry.layer_matrices(made))
+    return layers.select("id", "label", "layer", r6(F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 RELU = "SELECT id, label, CASE WHEN x > 0 THEN x ELSE 0 END AS x FROM flat"
@@ -817,6 +980,34 @@ def i10_pca(spark, d):
     return geometry.project(df, mean, parts).select("id", r6(F.col("e")[0]).alias("x"), r6(F.col("e")[1]).alias("y"))
 
 
+PLANE = """SELECT *, (sxx + syy) / 2 + SQRT(((sxx - syy) / 2) * ((sxx - syy) / 2) + sxy * sxy) AS l1, (sxx + syy) / 2 - SQRT(((sxx - syy) / 2) * ((sxx - syy) / 2) + sxy * sxy) AS l2
+FROM (SELECT VAR_SAMP(u) AS sxx, VAR_SAMP(v) AS syy, COVAR_SAMP(u, v) AS sxy, AVG(u) AS mu, AVG(v) AS mv FROM uv)"""
+UV = "SELECT id, CAST(e[1] AS DOUBLE) + 2 * CAST(e[2] AS DOUBLE) AS u, CAST(e[2] AS DOUBLE) - CAST(e[3] AS DOUBLE) / 2 AS v FROM f"
+
+
+def _plane(spark, d):
+    """Two dimensions made of three, where the axes are known in closed form."""
+    return _features(spark, d).withColumn("e", F.array(F.get("e", F.lit(0)) + 2 * F.get("e", F.lit(1)), F.get("e", F.lit(1)) - F.get("e", F.lit(2)) / 2))
+
+
+@query(
+    """SELECT id, ROUND(((u - mu) * a + (v - mv) * b) / h, 6) + 0 AS x, ROUND(((u - mu) * c + (v - mv) * d) / h, 6) + 0 AS y FROM uv, (
+  SELECT *, SQRT(a * a + b * b) AS h, CASE WHEN ABS(b) > ABS(a) THEN b * SIGN(b) ELSE -b * SIGN(a) END AS c, CASE WHEN ABS(b) > ABS(a) THEN -a * SIGN(b) ELSE a * SIGN(a) END AS d
+  FROM (SELECT mu, mv, CASE WHEN ABS(p) >= ABS(sxy) THEN p * SIGN(p) ELSE p * SIGN(sxy) END AS a, CASE WHEN ABS(p) >= ABS(sxy) THEN sxy * SIGN(p) ELSE sxy * SIGN(sxy) END AS b FROM (SELECT *, l1 - syy AS p FROM plane)))""",
+    f=fx.FEATURES, uv=UV, plane=PLANE,
+)
+def i10_pca_plane(spark, d):
+    df = _plane(spark, d)
+    mean, parts, _ = geometry.pca(df, 2)
+    return geometry.project(df, mean, parts).select("id", (r6(F.col("e")[0]) + 0).alias("x"), (r6(F.col("e")[1]) + 0).alias("y"))
+
+
+@query("SELECT CAST(CASE WHEN l1 / (l1 + l2) >= 0.9 THEN 1 ELSE 2 END AS INTEGER) AS effective_rank, ROUND(l1 / (l1 + l2), 6) AS first_ratio FROM plane", f=fx.FEATURES, uv=UV, plane=PLANE)
+def i11_effective_rank_plane(spark, d):
+    ratios = geometry.pca(_plane(spark, d), 2)[2]
+    return spark.range(1).select(F.lit(geometry.effective_rank(ratios)).alias("effective_rank"), F.lit(round(float(ratios[0]), 6)).alias("first_ratio"))
+
+
 @query()
 def i11_effective_rank(spark, d):
     df = _features(spark, d)
@@ -847,7 +1038,7 @@ def i14_mean_norm(spark, d):
 
 @query()
 def i15_geometry_sweep(spark, d):
-    return geometry.geometry_sweep(_features(spark, d), ["he_normal", "constant_small"], [2], 32, curve_depth=2)
+    return geometry.geometry_sweep(_features(spark, d), list(geometry.SCHEMES), [1, 3], 32, curve_depth=3)
 
 
 @query(

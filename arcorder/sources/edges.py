@@ -33,9 +33,10 @@ DATASETS = {"connectome": Dataset("csv", 136_648, 5_657_719, 41_912_141), "mouse
 
 
 def read_edges_csv(spark: SparkSession, path: str, columns: tuple[str, str, str] = CSV_COLUMNS, weight: str = "bigint") -> DataFrame:
-    """A CSV with header, gzip or not; repartitioned, as one gzip file is one task."""
+    """A CSV with header, gzip or not; dealt out evenly, as one gzip file is one task and one source may have most edges."""
     schema = ", ".join(f"`{c}` {k}" for c, k in zip(columns, ("bigint", "bigint", weight), strict=True))
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).toDF("src", "tgt", "weight").repartition(F.col("src"))
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).toDF("src", "tgt", "weight")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_edges_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +45,9 @@ def read_edges_tsv(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("tgt"), F.col("p")[2].cast("double").alias("weight"))
 
 
-def load_graph(spark: SparkSession, name: str, path: str, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+def load_graph(spark: SparkSession, name: str, path: str, validate: bool = True, spec: Dataset | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges over dense ids and the node dictionary of a named graph; a mismatch with what it should hold is an error."""
-    spec = DATASETS[name]
+    spec = spec or DATASETS[name]
     raw = read_edges_csv(spark, path) if spec.loader == "csv" else read_edges_tsv(spark, path)
     if validate:
         got = raw.agg(F.count("*").alias("edges"), F.sum("weight").alias("total")).crossJoin(nodes_of(raw).agg(F.count("*").alias("nodes"))).first()
