@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arcorder.operators import components, graph, ranking, regions, score, search, stability
+from arcorder.operators import components, generators, graph, ranking, regions, score, search, stability, storage
 from arcorder.plans import queries
 from arcorder.sources import edges as sources
 
@@ -219,3 +220,120 @@ def test_empty_graph(spark):
     none = spark.createDataFrame([], "src long, tgt long, weight long")
     assert graph.degrees(none).count() == 0 and components.strongly_connected_components(none).count() == 0
     assert graph.remap_node_ids(none)[0].count() == 0
+
+
+def tarjan_free(edges):
+    """Components by plain reachability: the smallest node that each node reaches and is reached by."""
+    nodes = {x for e in edges for x in e}
+    out = {u: {v for a, v in edges if a == u} for u in nodes}
+
+    def reach(u):
+        seen, todo = set(), [u]
+        while todo:
+            for v in out[todo.pop()] - seen:
+                seen.add(v)
+                todo.append(v)
+        return seen
+
+    r = {u: reach(u) for u in nodes}
+    return {u: min([u, *(v for v in r[u] if u in r[v])]) for u in nodes}
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_against_reachability(spark, small):
+    rng = random.Random(4)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(45)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)} | {(7, 100), (104, 200), (200, 201), (300, 300)}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, tgt long, weight double")
+    got = {r["node"]: r["component"] for r in components.strongly_connected_components(df, small=small).collect()}
+    assert got == tarjan_free(edges)
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_components_of_long_chains_take_few_rounds(spark, ring, monkeypatch):
+    n, tables = 1000, []
+    monkeypatch.setattr(components, "written", lambda df, name: tables.append(name) or storage.written(df, name))
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    pairs = list(zip(order, order[1:], strict=False)) + ([(order[-1], order[0])] if ring else [])
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, tgt long, weight double")
+    got = {r["node"]: r["component"] for r in components.strongly_connected_components(df, small=0).collect()}
+    assert got == ({u: 0 for u in order} if ring else {u: u for u in order})
+    assert tables.count("scc-labels") < 70 and tables.count("scc-edges") <= 3 and tables.count("peel-pointers") < 30
+
+
+def test_a_search_leaves_few_tables(spark, tmp_path):
+    old = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        df = spark.createDataFrame([(i % 7, (i * 3 + 1) % 7, float(i)) for i in range(30)], "src long, tgt long, weight double")
+        best, history = search.run_ordering(df, search.Config(epochs=8, log_interval=2))
+        assert best.count() == 7 and history.count() >= 4
+        assert len(list(tmp_path.iterdir())) == 1
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)
+
+
+def greedy_by_scan(edges, use_abs):
+    left, front, back = {x for u, v, _ in edges for x in (u, v)}, [], []
+    while left:
+        d = {x: sum(w for u, v, w in edges if u == x and v in left) - sum(w for u, v, w in edges if v == x and u in left) for x in left}
+        x = min(left, key=lambda y: (-(abs(d[y]) if use_abs else d[y]), y))
+        (back if use_abs and d[x] <= 0 else front).append(x)
+        left.remove(x)
+    return {x: i for i, x in enumerate(front + back[::-1])}
+
+
+@pytest.mark.parametrize("use_abs", [False, True])
+def test_greedy_against_plain_scans(spark, use_abs):
+    rng = random.Random(5)
+    rows = [(g, rng.randrange(12), rng.randrange(12), float(rng.randint(1, 4))) for g in range(5) for _ in range(40)]
+    rows = [r for r in rows if r[1] != r[2]]
+    got = search.order_greedy(spark.createDataFrame(rows, "graph_id int, src long, tgt long, weight double"), use_abs=use_abs).collect()
+    for g in range(5):
+        assert {r["node"]: r["rank"] for r in got if r["graph_id"] == g} == greedy_by_scan([r[1:] for r in rows if r[0] == g], use_abs)
+    with pytest.raises(ValueError):
+        search.order_greedy(spark.createDataFrame(rows, "graph_id int, src long, tgt long, weight double"), max_edges=10)
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_bulk_greedy_by_absolute_difference(spark, small):
+    rng = random.Random(8)
+    edges = [(rng.randrange(30), rng.randrange(30), float(rng.randint(1, 9))) for _ in range(150)]
+    df = spark.createDataFrame(edges, "src long, tgt long, weight double")
+    order = search.order_peeled(df, small=small, use_abs=True)
+    rank = {r["node"]: r["rank"] for r in order.collect()}
+    assert sorted(rank.values()) == list(range(len({x for e in edges for x in e[:2]})))
+    forward = sum(w for u, v, w in edges if rank[u] < rank[v])
+    assert forward > 0.6 * sum(w for u, v, w in edges if u != v)
+
+
+def test_generators_draw_what_they_should(spark):
+    rng = np.random.default_rng(1)
+    counts = [sum(len(x) for x in generators.hits(rng, 1000, 0.02)) for _ in range(400)]
+    assert abs(np.mean(counts) - 20) < 1 and abs(np.var(counts) - 19.6) < 6
+    assert np.concatenate(list(generators.hits(rng, 50, 1.0))).tolist() == list(range(50)) and not list(generators.hits(rng, 50, 0.0))
+    e = generators.erdos_renyi(spark, 300, 0.05)
+    assert e.where("src = tgt OR tgt >= 300").count() == 0 and abs(e.count() - 300 * 299 * 0.05) < 400
+    assert {tuple(r) for r in e.collect()} == {tuple(r) for r in generators.erdos_renyi(spark.newSession(), 300, 0.05).repartition(3).collect()}
+    c = generators.synthetic_connectome(spark, 300, 0.03, 0.0, 1.0)
+    k = {r["node"]: r["degree"] for r in generators.power_law_degrees(spark, 300).collect()}
+    out = {r["src"]: r["count"] for r in c.groupBy("src").count().collect()}
+    assert np.corrcoef([k[i] for i in range(300)], [out.get(i, 0) for i in range(300)])[0, 1] > 0.8
+    assert c.count() == c.select("src", "tgt").distinct().count() and c.where("src = tgt OR tgt >= 300").count() == 0
+
+
+def test_quantiles_against_numpy(spark):
+    values = [random.Random(3).random() for _ in range(101)] + [0.5] * 7
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    got = graph.quantiles(df, "x", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}).first()
+    assert [got[k] for k in "abcd"] == pytest.approx(np.quantile(values, [0, 0.37, 0.5, 1]).tolist())
+    assert graph.quantiles(df.limit(0), "x", {"a": 0.5}).first()["a"] is None
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Elsewhere)
