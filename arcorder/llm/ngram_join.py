@@ -34,7 +34,7 @@ from arcorder.llm.components import components
 from arcorder.llm.hashing import Forest, grouped, mixed, shingle_sets
 
 TRIES, DEPTH, RECALL = 40, 8, 0.99999
-TILE = 512
+TILE = 1024
 _masks = np.random.default_rng(11).integers(0, 2**32, size=(2, TRIES * DEPTH), dtype=np.uint32)
 _masks[1] |= np.uint32(1)
 
