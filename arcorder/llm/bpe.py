@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import split_batch, unused_name
+from arcorder.llm.common import no_clash, split_batch, unused_name
 
 #: Fixed value: the pre-tokenising pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -293,8 +293,9 @@ class SharedVocabulary:
 
 
 def encode(df: DataFrame, vocabulary: SharedVocabulary, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """The columns in `keep` (all but the text if None) and the ids of each whole text as array<int>."""
+    """The columns in `keep` (all but the text if None) and the ids of each whole text as array<int>; a kept column named like the ids is an error."""
     keep = [c for c in df.columns if c not in (text, ids)] if keep is None else keep
+    no_clash(keep, ids)
     last = len(keep)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused_name(keep)))
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.array(F.lit(0)).alias(ids)).schema
@@ -314,6 +315,7 @@ def encode(df: DataFrame, vocabulary: SharedVocabulary, text: str = "text", ids:
 
 def decode(df: DataFrame, vocabulary: SharedVocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns and the text of each list of ids; bytes that are not UTF-8 become U+FFFD, null lists give ''."""
+    no_clash(df.columns, text)
     schema = df.withColumn(text, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from arcorder.operators.storage import written
 
-__all__ = ["bounded_rows", "byte_lengths", "hashed_sample", "split_batch", "table", "text_bytes", "unused_name", "written"]
+__all__ = ["bounded_rows", "byte_lengths", "hashed_sample", "no_clash", "split_batch", "table", "text_bytes", "unused_name", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,13 @@ def unused_name(taken: list[str], name: str = "text") -> str:
     return name
 
 
+def no_clash(keep: list[str], *made: str) -> None:
+    """An error if a kept column has the name of one that an operator makes."""
+    both = {c.lower() for c in keep} & {c.lower() for c in made}
+    if both:
+        raise ValueError(f"kept columns have names of the output: {', '.join(sorted(both))}")
+
+
 def byte_lengths(col: pa.Array) -> np.ndarray:
     off, _ = text_bytes(col)
     return np.diff(off)

@@ -60,9 +60,10 @@ def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text: Column = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     sha = F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
     name = unused_name(df.columns, "sha")
-    kept = found.where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    its_id, its_sha = (unused_name([*df.columns, name], n) for n in ("kept_id", "kept_sha"))
+    kept = found.where("kept").select(F.col(id_col).alias(its_id), F.col("text_sha256").alias(its_sha))
     rows = df.withColumn(name, sha)
-    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.col(name) == F.col("_kept_sha")), "left_semi")
+    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(its_id)) & (F.col(name) == F.col(its_sha)), "left_semi")
     # the same id with the same text: of such rows the join keeps all, so one must be chosen
     if found.where(F.col("keep_id").eqNullSafe(F.col(id_col)) & ~F.col("kept")).limit(1).count():
         rows = rows.dropDuplicates([id_col, name])

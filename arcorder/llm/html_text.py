@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import bounded_rows, hashed_sample, split_batch, unused_name
+from arcorder.llm.common import bounded_rows, hashed_sample, no_clash, split_batch, unused_name
 
 #: Labelled pages that the weights are fitted on, at most about, and their bytes in all.
 SAMPLE, BYTES = 400, 1 << 25
@@ -315,8 +315,7 @@ def fit(df: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE, budget:
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None, weights: Weights | None = None) -> DataFrame:
     """The columns in `keep` (all but the html if None) and the page's main text as `text`."""
     keep = [c for c in df.columns if c not in (html_col, "text")] if keep is None else keep
-    if any(c.lower() == "text" for c in keep):
-        raise ValueError("a kept column has the name of the output, text")
+    no_clash(keep, "text")
     weights = weights if weights is not None else Weights()
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias(unused_name(keep, "html")))
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text")).schema

@@ -6,8 +6,11 @@ neighbouring words are learned, on lines in which stretches of several languages
 Forward-backward gives each word's probabilities, for all lines of a batch at once; a text's language is the one with
 the largest sum over its words and the score is that sum's share.
 
-Trained by Adagrad on the log-likelihood of a bounded, hashed sample of SAMPLE documents; whole texts are labelled.
-Null texts and texts without a letter give 'und' with score 0. Rows are kept as they are.
+Trained by Adagrad on the log-likelihood of CHAINS lines of words, drawn from the whole texts of a bounded, hashed sample:
+about SAMPLE documents of each of the LANGUAGES most frequent languages, and BYTES bytes in all (one text has a sixteenth
+of them at most). The lexicon holds the sample's LEXICON most frequent words. Whole texts are labelled. Of languages with equal
+sums the first by name is chosen. Null texts and texts without a letter give 'und' with score 0. Rows are kept as they
+are; a kept column named lang_pred or score is an error.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import hashed_sample, split_batch, text_bytes, unused_name
+from arcorder.llm.common import bounded_rows, no_clash, split_batch, text_bytes, unused_name
 from arcorder.llm.hashing import mixed, word_hashes, word_spans
 
-#: Documents that the model is trained on, at most about.
-SAMPLE = 1_200
-BITS, LEXICON, WORDS = 16, 20_000, 240
+#: Documents of each language that the model is trained on, at most about; languages; bytes of all texts; chains of words.
+SAMPLE, LANGUAGES, BYTES, CHAINS = 400, 256, 1 << 25, 6_000
+BITS, LEXICON = 16, 20_000
 AFFIX = 4
 
 
@@ -139,23 +142,14 @@ class Crf:
         return [self.languages[i] for i in best], total[np.arange(len(best)), best] / np.maximum(total.sum(1), 1e-9)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Crf:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, budget: int = BYTES) -> Crf:
     """docs: the rows that may be learnt from, with null or known languages."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    some = hashed_sample(rows, "id", sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Up to WORDS words from evenly spaced stretches of each sampled text."""
-        for batch in batches:
-            texts = []
-            for text in batch.column(1).to_pylist():
-                words = text.split()
-                step = max(1, len(words) // WORDS)
-                texts.append(" ".join(w for i in range(0, len(words), 20 * step) for w in words[i : i + 20])[: 40 * WORDS])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["id", "text", "lang"])
-
-    got = sorted(tuple(r) for r in some.mapInArrow(run, rows.schema).collect())
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    rows = rows.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    shares = [x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, sample / r["count"]) * 1_000_000_007)))]
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000_007)) < F.element_at(F.create_map(*shares), F.col("lang"))) if shares else rows.limit(0)
+    got = sorted((r["id"], r["text"], r["lang"]) for r in bounded_rows(some, "text", 2 * sample * max(1, len(counts)), budget))
     languages = sorted({r[2] for r in got}) or ["und"]
     data = pa.array([r[1] for r in got], pa.string())
     off, raw = text_bytes(data) if got else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
@@ -171,7 +165,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rng = np.random.default_rng(6)
     chains = []
     starts_of = [np.flatnonzero(label == k) for k in range(len(languages))]
-    for _ in range(6000):
+    for _ in range(CHAINS):
         chain: list[int] = []
         own = int(rng.integers(len(languages)))
         mix = rng.random() < 0.5
@@ -186,6 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(df: DataFrame, crf: Crf, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in `keep`, lang_pred and score of each whole text."""
+    no_clash(keep, "lang_pred", "score")
     text = F.col(f"`{text_col}`").cast("string")
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(unused_name(keep, "letters")), F.lower(text).alias(unused_name(keep)))
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema

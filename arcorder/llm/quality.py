@@ -5,8 +5,9 @@ edges, length, line starts, repetition of the words before). An indicator is sca
 ratio between the classes and each text by the root of its number of indicators; a linear hinge-loss model is then
 fitted by dual coordinate descent, and a logistic link calibrated on a part that the fit did not see gives the score.
 
-The fit uses a bounded, hashed sample of SAMPLE labelled rows; scoring reads every whole text. Null, empty or
-wordless texts have no indicators and get the score of the intercept. Rows are kept as they are.
+The fit uses a bounded, hashed sample of SAMPLE labelled rows and BYTES bytes of text (one text has a sixteenth of them
+at most); scoring reads every whole text. Null, empty or wordless texts have no indicators and get the score of the
+intercept. Rows are kept as they are; a kept column named like the score is an error.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import hashed_sample, split_batch, text_bytes, unused_name
+from arcorder.llm.common import bounded_rows, hashed_sample, no_clash, split_batch, text_bytes, unused_name
 from arcorder.llm.hashing import SOLID, ngram_hashes, word_hashes, word_spans
 
-#: Labelled rows that the model is fitted on, at most about.
-SAMPLE = 8_000
+#: Labelled rows that the model is fitted on, at most about, and the bytes of their texts.
+SAMPLE, BYTES = 8_000, 1 << 25
 BITS = 17
 
 _kind = np.zeros(256, dtype=np.uint64)  # of a byte: 0 other, 1 lower, 2 upper, 3 digit, 4 end of a sentence, 5 beyond ASCII, 6 up mark or symbol
@@ -147,22 +148,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, sampl
     return texts.join(F.broadcast(some), "id").select("id", "label", "text")
 
 
-def fit(rows: DataFrame) -> Model:
-    """rows: (id, label, text), bounded."""
+def training_texts(rows: DataFrame, sample: int, budget: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of the sample, bounded in rows and bytes, in an order that depends on ids and texts only."""
+    got = bounded_rows(rows.select("id", "label", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", 2 * sample, budget)
+    return pa.array([r["text"] for r in got], pa.string()), np.array([r["label"] for r in got])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in split_batch(batch, 2):
-                sets = list(indicators(*text_bytes(part.column(2))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "label", "found"])
 
-    got = sorted((r["id"], r["label"], bytes(r["found"])) for r in rows.mapInArrow(run, "id long, label int, found binary").collect())
-    order = np.random.default_rng(5).permutation(len(got))
-    return fit_sets([np.frombuffer(got[i][2], dtype=np.int32) for i in order], np.array([got[i][1] for i in order]))
+def fit(rows: DataFrame, budget: int = BYTES) -> Model:
+    """rows: (id, label, text), a sample; what comes to the driver is bounded in rows and bytes."""
+    texts, labels = training_texts(rows, SAMPLE, budget)
+    sets = [s for i in range(0, len(texts), 256) for s in indicators(*text_bytes(texts[i : i + 256]))]
+    order = np.random.default_rng(5).permutation(len(sets))
+    return fit_sets([sets[i] for i in order], labels[order] if len(labels) else labels)
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The columns in `keep` and the score, the probability of label 1, of each whole text."""
+    no_clash(keep, score_col)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(unused_name(keep)))
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias(score_col)).schema
     sent = df.sparkSession.sparkContext.broadcast(model)

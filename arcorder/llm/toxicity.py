@@ -3,11 +3,12 @@
 Words are hashed into embedding tables whose rows are added: two of whole words, so that two words rarely share both,
 and one for each of the PREFIXES (first bytes of a word), so that words built on one stem are alike. Filters of
 several widths slide over the word vectors, each filter's largest value in the text is kept, and a linear layer gives
-the logit. The net is trained by back-propagation (Adagrad) on a bounded, hashed sample of SAMPLE labelled rows. On a
-part that training did not see, a threshold is found for each group of languages and mapped to a score of 0.7; a
+the logit. The net is trained by back-propagation (Adagrad) on a bounded, hashed sample of SAMPLE labelled rows and
+BYTES bytes of text (one text has a sixteenth of them at most). On a part that training did not see, a threshold is found for each group of languages and mapped to a score of 0.7; a
 text's group comes from the letters it uses, so the language column is no input.
 
-Whole texts are scored. Null, empty or wordless texts are read as one blank word. Rows are kept as they are.
+Whole texts are scored. Null, empty or wordless texts are read as one blank word. Rows are kept as they are; a kept
+column named like the score is an error.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import split_batch, text_bytes, unused_name
+from arcorder.llm.common import no_clash, split_batch, text_bytes, unused_name
 from arcorder.llm.hashing import mixed, word_hashes, word_spans
+from arcorder.llm.quality import training_texts
 
-#: Labelled rows that the net is trained on, at most about.
-SAMPLE = 6_000
+#: Labelled rows that the net is trained on, at most about, and the bytes of their texts.
+SAMPLE, BYTES = 6_000, 1 << 25
 BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7)
 TABLES = 2 + len(PREFIXES)
@@ -99,6 +101,24 @@ class Net:
     def logits(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.maximum(self.forward(rows, n)[0], 0) @ self.p["w"] + self.p["o"][0]
 
+    def gradients(self, rows: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of the weighted log loss and a small penalty on w: by parameter, and for the embeddings the positions and what each adds to its word's vector."""
+        top, x, at = self.forward(rows, n, where=True)
+        h = np.maximum(top, 0)
+        p = 1 / (1 + np.exp(-np.clip(h @ self.p["w"] + self.p["o"][0], -30, 30)))
+        d = ((p - y) * weight).astype(np.float32)
+        dz = d[:, None] * self.p["w"] * (top > 0)
+        g = {"w": h.T @ d + 1e-4 * self.p["w"], "o": np.array([d.sum()]), "b": dz.sum(0), "c": np.zeros_like(self.p["c"])}
+        touched, change = [], []
+        for k, width in enumerate(WIDTHS):
+            dk = dz[:, k * FILTERS : (k + 1) * FILTERS]
+            for o in range(width):
+                pos = at[k] + o
+                g["c"][k, o] = np.einsum("tfd,tf->df", x[pos], dk)
+                touched.append(pos.ravel())
+                change.append((dk[:, :, None] * self.p["c"][k, o].T[None]).reshape(-1, DIM))
+        return g, np.concatenate(touched), np.concatenate(change)
+
     def train(self, texts: list[tuple[np.ndarray, int]], y: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.08, seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
         seen = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
@@ -109,21 +129,7 @@ class Net:
             for i in range(0, len(order), batch):
                 part = order[i : i + batch]
                 rows, n = np.concatenate([texts[j][0] for j in part]), np.array([texts[j][1] for j in part])
-                top, x, at = self.forward(rows, n, where=True)
-                h = np.maximum(top, 0)
-                p = 1 / (1 + np.exp(-np.clip(h @ self.p["w"] + self.p["o"][0], -30, 30)))
-                d = ((p - y[part]) * weight[part] / len(part)).astype(np.float32)
-                dz = d[:, None] * self.p["w"] * (top > 0)
-                g = {"w": h.T @ d + 1e-4 * self.p["w"], "o": np.array([d.sum()]), "b": dz.sum(0), "c": np.zeros_like(self.p["c"])}
-                touched, change = [], []
-                for k, width in enumerate(WIDTHS):
-                    dk = dz[:, k * FILTERS : (k + 1) * FILTERS]
-                    for o in range(width):
-                        pos = at[k] + o
-                        g["c"][k, o] = np.einsum("tfd,tf->df", x[pos], dk)
-                        touched.append(pos.ravel())
-                        change.append((dk[:, :, None] * self.p["c"][k, o].T[None]).reshape(-1, DIM))
-                pos, change = np.concatenate(touched), np.concatenate(change)
+                g, pos, change = self.gradients(rows, n, y[part], weight[part] / len(part))
                 for name in ("w", "o", "b", "c"):
                     seen[name] += g[name] ** 2
                     self.p[name] -= rate * g[name] / np.sqrt(seen[name])
@@ -161,29 +167,21 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float((logits[order[k]] + below) / 2)
 
 
-def fit(rows: DataFrame) -> Net:
-    """rows: (id, label, text), bounded."""
-    rows = rows.select("id", "label", F.lower("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in split_batch(batch, 2):
-                off, raw = text_bytes(part.column(2))
-                words, n = word_rows(off, raw)
-                ends = np.cumsum(n + PAD)
-                cut = [words[b - m - PAD : b].tobytes() for b, m in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(cut, pa.binary()), pa.array(n), pa.array(groups_of(off, raw))], names=["id", "label", "words", "n", "letters"]
-                )
-
-    got = sorted((tuple(r) for r in rows.mapInArrow(run, "id long, label int, words binary, n long, letters long").collect()), key=lambda r: (r[0], r[1]))
+def fit(rows: DataFrame, budget: int = BYTES) -> Net:
+    """rows: (id, label, text), a sample; what comes to the driver is bounded in rows and bytes."""
+    texts, labels = training_texts(rows.withColumn("text", F.lower("text")), SAMPLE, budget)
     net = Net()
-    if not got:
+    if not len(texts):
         net.calibrate(np.zeros(0), np.zeros(0), np.zeros(0))
         return net
-    order = np.random.default_rng(4).permutation(len(got))
-    texts = [(np.frombuffer(got[i][2], dtype=np.int32).reshape(-1, TABLES), got[i][3]) for i in order]
-    y, group = np.array([float(got[i][1] > 0) for i in order]), np.array([got[i][4] for i in order])
+    order = np.random.default_rng(4).permutation(len(texts))
+    cut, group = [], np.zeros(len(texts), dtype=np.int64)
+    for i in range(0, len(texts), 256):
+        off, raw = text_bytes(texts[i : i + 256])
+        words, n = word_rows(off, raw)
+        cut += [(words[b - m - PAD : b], m) for b, m in zip(np.cumsum(n + PAD), n, strict=True)]
+        group[i : i + 256] = groups_of(off, raw)
+    texts, y, group = [cut[i] for i in order], (labels[order] > 0).astype(float), group[order]
     held = np.arange(len(y)) % 4 == 0
     train = np.flatnonzero(~held) if len(y) >= 40 else np.arange(len(y))
     net.train([texts[i] for i in train], y[train])
@@ -194,6 +192,7 @@ def fit(rows: DataFrame) -> Net:
 
 def score(df: DataFrame, net: Net, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The columns in `keep` and the score (0.7 at the calibrated threshold) of each whole text."""
+    no_clash(keep, score_col)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.lower(F.col(f"`{text_col}`").cast("string")).alias(unused_name(keep)))
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias(score_col)).schema
     sent = df.sparkSession.sparkContext.broadcast(net)

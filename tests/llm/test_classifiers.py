@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arcorder.llm import language_id, quality, queries, toxicity
-from arcorder.llm.common import split_batch, text_bytes, written
+from arcorder.llm.common import bounded_rows, split_batch, text_bytes, written
 from arcorder.llm.hashing import SOLID, WORD, Forest, ngram_hashes, shingle_sets, word_hashes, word_spans
 
 DATA = "/root/testdata/sf0.01"
@@ -161,3 +161,110 @@ def test_pipeline_against_its_stages_one_by_one(spark):
     for r in out:
         lengths[r["doc_id"]] += r["length"]
     assert all(lengths[r["doc_id"]] == r["doc_tokens"] for r in out)
+
+
+def test_log_count_ratio_and_link_against_plain_formulas():
+    sets, y = [np.array(s, dtype=np.int32) for s in ([1, 2], [2, 3], [3], [1, 2, 3])], np.array([1, 1, -1, -1])
+    r = quality.log_count_ratio(sets, y)
+    p, q = (np.array([1 + sum(f in s for s, k in zip(sets, y, strict=True) if k == side) for f in range(1 << quality.BITS)]) for side in (1, -1))
+    assert r == pytest.approx(np.log(p / p.sum() / (q / q.sum())))
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=200)
+    y = np.where(m + rng.normal(size=200) > 0.3, 1, -1)
+    a, b = quality.logistic_link(m, y)
+    good, bad = (y > 0).sum(), (y < 0).sum()
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * m + b)))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum()
+
+    assert all(loss(a, b) <= loss(a + x, b + z) + 1e-6 for x, z in rng.normal(scale=0.05, size=(100, 2)))
+
+
+def small_net(monkeypatch):
+    monkeypatch.setattr(toxicity, "BITS", 5)
+    net = toxicity.Net(seed=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["c"] *= 2
+    net.p["b"] += 0.03  # a blank text has no kink at 0 then
+    return net
+
+
+NET_TEXTS = ["a b c d e f g", "", "x", "b a b a", "one two three four five six seven eight nine ten"]
+
+
+def test_forward_pass_against_plain_loops(monkeypatch):
+    net = small_net(monkeypatch)
+    rows, n = toxicity.word_rows(*raw(NET_TEXTS))
+    got, at = net.logits(rows, n), 0
+    for i, m in enumerate(n):
+        x = [sum(net.p["e"][k, rows[at + j, k]] for k in range(toxicity.TABLES)) for j in range(m + toxicity.PAD)]
+        total = net.p["o"][0]
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                top = max(sum(x[j + o] @ net.p["c"][k, o][:, f] for o in range(width)) for j in range(m)) + net.p["b"][k * toxicity.FILTERS + f]
+                total += net.p["w"][k * toxicity.FILTERS + f] * max(0, top)
+        assert got[i] == pytest.approx(total)
+        at += m + toxicity.PAD
+
+
+def test_gradients_against_differences(monkeypatch):
+    net = small_net(monkeypatch)
+    rows, n = toxicity.word_rows(*raw(NET_TEXTS))
+    y, weight = np.array([1.0, 0, 1, 0, 1]), np.array([0.2, 0.1, 0.3, 0.2, 0.2])
+    g, pos, change = net.gradients(rows, n, y, weight)
+    g["e"] = np.zeros_like(net.p["e"])
+    for side in range(toxicity.TABLES):
+        np.add.at(g["e"][side], rows[pos, side], change)
+    g["e"][:, 0] = 0
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.logits(rows, n)))
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 0.5e-4 * (net.p["w"] ** 2).sum()
+
+    rng = np.random.default_rng(1)
+    for name in g:
+        flat, mine = net.p[name].reshape(-1), np.asarray(g[name]).reshape(-1)
+        places = rng.choice(np.flatnonzero(np.abs(mine) > 1e-7) if name == "e" else len(flat), min(12, len(flat)), replace=False)
+        for i in places:
+            old, step = flat[i], 1e-5
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert (up - down) / (2 * step) == pytest.approx(mine[i], rel=2e-3, abs=1e-6), name
+
+
+def test_samples_for_the_driver_are_bounded_and_do_not_depend_on_the_order(spark):
+    rows = [(i, "x" * (i % 50), 1) for i in range(400)] + [(7, "y" * 5000, 0)] * 300 + [(None, "z", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    got = bounded_rows(df, "text", 200, 1600)
+    assert len(got) <= 200 and sum(len(r["text"]) for r in got) <= 1600 and max(len(r["text"]) for r in got) <= 100
+    assert got == bounded_rows(df.repartition(7).orderBy("label", "text"), "text", 200, 1600)
+    every = bounded_rows(df, "text", 10_000, 1 << 20)
+    assert len(every) == 401 and sum(r["id"] == 7 for r in every) == 2
+    assert bounded_rows(df.limit(0), "text", 10, 10) == []
+
+
+def test_language_sample_takes_rare_languages_and_whole_texts(spark):
+    rows = [(i, "the and of that is with", "en") for i in range(600)] + [(1000 + i, "der die und ist ein mit", "de") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = language_id.fit(df, sample=40)
+    assert crf.languages == ["de", "en"]
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, crf, ["doc_id"]).collect()}
+    assert np.mean([out[i] == lang for i, _, lang in rows]) > 0.99
+    # of equal sums the first by name
+    tied = language_id.Crf(["aa", "bb"], np.zeros(0, np.uint64))
+    assert tied.label(*raw(["word and word", ""]))[0] == ["aa", "aa"]
+
+
+def test_kept_columns_with_names_of_the_output(spark):
+    df = spark.createDataFrame([(1, "a b", 0.5, "x", "y")], "doc_id long, text string, SCORE double, letters string, text_ string")
+    model, net, crf = quality.Model(np.zeros(1 << quality.BITS), 0.0, 1.0, 0.0), toxicity.Net(), language_id.Crf(["en"], np.zeros(0, np.uint64))
+    net.calibrate(np.zeros(0), np.zeros(0), np.zeros(0))
+    for run in (lambda keep: quality.score(df, model, keep), lambda keep: toxicity.score(df, net, keep), lambda keep: language_id.identify(df, crf, keep)):
+        with pytest.raises(ValueError):
+            run(["doc_id", "SCORE"])
+        assert run(["letters", "text_", "text"]).first()["text"] == "a b"

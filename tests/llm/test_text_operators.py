@@ -73,10 +73,12 @@ def test_block_and_single_trees_agree(model):
 
 
 def test_bpe_job_keeps_rows_and_other_columns(spark, vocabulary):
-    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (2, "", "y")], "doc_id long, text string, decoded string")
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (2, "", "y")], "doc_id long, text string, ids string")
     out = bpe.decode(bpe.encode(df, vocabulary, keep=["doc_id"]), vocabulary).collect()
     assert sorted((r["doc_id"] or 0, r["decoded"]) for r in out) == [(0, ""), (1, "a b"), (1, "a b"), (2, "")]
     assert bpe.encode(df.limit(0), vocabulary).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(df, vocabulary, keep=["doc_id", "ids"])
 
 
 ROWS = [(5, "same"), (2, "same"), (9, "same"), (9, "same"), (None, "same"), (1, None), (3, ""), (4, "x" * 200_000), (7, "other "), (8, "other")]
@@ -106,7 +108,7 @@ def test_exact_dedup_spreads_a_hot_text(spark):
 
 
 def test_without_duplicates_keeps_columns(spark):
-    df = spark.createDataFrame([(i, t, "c") for i, t in ROWS], "doc_id long, text string, sha string")
+    df = spark.createDataFrame([(i, t, "c", "d", "e") for i, t in ROWS], "doc_id long, text string, sha string, kept_id string, kept_sha string")
     out = exact_dedup.without_duplicates(df)
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4, 7, 8]
     assert exact_dedup.without_duplicates(df.limit(0)).count() == 0
@@ -137,6 +139,19 @@ def test_packing_covers_every_id_once(spark, vocabulary, tokenizer):
     assert packing.pack(df.limit(0), vocabulary).count() == 0
 
 
+def test_packing_and_the_encoder_agree_on_the_tables(spark, vocabulary, tokenizer):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit("x").alias("id"), F.lit("y").alias("ids"))
+    packed = collections.defaultdict(list)
+    for r in packing.pack(docs, vocabulary).collect():
+        packed[r["id"]].append((r["start"], bytes(r["ids"])))
+    encoded = {r["doc_id"]: r["ids"] for r in bpe.encode(docs.select("doc_id", "text"), vocabulary, keep=["doc_id"]).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert packed.keys() == encoded.keys() == texts.keys()
+    for i, parts in packed.items():
+        ids = np.frombuffer(b"".join(x for _, x in sorted(parts)), "<u4").tolist()
+        assert ids == [*encoded[i], 0] == [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 0]
+
+
 def grouped(n, pairs):
     root = list(range(n))
     changed = True
