@@ -13,7 +13,7 @@ from arcorder.llm.common import written
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long), either way round, loops allowed -> (node, component), component the smallest node reached."""
-    # a node's own smallest neighbour is enough to start; its other edges are hung between its neighbours
+    # a node starts with the smallest of itself and its neighbours
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-links")
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     labels = written(both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("label")), "components-labels")

@@ -1,10 +1,12 @@
 """Embedding near-dedup by int8 tile products with rigorous error bounds.
 
-Vectors are dealt to hashed blocks of about BLOCK rows, and each pair of blocks is one tile. A tile multiplies
-int8-quantised unit vectors (exact products of small whole numbers) and compares them with the threshold less the
-pair's error bound: for u = s q + e, |u.v - s_u s_v q_u.q_v| <= |e_v| + |e_u| (1 + |e_v|). Only pairs that may reach
-the threshold are multiplied again in double precision. A tile returns one row for each vector that has links in it:
-their number and the vector's root in the tile, so no pairs leave it, however large a group of copies is.
+Vectors become int8 codes of their unit vectors with a scale and an error bound each, and are dealt to hashed blocks of
+about BLOCK rows; each pair of blocks is one tile. Only codes travel to all tiles. A tile multiplies them (exact products
+of small whole numbers) and compares them with the threshold less the pair's error bound: for u = s q + e,
+|u.v - s_u s_v q_u.q_v| <= |e_v| + |e_u| (1 + |e_v|). The full vectors follow only to the tiles in which their row has a
+pair that may reach the threshold, and only such pairs are decided in double precision, by one formula wherever rounding
+could decide. A tile returns one row for each vector that has links in it: their number and the vector's root in the
+tile, so no pairs leave it, however large a group of copies is.
 
 Vectors that are null, empty, zero or hold null or non-finite parts link with nothing; so do vectors of other
 dimensions. Rows that share an id are pooled; rows without an id link with nothing.
@@ -18,27 +20,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import written
+from arcorder.llm.common import text_bytes, written
 from arcorder.llm.components import components
 from arcorder.llm.hashing import Forest, grouped
 
 BLOCK = 4096
 TILE = 1024
+#: Cosines farther than this from the threshold are on the same side of it in whatever order their products are summed.
+CLOSE = 1e-11
+CODES = "row long, id long, dim int, code binary, scale double, err double"
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """One row for each row: id, n_links, component_id (smallest id reachable by links), kept."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    good = rows.where(F.col("id").isNotNull() & ok).withColumn("dim", F.size("v"))
-    blocks = good.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = good.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # written, so that each row keeps its number
+    good = written(rows.where(F.col("id").isNotNull() & ok).select(F.monotonically_increasing_id().alias("row"), "id", "v"), "embedding-vectors")
+    codes = written(good.mapInArrow(_coded, CODES), "embedding-codes")
+    blocks = codes.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # as many rows as there are dimensions
+    placed = codes.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = placed.select("id", "v", "dim", "block", other).select(
-        F.xxhash64("dim", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "id", "v", "block"
-    )
-    tasks = tiles.repartition("tile").sortWithinPartitions("tile", "block")
-    found = written(tasks.mapInArrow(_tiles(threshold), "id long, n long, root long"), "embedding-links")
+    tile = F.xxhash64("dim", F.least("block", "other"), F.greatest("block", "other")).alias("tile")
+    tiles = placed.select("row", "id", "code", "scale", "err", "block", "dim", other).select(tile, "row", "id", "code", "scale", "err", "block")
+    maybe = tiles.repartition("tile").sortWithinPartitions("tile", "block", "row").mapInArrow(_candidates(threshold), "tile long, row long, id long, code binary, scale double, err double, block int")
+    maybe = written(maybe, "embedding-candidates")
+    full = maybe.join(good.select("row", "v"), "row").repartition("tile").sortWithinPartitions("tile", "block", "row")
+    found = written(full.mapInArrow(_links(threshold), "id long, n long, root long"), "embedding-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return (
@@ -54,64 +63,108 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     )
 
 
-def _tiles(threshold: float):
+def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole numbers from -127 to 127, scales, and error bounds of the unit vectors."""
+    v = v / np.abs(v).max(1)[:, None]  # cosines don't change, and squares stay finite
+    u = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    scale = np.abs(u).max(1) / 127
+    q = np.rint(u / scale[:, None])
+    e = u - q * scale[:, None]
+    return q.astype(np.int8), scale, np.sqrt(np.einsum("ij,ij->i", e, e)) * (1 + 1e-9) + 1e-12
+
+
+def _vectors(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
+    flat = column.take(pa.array(rows)).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        dims = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        for d in np.unique(dims):
+            rows = np.flatnonzero(dims == d)
+            for k in range(0, len(rows), max(1, (1 << 20) // int(d))):
+                some = rows[k : k + max(1, (1 << 20) // int(d))]
+                q, scale, err = quantised(_vectors(batch.column(2), some, int(d)))
+                at = pa.array(some)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(some), d, np.int32)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(scale), pa.array(err)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "dim", "code", "scale", "err"])
+
+
+def _pairs(q: np.ndarray, scale: np.ndarray, err: np.ndarray, cut: int, threshold: float) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """Squares of a tile, with the rows and columns in each of the pairs that may reach the threshold.
+
+    Pairs of rows before `cut` with those from it on, or of all rows if it is 0; q as float32 (or 64) for exact fast products.
+    """
+    for i in range(0, cut or len(q), TILE):
+        rows = slice(i, min(i + TILE, cut or len(q)))
+        for j in range(cut or i, len(q), TILE):
+            cols = slice(j, min(j + TILE, len(q)))
+            near = q[rows] @ q[cols].T
+            near *= scale[cols].astype(near.dtype)
+            least = (threshold - err[rows] - (1 + err[rows]) * err[cols].max()) / scale[rows]
+            near = near >= (least - 1e-5 * np.abs(least) - 1e-6)[:, None].astype(near.dtype)
+            if not cut and i == j:
+                near &= np.arange(near.shape[0])[:, None] < np.arange(near.shape[1])[None, :]
+            r, c = np.nonzero(near)
+            if len(r):
+                yield rows, cols, r + i, c + j
+
+
+def _tiles(table: pa.Table) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end, rows before the second block, codes, scales, bounds) of each tile of a table sorted by tile and block."""
+    tile, block = table.column("tile").to_numpy(), table.column("block").to_numpy()
+    scale, err = table.column("scale").to_numpy(), table.column("err").to_numpy()
+    codes = table.column("code").combine_chunks()
+    off, raw = text_bytes(codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes)
+    ends = np.flatnonzero(np.concatenate([tile[1:] != tile[:-1], [True]])) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        dim = (off[b] - off[a]) // (b - a)
+        q = raw[off[a] : off[b]].view(np.int8).reshape(b - a, dim).astype(np.float32 if dim * 127 * 127 < 1 << 24 else np.float64)
+        yield a, b, int(np.searchsorted(block[a:b], block[b - 1])), q, scale[a:b], err[a:b]
+
+
+def _candidates(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "tile"):
+            has = np.zeros(table.num_rows, dtype=bool)
+            for a, _, cut, q, scale, err in _tiles(table):
+                for _, _, r, c in _pairs(q, scale, err, cut, threshold):
+                    has[a + r] = has[a + c] = True
+            yield from table.filter(pa.array(has)).select(["tile", "row", "id", "code", "scale", "err", "block"]).to_batches()
+
+    return run
+
+
+def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "tile"):
-            tile = table.column("tile").to_numpy()
             ids = table.column("id").to_numpy()
-            block = table.column("block").to_numpy()
-            ends = np.flatnonzero(np.concatenate([tile[1:] != tile[:-1], [True]])) + 1
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            for a, b, cut, q, scale, err in _tiles(table):
                 flat = table.column("v").slice(a, b - a).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                vectors = flat.reshape(b - a, -1)
-                cut = int(np.searchsorted(block[a:b], block[b - 1]))
-                n, root = links_of(vectors, cut, threshold, ids[a:b])
+                v = flat.reshape(b - a, -1)
+                n, root = links_of(v, q, scale, err, cut, threshold, ids[a:b])
                 has = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (ids[a:b], n, root)], names=["id", "n", "root"])
 
     return run
 
 
-def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Norms, whole numbers from -127 to 127 (as float32, for exact fast products), scales, and error bounds."""
-    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-    u = v / norm[:, None]
-    scale = np.abs(u).max(1) / 127
-    q = np.rint(u / scale[:, None])
-    e = u - q * scale[:, None]
-    return norm, q.astype(np.float32), scale, np.sqrt(np.einsum("ij,ij->i", e, e)) * (1 + 1e-9) + 1e-12
-
-
-def links_of(v: np.ndarray, cut: int, threshold: float, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links_of(v: np.ndarray, q: np.ndarray, scale: np.ndarray, err: np.ndarray, cut: int, threshold: float, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between the rows before `cut` and those after it (cut 0: among all rows), and each row's smallest id in the tile."""
-    v = v / np.abs(v).max(1)[:, None]  # cosines don't change, and squares stay finite
-    norm, q, scale, err = quantised(v)
+    v = v / np.abs(v).max(1)[:, None]
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
     links = np.zeros(len(v), dtype=np.int64)
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(v), dtype=np.int64)
     place[order] = np.arange(len(v))
     forest = Forest(len(v))
-    exact = 1 << 24 > v.shape[1] * 127 * 127
-    for i in range(0, cut or len(v), TILE):
-        rows = slice(i, min(i + TILE, cut or len(v)))
-        for j in range(cut or i, len(v), TILE):
-            cols = slice(j, j + TILE)
-            near = q[rows] @ q[cols].T if exact else q[rows].astype(np.float64) @ q[cols].astype(np.float64).T
-            near *= scale[cols].astype(near.dtype)
-            least = (threshold - err[rows] - (1 + err[rows]) * err[cols].max()) / scale[rows]
-            r, c = np.nonzero(near >= (least - 1e-5 * np.abs(least) - 1e-6)[:, None].astype(near.dtype))
-            if not cut and i == j:
-                r, c = r[c > r], c[c > r]
-            if not len(r):
-                continue
-            r, c = r + i, c + j
-            ur, uc = np.unique(r), np.unique(c)
-            if len(r) > 0.1 * len(ur) * len(uc):
-                dots = (v[ur] @ v[uc].T)[np.searchsorted(ur, r), np.searchsorted(uc, c)]
-            else:
-                dots = np.concatenate([np.einsum("ij,ij->i", v[r[k : k + 65536]], v[c[k : k + 65536]]) for k in range(0, len(r), 65536)])
-            sure = dots / (norm[r] * norm[c]) >= threshold
-            r, c = r[sure], c[sure]
-            links += np.bincount(r, minlength=len(v)) + np.bincount(c, minlength=len(v))
-            forest.join(place[r], place[c])
+    for rows, cols, r, c in _pairs(q, scale, err, cut, threshold):
+        cosine = (v[rows] @ v[cols].T)[r - rows.start, c - cols.start] / (norm[r] * norm[c])
+        for k in np.array_split(np.flatnonzero(np.abs(cosine - threshold) < CLOSE), 1 + len(r) // 65536):
+            cosine[k] = np.einsum("ij,ij->i", v[r[k]], v[c[k]]) / (norm[r[k]] * norm[c[k]])
+        sure = cosine >= threshold
+        r, c = r[sure], c[sure]
+        links += np.bincount(r, minlength=len(v)) + np.bincount(c, minlength=len(v))
+        forest.join(place[r], place[c])
     return links, ids[order][forest.root[place]]

@@ -75,14 +75,71 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = [F.expr(f"bigint(size(filter(base, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *count, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    return found.select("doc_id", *_base_columns(), pii.listed("spans").alias("spans"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+#: Of `links(a, b)`, both ways round, and `every(id)`: the smallest id that each id reaches.
+CLASSES = """, reach(id, other) AS (SELECT a, b FROM links UNION SELECT reach.id, b FROM reach JOIN links ON reach.other = links.a),
+classes AS (SELECT every.id, LEAST(every.id, COALESCE(MIN(other), every.id)) AS class FROM every LEFT JOIN reach ON reach.id = every.id GROUP BY every.id),
+counted AS (SELECT a AS id, COUNT(*) AS n FROM links GROUP BY a)"""
+
+OP7_SQL = f"""
+WITH RECURSIVE every AS (SELECT vec_id AS id FROM embeddings),
+good AS (SELECT vec_id AS id, LEN(embedding) AS dim, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE LEN(embedding) > 0 AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0 AND LEN(LIST_FILTER(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.dim = y.dim AND x.id <> y.id
+  WHERE LIST_INNER_PRODUCT(x.v, y.v) / (SQRT(LIST_INNER_PRODUCT(x.v, x.v)) * SQRT(LIST_INNER_PRODUCT(y.v, y.v))) >= 0.95){CLASSES}
+SELECT c.id AS vec_id, COALESCE(n, 0) AS n_links, class AS component_id, class = c.id AS kept FROM classes c LEFT JOIN counted ON c.id = counted.id
+"""
+
+#: Words are runs of ASCII letters and digits and of whatever lies beyond ASCII.
+OP9_SQL = f"""
+WITH RECURSIVE every AS (SELECT doc_id AS id FROM documents),
+words AS (SELECT doc_id AS id, REGEXP_EXTRACT_ALL(LOWER(text), '[a-z0-9\\x{{80}}-\\x{{10ffff}}]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT id, ARRAY_TO_STRING(w[k : k + 4], ' ') AS s FROM (SELECT id, w, UNNEST(GENERATE_SERIES(1, GREATEST(LEN(w) - 4, 1))) AS k FROM words WHERE LEN(w) > 0)),
+sizes AS (SELECT id, COUNT(*) AS size FROM shingles GROUP BY id),
+shared AS (SELECT x.id AS a, y.id AS b, COUNT(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY x.id, y.id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 5 * n >= 4 * (x.size + y.size - n)){CLASSES}
+SELECT c.id AS doc_id, class AS class_id, COALESCE(n, 0) AS n_links, class = c.id AS kept FROM classes c LEFT JOIN counted ON c.id = counted.id
+"""
+
+
+def _matches(kind: str, pattern: str, rank: int) -> str:
+    """SQL of (doc_id, kind, rank, a, b, m): the matches of a plain pattern, by the lengths of what lies before them."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, CAST(COALESCE(SUM(LENGTH(p)) OVER w, 0) AS BIGINT) AS a, CAST(COALESCE(SUM(LENGTH(p)) OVER w, 0) + LENGTH(p) AS BIGINT) AS b, p AS m, k
+FROM (SELECT doc_id, UNNEST(ps) AS p, GENERATE_SUBSCRIPTS(ps, 1) AS k FROM (SELECT doc_id, STRING_SPLIT(REGEXP_REPLACE(t, '({pattern})', CHR(1) || '\\1' || CHR(1), 'g'), CHR(1)) AS ps FROM texts))
+WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+DIGITS = "REGEXP_REPLACE(m, '[^0-9]', '', 'g')"
+PII_SQL = f"""
+WITH texts AS (SELECT doc_id, REPLACE(COALESCE(text, ''), CHR(1), CHR(2)) AS t FROM documents),
+found AS ({" UNION ALL ".join(f"SELECT * FROM ({_matches(k, p, i)}) WHERE k % 2 = 0" for i, (k, p) in enumerate(PLAIN.items()))}),
+good AS (SELECT * FROM found WHERE kind = 'email'
+  OR kind = 'ip' AND LEN(LIST_FILTER(STRING_SPLIT(m, '.'), lambda x: CAST(RIGHT('00000' || LTRIM(x, '0'), GREATEST(5, LENGTH(LTRIM(x, '0')))) AS HUGEINT) > 255)) = 0
+  OR kind = 'phone' AND LENGTH({DIGITS}) BETWEEN 9 AND 15
+  OR kind = 'card' AND LENGTH({DIGITS}) BETWEEN 12 AND 19 AND LIST_SUM(LIST_TRANSFORM(GENERATE_SERIES(1, LENGTH({DIGITS})),
+    lambda i: CASE WHEN i % 2 = 1 THEN CAST(SUBSTRING({DIGITS}, LENGTH({DIGITS}) + 1 - i, 1) AS INTEGER) ELSE CAST(SUBSTRING('0246813579', CAST(SUBSTRING({DIGITS}, LENGTH({DIGITS}) + 1 - i, 1) AS INTEGER) + 1, 1) AS INTEGER) END)) % 10 = 0)
+SELECT d.doc_id, COUNT(*) FILTER (kind = 'email') AS n_email, COUNT(*) FILTER (kind = 'ip') AS n_ip, COUNT(*) FILTER (kind = 'card') AS n_card, COUNT(*) FILTER (kind = 'phone') AS n_phone,
+  SHA256(COALESCE(STRING_AGG(kind || ':' || a || ':' || b, ',' ORDER BY a, rank), '')) AS base_sha256 FROM documents d LEFT JOIN good g ON d.doc_id = g.doc_id GROUP BY d.doc_id
+"""
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_pii that its base patterns decide alone, which SQL can check."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), model=("0.0D", dict.fromkeys(pii.WIDE, 2.0)))
+    return found.select("doc_id", *_base_columns())
+
+
+def _base_columns() -> list:
+    return [*[F.expr(f"bigint(size(filter(base, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listed("base"), 256).alias("base_sha256")]
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
@@ -93,5 +150,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html}
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html, "pii_base_spans": pii_base_spans}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_ngram_join": OP9_SQL, "pii_base_spans": PII_SQL}

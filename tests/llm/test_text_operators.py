@@ -255,7 +255,7 @@ def test_embedding_dedup_against_all_pairs(spark, block, monkeypatch):
     v = np.concatenate([base, base[:10] + 0.05 * rng.normal(size=(10, 16)), np.repeat(base[:1], 70, 0) * rng.uniform(0.1, 9, (70, 1))]).astype(np.float32)
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
     odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0] * 15 + [None]), (905, [float("inf")] * 16), (906, [1.0, 2.0]), (None, [1.0] * 16)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(3)
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(3).withColumns({"row": F.lit("x"), "id": F.lit("y"), "n_links": F.lit("z")})
     u = v.astype(np.float64)
     u /= np.linalg.norm(u, axis=1)[:, None]
     near = u @ u.T >= 0.95
@@ -270,6 +270,32 @@ def test_embedding_dedup_against_all_pairs(spark, block, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_pairs_at_the_threshold_do_not_depend_on_their_tile():
+    """A cosine within rounding of the threshold is decided by one formula, in dense and sparse tiles alike."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(40, 24))
+    v = np.concatenate([a, a + 0.28 * rng.normal(size=(40, 24))])
+    u = v / np.abs(v).max(1)[:, None]
+    norm = np.sqrt(np.einsum("ij,ij->i", u, u))
+    for k in range(10):
+        threshold = float(np.einsum("i,i->", u[k], u[40 + k]) / (norm[k] * norm[40 + k]))
+        ids = np.arange(80)
+        together = embedding_dedup.links_of(v, *[x.astype(np.float64) if x.dtype == np.int8 else x for x in embedding_dedup.quantised(v)], 0, threshold, ids)[0]
+        pair = v[[k, 40 + k]]
+        alone = embedding_dedup.links_of(pair, *[x.astype(np.float64) if x.dtype == np.int8 else x for x in embedding_dedup.quantised(pair)], 0, threshold, np.arange(2))[0]
+        exact = np.array([[np.einsum("ij,ij->i", u[i : i + 1], u[j : j + 1])[0] / (norm[i] * norm[j]) >= threshold for j in range(80)] for i in range(80)])
+        assert alone[0] == exact[k, 40 + k] and together.sum() == np.triu(exact, 1).sum() * 2
+
+
+def test_embedding_bounds_hold():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(200, 17)) * rng.uniform(1e-30, 1e30, (200, 1))
+    q, scale, err = embedding_dedup.quantised(v)
+    u = v / np.linalg.norm(v / np.abs(v).max(1)[:, None], axis=1)[:, None] / np.abs(v).max(1)[:, None]
+    off = np.abs(u @ u.T - scale[:, None] * scale[None, :] * (q.astype(float) @ q.astype(float).T))
+    assert (off <= err[None, :] + err[:, None] * (1 + err[None, :])).all()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100)], "a long, b long")
     assert {(r["node"], r["component"]) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100)}
