@@ -35,14 +35,27 @@ def hits(rng: np.random.Generator, n: int, p: float) -> Iterator[np.ndarray]:
         yield place[place < n]
 
 
+def framed(pairs: Iterator[tuple[int, np.ndarray]], name: str) -> Iterator[pd.DataFrame]:
+    """(src, many) as frames of about STEP rows."""
+    held: list[tuple[int, np.ndarray]] = []
+    rows = 0
+    for src, many in pairs:
+        held.append((src, many))
+        rows += len(many)
+        if rows >= STEP:
+            yield pd.DataFrame({"src": np.repeat([h[0] for h in held], [len(h[1]) for h in held]), name: np.concatenate([h[1] for h in held])})
+            held, rows = [], 0
+    if rows:
+        yield pd.DataFrame({"src": np.repeat([h[0] for h in held], [len(h[1]) for h in held]), name: np.concatenate([h[1] for h in held])})
+
+
 def erdos_renyi(spark: SparkSession, n: int, density: float, seed: int = 42) -> DataFrame:
     """(src, tgt): each ordered pair of distinct nodes with probability `density`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for src in f["id"].tolist():
-                for tgt in hits(np.random.default_rng([seed, src]), n - 1, density):
-                    yield pd.DataFrame({"src": src, "tgt": tgt + (tgt >= src)})
+            pairs = ((src, tgt + (tgt >= src)) for src in f["id"].tolist() for tgt in hits(np.random.default_rng([seed, src]), n - 1, density))
+            yield from framed(pairs, "tgt")
 
     return spark.range(n).mapInPandas(run, "src long, tgt long")
 
@@ -70,16 +83,17 @@ def synthetic_connectome(spark: SparkSession, n: int, density: float, mu: float,
     scale = total * total / (float(n) * n * density)
     sent = spark.sparkContext.broadcast((degree, size, first))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(src: int, k_out: int) -> Iterator[tuple[int, np.ndarray]]:
         degree, size, first = sent.value
+        rng = np.random.default_rng([seed + 2, src])
+        # how many of each class; which of them is drawn for the classes that have any
+        many = rng.binomial(size, np.minimum(k_out * degree / scale, 0.95))
+        for c in np.flatnonzero(many):
+            yield src, first[c] + (rng.choice(int(size[c]), int(many[c]), replace=False) if many[c] > 1 else rng.integers(size[c], size=1))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for src, k_out in zip(f["node"].tolist(), f["degree"].tolist(), strict=True):
-                rng = np.random.default_rng([seed + 2, src])
-                p = np.minimum(k_out * degree / scale, 0.95)
-                # how many of each class; which of them is drawn for the classes that have any
-                many = rng.binomial(size, p)
-                for c in np.flatnonzero(many):
-                    yield pd.DataFrame({"src": src, "place": first[c] + rng.choice(int(size[c]), int(many[c]), replace=False)})
+            yield from framed((x for src, k_out in zip(f["node"].tolist(), f["degree"].tolist(), strict=True) for x in places(src, k_out)), "place")
 
     drawn = k.mapInPandas(run, "src long, place long")
     return drawn.join(placed, "place").where("src <> tgt").select("src", "tgt", F.exp(mu + sigma * normal(seed + 3, "src", "tgt")).alias("weight"))
