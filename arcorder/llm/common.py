@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcorder.operators.storage import written
 
@@ -74,27 +74,21 @@ def hashed_sample(df: DataFrame, key: str, rows: int, seed: int = 1) -> DataFram
     return df if share == 1 else df.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), F.lit(1_000_000_007)) < int(share * 1_000_000_007))
 
 
-def bounded_rows(df: DataFrame, content: str, rows: int, budget: int) -> list[Row]:
+def bounded_rows(df: DataFrame, content: str, rows: int, budget: int) -> pa.Table:
     """Rows of a sample for the driver, bounded in number and in bytes of their content, in the order of a hash of the id.
 
-    df holds `id` and `content`. Rows with one id and content are one, with the smallest other values; a row with more than a sixteenth of the
-    budget isn't, and the order is cut where the budget ends. The sample is written, so what is counted is what is sent.
+    df holds `id` and `content`. Rows with one id and content are one, with the smallest other values; a row with more than
+    a sixteenth of the budget is left out, and the order is cut where the budget ends. The sample is written, so what is
+    counted is what is sent.
     """
     some = written(df.where("id IS NOT NULL"), "sample")
     size = F.coalesce(F.octet_length(F.col(content)), F.lit(0))
     order = F.xxhash64("id", F.lit(3))
-    sizes = some.select("id", size.alias("size"), F.xxhash64(content).alias("print")).where(F.col("size") <= budget // 16).distinct().orderBy(order, "id", "print").limit(rows).collect()
-    chosen, total = [], 0
-    for r in sizes:
-        total += r["size"]
-        if total > budget:
-            break
-        chosen.append((r["id"], r["print"]))
-    if not chosen:
-        return []
-    wanted = df.sparkSession.createDataFrame(chosen, some.select("id", F.lit(0).cast("long").alias("_print")).schema)
-    got = some.join(F.broadcast(wanted), "id").where(F.xxhash64(content) == F.col("_print"))
+    sizes = some.select("id", size.alias("size"), F.xxhash64(content).alias("print")).where(F.col("size") <= budget // 16).distinct().orderBy(order, "id", "print").limit(rows).toArrow()
+    kept = sizes.slice(0, int(np.searchsorted(np.cumsum(sizes.column("size").to_numpy()), budget, side="right"))).select(["id", "print"])
+    if not kept.num_rows:
+        return some.limit(0).toArrow()
+    wanted = df.sparkSession.createDataFrame(kept.append_column("place", pa.array(range(kept.num_rows)))).withColumnRenamed("id", "_id")
     rest = F.struct(F.lit(0).alias("_one"), *[c for c in some.columns if c not in ("id", content)])
-    got = got.groupBy("id", content).agg(F.min(rest).alias("_rest")).select("id", content, "_rest.*")
-    place = {k: i for i, k in enumerate(chosen)}
-    return sorted(got.select(*some.columns, F.xxhash64(content).alias("_print")).collect(), key=lambda r: place[r["id"], r["_print"]])
+    got = some.join(F.broadcast(wanted), (F.col("id") == F.col("_id")) & (F.xxhash64(content) == F.col("print"))).groupBy("place", "id", content).agg(F.min(rest).alias("_rest"))
+    return got.select("place", "id", content, "_rest.*").drop("_one").toArrow().sort_by("place").select(some.columns)

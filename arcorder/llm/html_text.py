@@ -309,7 +309,7 @@ def fit_weights(pages: list[str], epochs: int = 30, rate: float = 0.1) -> Weight
 def fit(df: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE, budget: int = BYTES) -> Weights:
     """Weights from self-labelled pages; equal whatever the order of files and rows."""
     pages = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html")).where(F.col("html").rlike("<(article|main)"))
-    return fit_weights([r["html"] for r in bounded_rows(hashed_sample(pages, "id", sample), "html", 2 * sample, budget)])
+    return fit_weights(bounded_rows(hashed_sample(pages, "id", sample), "html", 2 * sample, budget).column("html").to_pylist())
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None, weights: Weights | None = None) -> DataFrame:

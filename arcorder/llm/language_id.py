@@ -149,7 +149,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     shares = [x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, sample / r["count"]) * 1_000_000_007)))]
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000_007)) < F.element_at(F.create_map(*shares), F.col("lang"))) if shares else rows.limit(0)
-    got = sorted((r["id"], r["text"], r["lang"]) for r in bounded_rows(some, "text", 2 * sample * max(1, len(counts)), budget))
+    some = bounded_rows(some, "text", 2 * sample * max(1, len(counts)), budget)
+    got = sorted(zip(*(some.column(c).to_pylist() for c in ("id", "text", "lang")), strict=True))
     languages = sorted({r[2] for r in got}) or ["und"]
     data = pa.array([r[1] for r in got], pa.string())
     off, raw = text_bytes(data) if got else (np.zeros(1, np.int64), np.zeros(0, np.uint8))

@@ -145,20 +145,20 @@ def running(items: str, kind: str, weight: str, join: str) -> str:
             (a, x) -> named_struct('at', {put.format(a="a.at", w=weight)}, 'out', concat(a.out, array(named_struct('at', a.at, 'x', x)))), a -> a.out))))[0])[0])"""
 
 
-def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df and one array column for each kind: the spans (start, end, m, before, after) that pass the kind's own check."""
+def with_candidates(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
+    """df and one array column for each of the kinds: the spans (start, end, m, before, after) that pass the kind's own check."""
     df = df.withColumn("_t", F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\x01", "\x02"))
     df = df.withColumn("_digit", F.col("_t").rlike("[0-9]"))
-    for kind, pattern in PATTERNS.items():
+    for kind in kinds:
         can = F.col("_t").contains(NEEDS[kind]) if kind == "email" else F.col("_digit") & F.col("_t").contains(NEEDS[kind])
-        df = df.withColumn(f"_p_{kind}", F.when(can, F.split(F.regexp_replace("_t", F.lit(pattern), F.lit("\x01$0\x01")), "\x01")).otherwise(F.array("_t")))
-    for kind in PATTERNS:
+        df = df.withColumn(f"_p_{kind}", F.when(can, F.split(F.regexp_replace("_t", F.lit(PATTERNS[kind]), F.lit("\x01$0\x01")), "\x01")).otherwise(F.array("_t")))
+    for kind in kinds:
         items = "if(size(p) = 1, cast(array() as array<struct<g: string, m: string, n: string>>), transform(sequence(0, int((size(p) - 1) div 2) - 1), i -> named_struct('g', p[2 * i], 'm', p[2 * i + 1], 'n', p[2 * i + 2])))"
         spans = running("items", "struct<g: string, m: string, n: string>", "length(x.g) + length(x.m)", "sum")
         found = f"""filter(transform(transform(array(_p_{kind}), p -> transform(array({items}), items -> {spans})[0])[0], r -> named_struct('start', r.at + length(r.x.g),
             'end', r.at + length(r.x.g) + length(r.x.m), 'm', r.x.m, 'before', right(r.x.g, 24), 'after', left(r.x.n, 8))), s -> {VALID[kind]})"""
         df = df.withColumn(f"_{kind}", F.expr(found))
-    return df.drop("_t", "_digit", *[f"_p_{kind}" for kind in PATTERNS])
+    return df.drop("_t", "_digit", *[f"_p_{kind}" for kind in kinds])
 
 
 def _base(kind: str) -> str:
@@ -177,7 +177,7 @@ def planted_rows(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE
     made = made.select("id", "left_part", "right_part", values.alias("value"), before.alias("before"), after.alias("after"), label.alias("label"))
     start = F.length("left_part") + 1 + F.length("before")
     made = made.select("id", F.concat("left_part", F.lit(" "), "before", "value", "after", F.lit(" "), "right_part").alias("text"), start.alias("a"), (start + F.length("value")).alias("b"), "label")
-    found = with_candidates(made).withColumn("base", F.concat(*[F.expr(_base(k)) for k in KINDS])).where("not exists(base, s -> s.start < b and a < s.end)")
+    found = with_candidates(made, kinds=WIDE)
     wide = F.concat(*[F.expr(f"transform(_{k}, s -> named_struct('kind', '{k}', 'start', s.start, 'end', s.end, 'm', s.m, 'before', s.before, 'after', s.after))") for k in WIDE])
     rows = found.select("id", "a", "b", "label", F.explode(wide).alias("s")).where("2 * (least(s.end, b) - greatest(s.start, a)) > greatest(s.end, b) - least(s.start, a)")
     return rows.select("id", "s.kind", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()], F.col("label").cast("double").alias("label"), (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(5)) == 0).alias("held_out"))
@@ -230,14 +230,13 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     found = with_candidates(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").alias("text")), "text")
     found = found.withColumn("base", F.array_sort(F.concat(*[F.expr(_base(k)) for k in KINDS])))
     features = ", ".join(f"'{name}', {sql}" for name, sql in FEATURES.items())
-    more = []
-    for i, k in enumerate(WIDE):
-        scored = f"transform(_{k}, s -> named_struct('s', s, 'f', named_struct({features})))"
-        chosen = f"filter({scored}, c -> transform(array(c.f), f -> {score} >= {thresholds[k]!r}D)[0])"
-        more.append(f"transform({chosen}, c -> named_struct('start', c.s.start, 'rank', {len(KINDS) + i}, 'end', c.s.end, 'kind', '{k}'))")
-    found = found.withColumn("more", F.expr(f"concat({', '.join(more)})"))
+    wide = ", ".join(f"transform(_{k}, s -> named_struct('kind', '{k}', 'rank', {len(KINDS) + i}, 's', s))" for i, k in enumerate(WIDE))
+    scored = f"transform(concat({wide}), c -> transform(array(c.s), s -> named_struct('start', s.start, 'rank', c.rank, 'end', s.end, 'kind', c.kind, 'f', named_struct({features})))[0])"
+    least = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {thresholds[k]!r}D" for k in WIDE) + " END"
+    chosen = f"filter({scored}, c -> transform(array(c.f), f -> {score})[0] >= {least})"
+    found = found.withColumn("more", F.expr(f"transform({chosen}, c -> named_struct('start', c.start, 'rank', c.rank, 'end', c.end, 'kind', c.kind))"))
     # in order of the starts, a span lies within another one if one before it ends no earlier
-    order = "transform(concat(transform(base, s -> named_struct('start', s.start, 'late', 0, 's', s)), transform(more, s -> named_struct('start', s.start, 'late', 1, 's', s))), x -> x)"
+    order = "concat(transform(base, s -> named_struct('start', s.start, 'late', 0, 's', s)), transform(more, s -> named_struct('start', s.start, 'late', 1, 's', s)))"
     kind = "struct<start: int, late: int, s: struct<start: int, rank: int, end: int, kind: string>>"
     swept = running("items", kind, "x.s.end", "max")
     left = f"transform(filter(transform(array(array_sort({order})), items -> {swept})[0], r -> r.x.late = 0 or r.at < r.x.s.end), r -> r.x.s)"

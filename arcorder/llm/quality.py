@@ -151,7 +151,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, sampl
 def training_texts(rows: DataFrame, sample: int, budget: int) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of the sample, bounded in rows and bytes, in an order that depends on ids and texts only."""
     got = bounded_rows(rows.select("id", "label", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", 2 * sample, budget)
-    return pa.array([r["text"] for r in got], pa.string()), np.array([r["label"] for r in got])
+    return pa.concat_arrays(got.column("text").chunks or [pa.array([], pa.string())]), got.column("label").to_numpy()
 
 
 def fit(rows: DataFrame, budget: int = BYTES) -> Model:

@@ -240,12 +240,12 @@ def test_gradients_against_differences(monkeypatch):
 def test_samples_for_the_driver_are_bounded_and_do_not_depend_on_the_order(spark):
     rows = [(i, "x" * (i % 50), 1) for i in range(400)] + [(7, "y" * 5000, 0)] * 300 + [(None, "z", 1)]
     df = spark.createDataFrame(rows, "id long, text string, label int")
-    got = bounded_rows(df, "text", 200, 1600)
+    got = bounded_rows(df, "text", 200, 1600).to_pylist()
     assert len(got) <= 200 and sum(len(r["text"]) for r in got) <= 1600 and max(len(r["text"]) for r in got) <= 100
-    assert got == bounded_rows(df.repartition(7).orderBy("label", "text"), "text", 200, 1600)
-    every = bounded_rows(df, "text", 10_000, 1 << 20)
+    assert got == bounded_rows(df.repartition(7).orderBy("label", "text"), "text", 200, 1600).to_pylist()
+    every = bounded_rows(df, "text", 10_000, 1 << 20).to_pylist()
     assert len(every) == 401 and sum(r["id"] == 7 for r in every) == 2
-    assert bounded_rows(df.limit(0), "text", 10, 10) == []
+    assert bounded_rows(df.limit(0), "text", 10, 10).num_rows == 0
 
 
 def test_language_sample_takes_rare_languages_and_whole_texts(spark):
