@@ -168,6 +168,17 @@ def b6_matrix_to_edges(spark, d):
     return rounded(graph.matrix_to_edges(frame(spark, d, fx.FEATURES), "id", "e"), "weight")
 
 
+@query(
+    """SELECT src, CAST(k AS BIGINT) AS tgt, CAST(COALESCE(weight, 0) AS DOUBLE) AS weight
+FROM (SELECT s.src, k, (SELECT weight FROM edges e WHERE e.src = s.src AND e.tgt = k) AS weight FROM (SELECT DISTINCT src FROM edges) s, (SELECT UNNEST(GENERATE_SERIES(0, 24)) AS k))""",
+    edges=fx.NATION_FLOW,
+)
+def b6_edges_to_matrix(spark, d):
+    """The way back: one array a source, here taken apart again."""
+    rows = graph.edges_to_matrix(frame(spark, d, fx.NATION_FLOW).withColumn("weight", F.col("weight").cast("double")), 25)
+    return rows.select("src", F.posexplode("values").alias("tgt", "weight")).withColumn("tgt", F.col("tgt").cast("long"))
+
+
 @query("SELECT src, tgt, weight, s.pos AS pos_src, t.pos AS pos_tgt FROM edges JOIN p s ON src = s.node JOIN p t ON tgt = t.node", edges=fx.PART_FLOW, p=fx.POSITIONS)
 def b7_with_positions(spark, d):
     return score.with_positions(frame(spark, d, fx.PART_FLOW), frame(spark, d, fx.POSITIONS), check=True).select("src", "tgt", "weight", "pos_src", "pos_tgt")
@@ -932,6 +943,26 @@ def i5_sample_degree(spark, d):
     return geometry.sample_degree(graph.connectome_stats(frame(spark, d, fx.PART_FLOW))[0], 64, _outputs(spark, d))
 
 
+@query("""SELECT 'sparse' AS scheme, 64 * c AS n, CAST(64 * CEIL(0.8 * c) AS BIGINT) AS zeros FROM (SELECT COUNT(*) AS c FROM customer)
+UNION ALL SELECT 'zeros', 64 * c, 64 * c FROM (SELECT COUNT(*) AS c FROM customer) UNION ALL SELECT 'constant_small', 64 * c, 0 FROM (SELECT COUNT(*) AS c FROM customer)
+UNION ALL SELECT 'orthogonal', 64, 0 FROM (SELECT 1)""")
+def i2_init_weights_holds(spark, d):
+    """Cells and zeros of the schemes that fix them; of the orthogonal one, the rows, and the pairs of rows that are not orthonormal."""
+    w = geometry.init_weights(spark, "orthogonal", 64, 64)
+    dots = w.toDF("a", "j", "x").join(w.toDF("b", "j", "y"), "j").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    off = dots.agg(F.count_if(F.col("a") == F.col("b")).alias("n"), F.count_if(F.abs(F.col("dot") - (F.col("a") == F.col("b")).cast("int")) > 1e-9).alias("zeros"))
+    made = i2_init_weights(spark, d).where("scheme IN ('sparse', 'zeros', 'constant_small')").select("scheme", "n", "zeros")
+    return made.unionByName(off.select(F.lit("orthogonal").alias("scheme"), "n", "zeros"))
+
+
+@query("SELECT name, 64 * c AS n, ROUND(SQRT(CAST(2 AS DOUBLE) / 64), 6) AS std FROM (SELECT COUNT(*) AS c FROM customer), (SELECT UNNEST(['marginal', 'lognormal', 'degree']) AS name)")
+def i3_i4_i5_samplers_hold(spark, d):
+    """Each sampler fills its layer and has the wanted deviation."""
+    made = {"marginal": i3_sample_marginal(spark, d), "lognormal": i4_sample_lognormal(spark, d), "degree": i5_sample_degree(spark, d)}
+    rows = [w.agg(F.lit(name).alias("name"), F.count("*").alias("n"), r6(F.stddev_pop("w")).alias("std")) for name, w in made.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("SELECT id AS i, CAST(k AS BIGINT) AS j, ROUND(x * (SQRT(CAST(2 AS DOUBLE) / 64) / (SELECT STDDEV_POP(x) FROM flat)), 6) + 0 AS w FROM flat", f=fx.FEATURES, flat=FLAT)
 def i6_match_variance(spark, d):
     cells = _features(spark, d).select(F.col("id").alias("i"), F.posexplode("e").alias("j", "w"))
