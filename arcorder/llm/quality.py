@@ -67,6 +67,17 @@ def indicators(off: np.ndarray, raw: np.ndarray) -> Iterator[np.ndarray]:
         yield found.astype(np.int32)
 
 
+def packed(sets: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays end to end in one, and their lengths: many thousands of small arrays would leave the driver's memory in pieces."""
+    held = list(sets)
+    return np.concatenate(held) if held else np.zeros(0, np.int32), np.array([len(s) for s in held], dtype=np.int64)
+
+
+def views(flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(lengths).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float) -> None:
         self.weights, self.bias, self.slope, self.offset = weights.astype(np.float32), bias, slope, offset
@@ -130,7 +141,8 @@ def fit_sets(sets: list[np.ndarray], labels: np.ndarray) -> Model:
         seen[:] = True
     train = np.flatnonzero(seen)
     ratio = log_count_ratio([sets[i] for i in train], y[train])
-    values = [ratio[sets[i]] / np.sqrt(max(1, len(sets[i]))) for i in train]
+    lengths = np.array([len(sets[i]) for i in train], dtype=np.int64)
+    values = views(ratio[np.concatenate([sets[i] for i in train])] / np.repeat(np.sqrt(np.maximum(1, lengths)), lengths), lengths)
     share = (y[train] > 0).mean()
     c = np.where(y[train] > 0, 0.5 / share, 0.5 / (1 - share))
     w, b = dual_coordinate_descent([sets[i] for i in train], values, y[train], c)
@@ -157,9 +169,14 @@ def training_texts(rows: DataFrame, sample: int, budget: int) -> tuple[pa.Array,
 def fit(rows: DataFrame, budget: int = BYTES) -> Model:
     """rows: (id, label, text), a sample; what comes to the driver is bounded in rows and bytes."""
     texts, labels = training_texts(rows, SAMPLE, budget)
-    sets = [s for i in range(0, len(texts), 256) for s in indicators(*text_bytes(texts[i : i + 256]))]
+    found = [packed(indicators(*text_bytes(texts[i : i + 256]))) for i in range(0, len(texts), 256)]
+    del texts
+    sets = views(np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])) if found else []
+    del found
     order = np.random.default_rng(5).permutation(len(sets))
-    return fit_sets([sets[i] for i in order], labels[order] if len(labels) else labels)
+    model = fit_sets([sets[i] for i in order], labels[order] if len(labels) else labels)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
