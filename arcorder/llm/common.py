@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcorder.operators.storage import written
+from arcorder.operators.storage import scratch, written
 
-__all__ = ["bounded_rows", "byte_lengths", "hashed_sample", "no_clash", "split_batch", "table", "text_bytes", "unused_name", "written"]
+__all__ = ["bounded_rows", "byte_lengths", "hashed_sample", "no_clash", "scratch", "split_batch", "table", "text_bytes", "unused_name", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

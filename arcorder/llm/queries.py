@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcorder.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, ngram_join, packing, pii, quality, toxicity
-from arcorder.llm.common import table
+from arcorder.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, ngram_join, packing, pii, prefix_trie, quality, toxicity
+from arcorder.llm.common import scratch, table, written
 
 #: Public vocabulary, by the installed package's own path; a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -150,5 +150,46 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html, "pii_base_spans": pii_base_spans}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_ngram_join": OP9_SQL, "pii_base_spans": PII_SQL}
+def rebuilt(ranked: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv, depth, content, words) and (conv, length): the first h turns of conversation c - c % 20, then c's own after its first h."""
+    conv = F.col("conv")
+    some = convs.select("conv", "first", "n", (F.crc32(conv.cast("string")) % 4).alias("h"), (conv - conv % 20).alias("base"))
+    taken = F.least("h", F.coalesce("base_n", F.lit(0)))
+    some = some.join(convs.select(conv.alias("base"), F.col("n").alias("base_n")), "base", "left").withColumn("taken", taken)
+    some = written(some.withColumn("length", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))), "trie-rebuilt")
+    pos = F.col("rank") - F.col("first")
+    own = ranked.join(some.select("conv", "first", "h", "taken"), "conv").where(pos >= F.col("h")).select("conv", (F.col("taken") + pos - F.col("h") + 1).alias("depth"), "content", "words")
+    heads = ranked.where("conv % 20 = 0").join(convs.where("conv % 20 = 0").select("conv", "first"), "conv").where(pos < 3).select(conv.alias("base"), (pos + 1).alias("depth"), "content", "words")
+    given = some.where("taken > 0").select("conv", "base", "taken").join(heads, "base").where("depth <= taken").select("conv", "depth", "content", "words")
+    return written(own.unionByName(given), "trie-turns"), some.select("conv", "length")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch() as work:
+        rows, lengths = rebuilt(*prefix_trie.turns(table(spark, sf_dir, "conversations")))
+        return work.keep(prefix_trie.trie(rows, lengths), "op11")
+
+
+#: CRC-32 of the decimal digits of x, bit by bit.
+CRC32_SQL = """xor(4294967295, LIST_REDUCE(LIST_PREPEND(4294967295::BIGINT, LIST_TRANSFORM(STRING_SPLIT(CAST(x AS VARCHAR), ''), lambda ch: ASCII(ch)::BIGINT)),
+    lambda c, b: LIST_REDUCE([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+OP11_SQL = f"""
+WITH own AS (SELECT conv_id AS c, LENGTH(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, '') AS said, LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+  ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, n, {CRC32_SQL.replace("(x ", "(c ")} % 4 AS h, c - c % 20 AS base FROM (SELECT c, COUNT(*) AS n FROM own GROUP BY c)),
+info AS (SELECT v.c, v.n, v.h, v.base, LEAST(v.h, COALESCE(b.n, 0)) AS taken FROM convs v LEFT JOIN convs b ON v.base = b.c),
+turns AS (SELECT own.c, taken + pos - h AS depth, said, words FROM own JOIN info ON own.c = info.c WHERE pos > h
+  UNION ALL SELECT info.c, pos, said, words FROM info JOIN own ON own.c = base WHERE pos <= taken
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+paths AS (SELECT c, depth, words, depth = MAX(depth) OVER (PARTITION BY c) AS ends, STRING_AGG(SHA256(said), '') OVER (PARTITION BY c ORDER BY depth) AS path FROM turns),
+nodes AS (SELECT path, depth, MIN(c) AS conv_id, COUNT(*) AS n_convs, MAX(words) AS words, LEFT(path, LENGTH(path) - 64) AS above,
+  SHA256(COALESCE(STRING_AGG(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256, BOOL_AND(ends) AS leaf FROM paths GROUP BY path, depth),
+pairs AS (SELECT DISTINCT a.path AS top, b.path AS node FROM paths a JOIN paths b ON a.c = b.c AND a.depth <= b.depth),
+sums AS (SELECT top, CAST(SUM((n_convs - 1) * words) AS BIGINT) AS saved_tokens, COUNT(*) FILTER (leaf) AS n_leaves, COUNT(*) FILTER (above = top AND depth > 0) AS n_children FROM pairs JOIN nodes ON node = path GROUP BY top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums ON n.path = top LEFT JOIN nodes p ON n.depth > 0 AND n.above = p.path
+"""
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html, "op11_prefix_trie": op11_prefix_trie, "pii_base_spans": pii_base_spans}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_ngram_join": OP9_SQL, "op11_prefix_trie": OP11_SQL, "pii_base_spans": PII_SQL}
