@@ -7,12 +7,12 @@ merged in groups of partitions; the last, partly filled window of a group is cut
 powers of two, which need no padding.
 
 Null texts count as empty; each document ends with the end id, so none is without a piece. Repeated rows are packed
-like any others. An empty table gives no pieces.
+like any others. Texts of any length are encoded whole, also runs of a million spaces. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ PIECES = "id long, start long, length long, ids binary, doc_tokens long, sequenc
 NAMES = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "open"]
 #: Partitions whose open windows are merged in one task.
 MERGED = 8
+#: Characters above which a text is encoded without tiktoken.
+LONG = 100_000
 
 
 class Windows:
@@ -86,31 +88,45 @@ class Windows:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
 
-def fast_encoder(model: Bpe, tokens: list[bytes]) -> tiktoken.Encoding:
-    """The same vocabulary in tiktoken; its ids follow the order of merges."""
+def fast_encoder(model: Bpe, tokens: list[bytes]) -> tiktoken.Encoding | None:
+    """The same vocabulary in tiktoken, which takes ids for ranks; None where ids don't follow the order of merges."""
     if not hasattr(model, "_tiktoken"):
-        if (np.diff(model.made) <= 0).any():
-            raise ValueError("the ids of this vocabulary don't follow its merges")
         special = set(model.special.values())
-        model._tiktoken = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens) if t and i not in special}, special_tokens=model.special)
+        ranks = {t: i for i, t in enumerate(tokens) if t and i not in special}
+        model._tiktoken = None if (np.diff(model.made) <= 0).any() else tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=model.special)
     return model._tiktoken
 
 
+def encoder_of(vocabulary: SharedVocabulary) -> Callable[[str], bytes]:
+    """The ids of a whole text as unsigned 32 bits, little-endian.
+
+    tiktoken is the faster one, but its pattern engine runs out of stack on very long runs of white space; texts of more
+    than LONG characters, and vocabularies that it can't hold, go through the library's own encoder, which takes any.
+    """
+    model = model_of(vocabulary)
+    fast = fast_encoder(model, vocabulary.value["tokens"])
+
+    def encode(text: str) -> bytes:
+        if fast is None or len(text) > LONG:
+            return model.encode([text])[0]
+        ids = fast.encode(text, allowed_special="all") if any(s in text for s in model.special) else fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
+
+    return encode
+
+
 def pack(df: DataFrame, vocabulary: SharedVocabulary, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, windows: int = 32, end_id: int = 0) -> DataFrame:
     """Pieces of all documents: id, start, length, ids (binary: unsigned 32 bits, little-endian), doc_tokens, sequence_id, offset."""
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(vocabulary)
-        encoder = fast_encoder(model, vocabulary.value["tokens"])
+        encode = encoder_of(vocabulary)
         state = Windows(width, windows, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for part in split_batch(batch, "text"):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    text = text or ""
-                    ids = encoder.encode(text, allowed_special="all") if any(s in text for s in model.special) else encoder.encode_ordinary(text)
-                    state.add(doc, np.array(ids, dtype="<u4").tobytes() + end)
+                    state.add(doc, encode(text or "") + end)
                 yield state.taken()
         state.finish()
         yield state.taken()

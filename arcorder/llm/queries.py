@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcorder.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, ngram_join, packing, pii, prefix_trie, quality, toxicity
+from arcorder.llm import bpe, embedding_dedup, exact_dedup, genetic_packing, html_text, language_id, ngram_join, packing, periodic_runs, pii, prefix_trie, quality, toxicity
 from arcorder.llm.common import scratch, table, written
 
 #: Public vocabulary, by the installed package's own path; a parameter of the operators.
@@ -191,5 +191,37 @@ FROM nodes n JOIN sums ON n.path = top LEFT JOIN nodes p ON n.depth > 0 AND n.ab
 """
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html, "op11_prefix_trie": op11_prefix_trie, "pii_base_spans": pii_base_spans}
+def op12_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = genetic_packing.pack(table(spark, sf_dir, "documents"), vocabulary(spark))
+    return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h = crc32(doc_id) a multiple of 10 and g = h div 10, the words from g % n on repeat the first 1 + (n - g % n) div (3 + g % 8) of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(prefix_trie.WORD), F.lit(0)))
+    some = docs.select("doc_id", "text", words.alias("w"), g.alias("g")).withColumn("n", F.coalesce(F.size("w"), F.lit(0)))
+    some = some.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    return some.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_ngram_join": op9_ngram_join, "op10_html": op10_html, "op11_prefix_trie": op11_prefix_trie, "op12_genetic_packing": op12_genetic_packing, "op13_periodic_runs": op13_periodic_runs, "pii_base_spans": pii_base_spans}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_ngram_join": OP9_SQL, "op11_prefix_trie": OP11_SQL, "pii_base_spans": PII_SQL}
