@@ -10,10 +10,14 @@ structured perceptron moves the weights until the best region is the labelled on
 a bounded, hashed sample of SAMPLE pages and BYTES bytes of them. A name that stands only outside of their marks starts
 at 0, so the pages alone decide about it; any other has a prior by its meaning (UNSEEN).
 
+An <article> or <main> that stands in nothing negative and in no other one is read as if nothing were around it; any
+other (a comment or a teaser is an article too) counts what it stands in and its own names like all elements do. Where a
+page has several outermost articles, their own names count as well, so a comment beside the article is told from it.
+
 White space inside a block becomes one space, blocks are joined by a newline, character references are decoded; a
 <br> is white space. Null, empty or textless pages give an empty text. Every row is kept, whole pages are read in time
-that is linear in their length. Elements deeper than DEPTH stand in the one at that depth, as in browsers. An output
-column named like one in `keep` is an error.
+that is linear in their length, however deep their elements are nested (the fit leaves out pages with more than NAMES
+names around one word). An output column named like one in `keep` is an error.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from arcorder.llm.common import bounded_rows, hashed_sample, no_clash, split_bat
 SAMPLE, BYTES = 400, 1 << 25
 #: By how much, for each word, the labelled region must beat every other one.
 MARGIN = 0.25
-DEPTH = 512
+#: Names around one word of a page that the fit takes, at most.
+NAMES = 512
 #: The rest of a self-closed tag; a slash that ends an unquoted value is part of the value.
 SELF_CLOSED = r"(?:[^\s\"'>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+|\s++|/(?!>))*+/>"
 SELF_CLOSED_REST = re.compile(SELF_CLOSED)
@@ -55,7 +60,6 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 MARKS = {"article", "main"}
-HOLDERS = {"html", "body"} | MARKS
 DIGITS = re.compile("[0-9]+")
 #: Elements whose end tag is optional: the start tags that end them, and the open elements that these don't reach across.
 LISTS, TABLE = {"ul", "ol", "menu"}, {"table"}
@@ -76,8 +80,8 @@ HEAD_ONLY = {"base", "link", "meta"}
 CELLS = {"td", "th", "caption"}
 TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "body", "html"}
 
-#: What the words stand in, or (tag,); text; number of words (0 for tags and white space).
-Token = tuple[tuple[str, ...], str, int]
+#: What the words stand in (its names, or the sum of their weights), or (tag,); text; number of words (0 for tags and white space).
+Token = tuple[tuple[str, ...] | float, str, int]
 SPACE: tuple[str, ...] = (" ",)
 
 
@@ -126,38 +130,92 @@ def names_of(name: str, attributes: str) -> list[str]:
     return found
 
 
-def tokens(page: str, marks: bool = True) -> list[Token]:
-    """marks: whether an article or main element starts afresh, whatever it stands in; without, it is no element at all."""
+class Around:
+    """What the words of an element stand in: the sum of the weights of its distinct names, or, for the fit, the names.
+
+    Each element only keeps the names that it adds, so nesting costs nothing more.
+    """
+
+    __slots__ = ("added", "mark", "names", "negative", "open", "score")
+
+    def __init__(self, outer: Around | None = None, added: list[str] = (), weights: Weights | None = None) -> None:
+        self.open: Counter[str] = outer.open if outer else Counter()  # names open now, shared by all that stand in one another
+        self.added = [n for n in dict.fromkeys(added) if not self.open[n]]
+        self.open.update(self.added)
+        self.mark: list | None = None
+        self.score, self.negative, self.names = 0.0, False, ()
+        if weights is None:
+            self.names = outer.names if outer else ()
+            if self.added:
+                self.names = tuple(sorted({*self.names, *self.added}))
+        elif outer:
+            self.score = outer.score + sum(weights[n] for n in self.added)
+            self.negative = outer.negative or any(weights[n] < 0 for n in self.added)
+
+    def close(self) -> None:
+        self.open.subtract(self.added)
+
+
+class TooDeep(Exception):
+    pass
+
+
+def tokens(page: str, weights: Weights | None = None) -> list[Token]:
+    """With weights, what words stand in is the sum of its names' weights; without (for the fit), it is the names, and
+    article and main are no elements at all."""
     out: list[Token] = []
     at = 0
     opened = Opened()
-    within: list[tuple[str, ...]] = [()]  # what a word stands in, outside of all elements and in each of them
+    within = [Around()]  # what a word stands in, outside of all elements and in each of them
+    marks: list[list] = []  # first token, end, weight of the own names of each outermost article
 
     def text(a: int, b: int) -> None:
         if b > a and (raw := page[a:b]) and not raw.isspace():
             said = html_lib.unescape(raw) if "&" in raw else raw
             words = len(said.split())
-            out.append((within[-1] if words else SPACE, said, words))
+            around = within[-1].names if weights is None else within[-1].score
+            out.append((around if words else SPACE, said, words))
         elif b > a:
             out.append((SPACE, " ", 0))
 
+    def close(depth: int) -> None:
+        while len(within) > depth:
+            done = within.pop()
+            done.close()
+            if done.mark:
+                done.mark[1] = len(out)
+
     for start, end, name, closing, attributes in markup(page):
         text(at, start)
         at = end
         if not name:
             continue
-        if marks or name not in MARKS:
+        if weights is not None or name not in MARKS:
             if closing:
                 opened.end_tag(name)
             else:
                 opened.start_tag(name)
-            del within[len(opened.names) + 1 :]
-            if not closing and name not in VOID and not attributes.endswith("/") and len(opened.names) < DEPTH:
-                found = names_of(name, attributes) if name not in HOLDERS else []
-                within.append(() if name in HOLDERS else tuple(sorted({*within[-1], *found})) if found else within[-1])
+            close(len(opened.names) + 1)
+            if not closing and name not in VOID and not attributes.endswith("/"):
+                own = names_of(name, attributes) if name not in ("html", "body") else []
+                outermost = name in MARKS and not opened.places.get("main") and not (name == "article" and opened.places.get("article"))
+                if name in ("html", "body") or outermost and (name == "main" or not within[-1].negative):
+                    within.append(Around())
+                    if name == "article":
+                        within[-1].mark = [len(out), -1, sum(weights[n] for n in dict.fromkeys(own))]
+                        marks.append(within[-1].mark)
+                else:
+                    within.append(Around(within[-1], own, weights))
+                    if weights is None and len(within[-1].names) > NAMES:
+                        raise TooDeep
                 opened.push(name)
         out.append(((f"{'/' if closing else ''}{name}",), "", 0))
     text(at, len(page))
+    close(1)
+    if len(marks) > 1:
+        for a, b, own in marks:
+            if own:
+                out[a:b] = [(t[0] + own, t[1], t[2]) if t[2] else t for t in out[a:b]]
     return out
 
 
@@ -224,6 +282,8 @@ class Weights(dict):
         names, _, words = token
         if not words:
             return self[names[0]]
+        if isinstance(names, float):
+            return words * (1.0 + names)
         return words * (1.0 + sum(self[n] for n in names))
 
 
@@ -259,14 +319,17 @@ def region_text(found: list[Token], weights: Weights) -> str:
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    found = tokens(page or "")
+    found = tokens(page or "", weights)
     a, b = best_run([weights.of(t) for t in found])
     return region_text(found[a:b], weights)
 
 
 def labelled_page(page: str) -> tuple[list[Token], int, int] | None:
     """The tokens without the marks, and the region that they labelled; None unless there is exactly one of one kind."""
-    found = tokens(page, marks=False)
+    try:
+        found = tokens(page)
+    except TooDeep:
+        return None
     for name in ("article", "main"):
         a, b = [i for i, t in enumerate(found) if not t[2] and t[0][0] == name], [i for i, t in enumerate(found) if not t[2] and t[0][0] == f"/{name}"]
         if len(a) == len(b) == 1 and a[0] < b[0]:
