@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from arcorder.functions.columns import inverse_normal, normal, uniform
-from arcorder.operators.ranking import global_rank
+from arcorder.operators.ranking import global_rank, ranked_values
 from arcorder.operators.storage import written
 
 #: Rows in a block of pairwise distances.
@@ -30,7 +31,7 @@ def ks_normal(df: DataFrame, column: str) -> DataFrame:
 
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """(rank, sample, theoretical): sorted values against medians of normal order statistics."""
-    ranked = global_rank(df.select(F.col(column).alias("sample")), "sample").crossJoin(F.broadcast(df.agg(F.count(column).alias("n"))))
+    ranked = ranked_values(df.select(F.col(column).alias("sample")), "sample").crossJoin(F.broadcast(df.agg(F.count(column).alias("n"))))
     i, n = F.col("rank") + 1, F.col("n")
     last = F.pow(F.lit(0.5), 1 / n)
     p = F.when(F.col("rank") == 0, 1 - last).when(F.col("rank") == n - 1, last).otherwise((i - 0.3175) / (n + 0.365))
@@ -93,8 +94,7 @@ def _sign(seed: int):
 
 def sample_marginal(pool: DataFrame, fan_in: int, fan_out: int, seed: int = 42) -> DataFrame:
     """Magnitudes drawn from the pool(value) with replacement, random signs, He variance."""
-    numbered = global_rank(pool, "value")
-    n = numbered.count()
+    numbered, n = ranked_values(pool, "value"), pool.where("value IS NOT NULL").count()
     drawn = _cells(pool.sparkSession, fan_in, fan_out).withColumn("rank", F.floor(uniform(seed, "i", "j") * n))
     return match_variance(drawn.join(numbered, "rank").select("i", "j", (F.col("value") * _sign(seed + 1)).alias("w")), float(np.sqrt(2 / fan_in)))
 
@@ -106,8 +106,8 @@ def sample_lognormal(spark: SparkSession, mu: float, sigma: float, fan_in: int,
 
 def sample_degree(ratios: DataFrame, fan_in: int, fan_out: int, seed: int = 42) -> DataFrame:
     """ratios(in_degree_ratio): each output's scale is the root of a drawn ratio."""
-    numbered = global_rank(ratios.select(F.col("in_degree_ratio").alias("d")), "d")
-    n = numbered.count()
+    ratios = ratios.where("in_degree_ratio IS NOT NULL")
+    numbered, n = ranked_values(ratios.select(F.col("in_degree_ratio").alias("d")), "d"), ratios.count()
     spark = ratios.sparkSession
     scale = spark.range(fan_out).select(F.col("id").alias("i"), F.floor(uniform(seed, F.col("id")) * n).alias("rank")).join(numbered, "rank").select("i", F.sqrt(F.greatest("d", F.lit(1e-4))).alias("s"))
     he = float(np.sqrt(2 / fan_in))
@@ -162,26 +162,53 @@ def class_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("label").agg(F.count("*").alias("n"))
 
 
+def _moments(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, their mean, and their products less the mean."""
+    mean = x.mean(0)
+    return len(x), mean, (x - mean).T @ (x - mean)
+
+
+def _merged(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """The moments of two sets of rows together, from those of each."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
 def gram(df: DataFrame, vector: str = "e") -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows, mean, and covariance (ddof 1): each task sums d x d products, and the sums meet in the driver."""
+    """Number of rows, mean, and covariance (ddof 1).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, g = 0, 0.0, 0.0
+    Each task merges the centred moments of its batches, and lots of tasks are merged in turn, so nothing cancels far from
+    the origin; one d x d matrix of the whole comes to the driver.
+    """
+    schema = "part long, n long, mean array<double>, products array<double>"
+
+    def frame(part: int, m: tuple | None) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "n": [m[0]], "mean": [m[1]], "products": [m[2].ravel()]}) if m else pd.DataFrame({"part": [], "n": [], "mean": [], "products": []})
+
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for f in frames:
             if len(f):
-                x = np.stack(f[vector].to_numpy()).astype(np.float64)
-                n, s, g = n + len(x), s + x.sum(0), g + x.T @ x
-        if n:
-            yield pd.DataFrame({"row": range(-1, len(s)), "values": [s, *g], "n": n})
-
-    parts = df.select(vector).mapInPandas(run, "row int, values array<double>, n long")
-    summed = parts.select("row", F.posexplode("values").alias("d", "x"), "n").groupBy("row", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
-    d = int(summed["d"].max()) + 1
-    m = np.zeros((d + 1, d))
-    m[summed["row"] + 1, summed["d"]] = summed["x"]
-    n = int(summed["n"].max())
-    mean = m[0] / n
-    return n, mean, (m[1:] - n * np.outer(mean, mean)) / max(1, n - 1)
+                m = _moments(np.stack(f[vector].to_numpy()).astype(np.float64))
+                total = m if total is None else _merged(total, m)
+        yield frame(TaskContext.get().partitionId(), total)
+
+    def together(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("part")
+        total = None
+        for n, mean, products in zip(t["n"], t["mean"], t["products"], strict=True):
+            m = (int(n), np.asarray(mean), np.asarray(products).reshape(len(mean), -1))
+            total = m if total is None else _merged(total, m)
+        return frame(int(t["lot"].iloc[0]), total)
+
+    parts = df.select(vector).mapInPandas(own, schema)
+    for lot in (F.expr("part div 32"), F.expr("part div 32"), F.lit(0)):  # at most 32 matrices a task, of the first 32,768 tasks' lots
+        parts = parts.withColumn("lot", lot.cast("long")).groupBy("lot").applyInPandas(together, schema)
+    row = parts.first()
+    if row is None:
+        raise ValueError("there are no rows")
+    n, mean = row["n"], np.array(row["mean"])
+    return n, mean, np.array(row["products"]).reshape(len(mean), -1) / max(1, n - 1)
 
 
 def pca(df: DataFrame, k: int, vector: str = "e") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,6 +253,7 @@ def silhouette(df: DataFrame, by: list[str] | None = None, vector: str = "e", bl
     def sums(t: pd.DataFrame) -> pd.DataFrame:
         out = []
         x = np.stack(t["v"].to_numpy())
+        x = x - x[0]  # distances stay, and squares are as small as they are
         square = np.einsum("ij,ij->i", x, x)
         a, b = t["a"].iloc[0], t["b"].iloc[0]
         left, right = np.flatnonzero(t["block"] == a), np.flatnonzero(t["block"] == b)

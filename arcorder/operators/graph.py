@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from arcorder.functions.columns import equal_bins
-from arcorder.operators.ranking import global_rank
+from arcorder.operators.ranking import at_ranks, global_rank
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -64,21 +66,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row with the exact quantile of each name, between two neighbours in proportion; null for no rows.
-
-    The values are ranked by range partitions, so any number of distinct ones is fine.
-    """
-    ranked = global_rank(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v")), "_v", name="_r")
-    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("_n"))))
-
-    def at(rank):
-        return F.max(F.when(F.col("_r") == rank, F.col("_v")))
-
-    cells = []
-    for name, share in shares.items():
-        place = (F.col("_n") - 1) * share
-        cells += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_at_{name}")]
-    return ranked.agg(*cells).select(*[(F.col(f"_lo_{n}") + F.col(f"_at_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in shares])
+    """One row with the exact quantile of each name, between two neighbours in proportion; null for no rows."""
+    rows = df.select(F.col(column).cast("double").alias("_v"))
+    n = rows.where("_v IS NOT NULL").count()
+    places = {name: (n - 1) * share for name, share in shares.items()}
+    ends = {f"{side}_{name}": cut(place) for name, place in places.items() for side, cut in (("lo", math.floor), ("hi", math.ceil))}
+    found = at_ranks(rows, "_v", ends)
+    return found.select(*[(F.col(f"lo_{k}") + (p - math.floor(p)) * (F.col(f"hi_{k}") - F.col(f"lo_{k}"))).alias(k) for k, p in places.items()])
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:

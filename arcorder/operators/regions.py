@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.operators.ranking import global_rank
+from arcorder.operators.ranking import at_ranks
 
 
 def clip_negative(df: DataFrame, column: str = "value") -> DataFrame:
@@ -30,6 +30,6 @@ def threshold_to_density(edges: DataFrame, regions: int, density: float) -> Data
     """The edges that reach the k-th largest weight, k = max(1, int(density * regions * (regions - 1))); all of its ties stay."""
     k = max(1, int(density * regions * (regions - 1)))
     positive = edges.where("weight > 0")
-    least = global_rank(positive.select("weight"), F.desc("weight")).where(F.col("rank") == k - 1).select(F.col("weight").alias("_least"))
     # with k edges or fewer of positive weight there is no such rank or it is the last: nothing is cut
+    least = at_ranks(positive, "weight", {"_least": positive.count() - k})
     return positive.join(F.broadcast(least), F.lit(True), "left").where("_least IS NULL OR weight >= _least").drop("_least")

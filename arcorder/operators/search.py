@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from arcorder.functions.columns import normal, uniform
 from arcorder.operators.components import hanging
 from arcorder.operators.graph import degrees, nodes_of, normalise_weights
-from arcorder.operators.ranking import global_rank
+from arcorder.operators.ranking import at_ranks, global_rank, running_total
 from arcorder.operators.score import score_runs, surrogate_gradient
 from arcorder.operators.storage import discard, shared_dir, written
 
@@ -299,7 +299,7 @@ def order_peeled(edges: DataFrame, share: float = 0.3, small: int = 200_000, use
             chosen = ends.select("node", F.when(F.col("in_deg") == 0, 0).otherwise(1).alias("side"), F.lit(i).alias("round"), "diff")
         else:
             keyed = d.withColumn("_key", F.abs("diff") if use_abs else F.col("diff"))
-            cut = keyed.agg(F.percentile_approx("_key", F.lit(1 - share), F.lit(10000)).alias("_cut"))
+            cut = at_ranks(keyed, "_key", {"_cut": max(0, math.ceil((1 - share) * d.count()) - 1)})
             side = F.when(F.col("diff") <= 0, 1).otherwise(0) if use_abs else F.lit(0)
             chosen = keyed.crossJoin(F.broadcast(cut)).where("_key >= _cut").select("node", side.alias("side"), F.lit(i).alias("round"), "diff")
         chosen = written(chosen, "peel-chosen")

@@ -324,6 +324,12 @@ nodes AS (SELECT src AS node FROM edges UNION SELECT tgt FROM edges),
 scc AS (SELECT node, LEAST(node, COALESCE((SELECT MIN(r.b) FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a WHERE r.a = node), node)) AS component FROM nodes)"""
 
 
+@query(f"{REACH} SELECT node, component FROM scc", recursive=True, edges=fx.MIXED_FLOW)
+def c9_scc_bulk(spark, d):
+    """All edges by rounds of bulk work, none by the one task that finishes small graphs."""
+    return components.strongly_connected_components(frame(spark, d, fx.MIXED_FLOW), small=0)
+
+
 @query(
     f"""{REACH}, sizes AS (SELECT COUNT(*) AS size FROM scc GROUP BY component)
 SELECT (SELECT COUNT(*) FROM nodes) AS n_nodes, (SELECT COUNT(*) FROM edges) AS n_edges, COUNT(*) AS n_scc, MAX(size) AS largest_scc, ROUND(MAX(size) / CAST(SUM(size) AS DOUBLE), 9) AS largest_scc_frac FROM sizes""",
