@@ -3,12 +3,13 @@ r"""Personal data: candidate spans, boosted trees and calibrated redaction, in D
 High-recall generators propose overlapping spans. The base kinds (email, ip, card, phone) are validated by format and
 checksum and always stay. The wider generators propose secrets (long runs of letters and digits) and numbers (digits in
 any grouping); gradient boosted trees score these by format and context, and a threshold for each kind, calibrated for
-PRECISION on held-out documents, selects them. One that lies within another span adds nothing and is left out; one that holds a base span stays beside it.
+PRECISION on forms that the trees did not see, selects them. One that lies within another span adds nothing and is left out; one that holds a base span stays beside it.
 
 No table says what is personal data, so the trees learn from phrases whose answer is known: PLANTED phrases, personal data
 (national phone numbers, keys, accounts) and lookalikes of it (dates, prices, reference numbers, slugs, identifiers), are
 set into windows of a bounded, hashed sample of SAMPLE documents, at places and with values that a hash of the id gives.
 A candidate that covers a planted span has that phrase's answer, whatever its features; all others are left out of the fit.
+Phrases of one form are a family, and the thresholds come from families that the trees did not see.
 
 A pattern marks its matches with U+0001 (one that stands in the text is read as U+0002, which no pattern accepts), so
 one pass and one split give pieces and matches. Running sums over them are taken in blocks of BLOCK, so a text with many
@@ -29,7 +30,7 @@ from arcorder.llm.common import hashed_sample
 
 #: Documents into whose windows phrases are planted, at most about, and the window's code points on each side.
 SAMPLE, WINDOW = 20_000, 100
-#: Share of planted personal data among what a threshold selects on held-out documents.
+#: Share of planted personal data among what a threshold selects of the unseen families.
 PRECISION = 0.98
 BLOCK = 256
 KINDS = ("email", "ip", "card", "phone")
@@ -68,6 +69,8 @@ FEATURES = {
     "hex": "double(s.m rlike '^[0-9a-fA-F]+$')",
     "changes": "double(length(regexp_replace(s.m, '(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])', ' ')) - length(s.m))",
     "longest": "double(array_max(transform(split(s.m, '[^A-Za-z]+'), w -> length(w))))",
+    "digit_runs": "double(size(filter(split(s.m, '[^0-9]+'), d -> d != '')))",
+    "turns": "double(length(regexp_replace(s.m, '(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])', ' ')) - length(s.m))",
     "groups": "double(size(split(s.m, '[^A-Za-z0-9]+')))",
     "last": "double(length(element_at(split(s.m, '[^0-9]+'), -1)))",
     "dots": "double(length(regexp_replace(s.m, '[^.]', '')))",
@@ -99,35 +102,40 @@ def _digits(*groups: int | str) -> str:
     return f"concat({', '.join(out)})"
 
 
-#: Is it personal data, what stands before it, SQL of its value (of MATERIAL), what stands after it.
-PLANTED: list[tuple[bool, str, str, str]] = [
-    *[(True, before, _digits("(", 3, ") ", 3, "-", 4), "") for before in ("", "call ", "at ")],
-    *[(True, before, _digits(3, "-", 3, "-", 4), "") for before in ("", "phone ", "number ")],
-    (True, "tel. ", _digits("0", 2, " ", 4, " ", 4), ""),
-    (True, "phone: ", _digits("00", 2, " ", 3, " ", 7), ""),
-    (True, "mobile ", _digits(3, ".", 3, ".", 4), ""),
-    (True, "fax ", _digits(1, " (", 3, ") ", 3, "-", 4), ""),
-    (True, "", _digits("(0", 2, ") ", 3, " ", 4), ""),
-    *[(True, before, f"substring({_H}, 1, {n})", after) for before, n, after in (('token = "', 40, '"'), ("key: ", 32, ""), ("", 40, ""), ("", 64, ""), ("secret=", 24, ""))],
-    (True, 'TOKEN = "', f"upper(substring({_H}, 1, 40))", '"'),
-    *[(True, before, f"substring({_B}, 1, {n})", after) for before, n, after in (("api_key=", 32, ""), ("password: ", 20, ""), ("Bearer ", 43, ""), ("", 40, ""), ("auth='", 28, "'"))],
-    (True, "", f"concat('sk_live_', substring({_B}, 1, 24))", ""),
-    (True, "iban ", f"concat('DE', substring({_D}, 1, 20))", ""),
-    (False, "on ", _digits("20", 2, "-0", 1, "-1", 1, " 1", 1), ""),
-    (False, "", _digits("19", 2, "-20", 2, " 20", 2), ""),
-    (False, "costs ", _digits(1, " ", 3, " ", 3, ".", 2), ""),
-    *[(False, before, _digits(16), "") for before in ("", "no. ", "order ")],
-    *[(False, before, _digits(n), "") for before, n in (("order ", 10), ("", 12), ("item ", 9))],
-    (False, "version ", _digits(2, ".", 2, ".3", 2, ".", 1), ""),
-    (False, "pages ", _digits(3, "-", 3, " ", 3), ""),
-    (False, "", _digits("(", 2, ".", 1, ") - (", 1, ".", 2, ")"), ""),
-    (False, "isbn ", _digits("978-", 1, "-", 2, "-", 6, "-", 1), ""),
-    *[(False, before, f"concat('x', {_WORDS}, '-20', substring({_D}, 3, 2))", after) for before, after in (("see ", ""), ("/", "/index.html"), ("id=", ""), ('title: "', '"'))],
-    *[(False, before, f"concat(replace(initcap(replace({_WORDS}, '-', ' ')), ' ', ''), 'Plus20', substring({_D}, 3, 2))", after) for before, after in (("", ""), ("key: ", ""), ('"', '"'))],
-    (False, "", f"concat(repeat(substring({_H}, 1, 1), 17), 'a1')", ""),
-    (False, "ref=", f"concat('item_20', substring({_D}, 1, 2), '_000', substring({_D}, 4, 3), '_v', substring({_D}, 8, 1))", ""),
-    (False, "", f"concat('chapter-', substring({_D}, 1, 2), '-section-', substring({_D}, 4, 1), '-figure-', substring({_D}, 6, 1))", ""),
+#: Families of phrases of one form: is it personal data, what stands before it, SQL of its value (of MATERIAL), what stands after it.
+FAMILIES: list[list[tuple[bool, str, str, str]]] = [
+    [(True, before, _digits("(", 3, ") ", 3, "-", 4), "") for before in ("", "call ", "at ")],
+    [(True, before, _digits(3, "-", 3, "-", 4), "") for before in ("", "phone ", "number ")],
+    [(True, "tel. ", _digits("0", 2, " ", 4, " ", 4), "")],
+    [(True, "phone: ", _digits("00", 2, " ", 3, " ", 7), "")],
+    [(True, "mobile ", _digits(3, ".", 3, ".", 4), "")],
+    [(True, "fax ", _digits(1, " (", 3, ") ", 3, "-", 4), "")],
+    [(True, "", _digits("(0", 2, ") ", 3, " ", 4), "")],
+    [(True, before, f"substring({_H}, 1, {n})", after) for before, n, after in (('token = "', 40, '"'), ("key: ", 32, ""), ("", 40, ""), ("", 64, ""), ("secret=", 24, ""))],
+    [(True, 'TOKEN = "', f"upper(substring({_H}, 1, 40))", '"')],
+    [(True, before, f"substring({_B}, 1, {n})", after) for before, n, after in (("api_key=", 32, ""), ("password: ", 20, ""), ("Bearer ", 43, ""), ("", 40, ""), ("auth='", 28, "'"))],
+    [(True, "", f"concat('sk_live_', substring({_B}, 1, 24))", "")],
+    [(True, "iban ", f"concat('DE', substring({_D}, 1, 20))", "")],
+    [(False, "on ", _digits("20", 2, "-0", 1, "-1", 1, " 1", 1), "")],
+    [(False, "", _digits("19", 2, "-20", 2, " 20", 2), "")],
+    [(False, "costs ", _digits(1, " ", 3, " ", 3, ".", 2), "")],
+    [(False, before, _digits(16), "") for before in ("", "no. ", "order ")],
+    [(False, before, _digits(n), "") for before, n in (("order ", 10), ("", 12), ("item ", 9))],
+    [(False, "version ", _digits(2, ".", 2, ".3", 2, ".", 1), "")],
+    [(False, "pages ", _digits(3, "-", 3, " ", 3), "")],
+    [(False, "", _digits("(", 2, ".", 1, ") - (", 1, ".", 2, ")"), "")],
+    [(False, "isbn ", _digits("978-", 1, "-", 2, "-", 6, "-", 1), "")],
+    [(False, before, f"concat('x', {_WORDS}, '-20', substring({_D}, 3, 2))", after) for before, after in (("see ", ""), ("/", "/index.html"), ("id=", ""), ('title: "', '"'))],
+    [(False, before, f"concat(replace(initcap(replace({_WORDS}, '-', ' ')), ' ', ''), 'Plus20', substring({_D}, 3, 2))", after) for before, after in (("", ""), ("key: ", ""), ('"', '"'))],
+    [(False, "", f"concat(repeat(substring({_H}, 1, 1), 17), 'a1')", "")],
+    [(False, "ref=", f"concat('item_20', substring({_D}, 1, 2), '_000', substring({_D}, 4, 3), '_v', substring({_D}, 8, 1))", "")],
+    [(False, "", f"concat('chapter-', substring({_D}, 1, 2), '-section-', substring({_D}, 4, 1), '-figure-', substring({_D}, 6, 1))", "")],
 ]
+PLANTED = [phrase for family in FAMILIES for phrase in family]
+FAMILY_OF = [k for k, family in enumerate(FAMILIES) for _ in family]
+#: Families that the trees behind the thresholds never see, of both answers and both kinds: two forms of telephone numbers, two of keys,
+#: prices, pages, item numbers and chapters.
+UNSEEN = [2, 6, 8, 10, 14, 18, 24, 25]
 
 
 def running(items: str, kind: str, weight: str, join: str) -> str:
@@ -166,7 +174,7 @@ def _base(kind: str) -> str:
 
 
 def planted_rows(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
-    """(id, kind, the features, label, held_out): the candidates of the wider generators that cover a planted span."""
+    """(id, kind, the features, label, family): the candidates of the wider generators that cover a planted span."""
     texts = hashed_sample(df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")), "id", sample)
     at = F.pmod(F.xxhash64("id", F.lit(21)), F.greatest(F.length("text") - 2 * WINDOW, F.lit(0)) + 1).cast("int")
     windows = texts.groupBy("id").agg(F.min(F.substring("text", at + 1, F.lit(2 * WINDOW))).alias("w"))
@@ -174,13 +182,14 @@ def planted_rows(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE
     made = windows.select("id", *parts, *[F.expr(sql).alias(name) for name, sql in MATERIAL.items()], F.pmod(F.xxhash64("id", F.lit(22)), F.lit(len(PLANTED))).cast("int").alias("which"))
     values = F.expr("CASE which " + " ".join(f"WHEN {i} THEN {sql}" for i, (_, _, sql, _) in enumerate(PLANTED)) + " END")
     label, before, after = (F.array(*[F.lit(phrase[k]) for phrase in PLANTED])[F.col("which")] for k in (0, 1, 3))
-    made = made.select("id", "left_part", "right_part", values.alias("value"), before.alias("before"), after.alias("after"), label.alias("label"))
+    family = F.array(*map(F.lit, FAMILY_OF))[F.col("which")]
+    made = made.select("id", "left_part", "right_part", values.alias("value"), before.alias("before"), after.alias("after"), label.alias("label"), family.alias("family"))
     start = F.length("left_part") + 1 + F.length("before")
-    made = made.select("id", F.concat("left_part", F.lit(" "), "before", "value", "after", F.lit(" "), "right_part").alias("text"), start.alias("a"), (start + F.length("value")).alias("b"), "label")
+    made = made.select("id", F.concat("left_part", F.lit(" "), "before", "value", "after", F.lit(" "), "right_part").alias("text"), start.alias("a"), (start + F.length("value")).alias("b"), "label", "family")
     found = with_candidates(made, kinds=WIDE)
     wide = F.concat(*[F.expr(f"transform(_{k}, s -> named_struct('kind', '{k}', 'start', s.start, 'end', s.end, 'm', s.m, 'before', s.before, 'after', s.after))") for k in WIDE])
-    rows = found.select("id", "a", "b", "label", F.explode(wide).alias("s")).where("2 * (least(s.end, b) - greatest(s.start, a)) > greatest(s.end, b) - least(s.start, a)")
-    return rows.select("id", "s.kind", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()], F.col("label").cast("double").alias("label"), (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(5)) == 0).alias("held_out"))
+    rows = found.select("id", "a", "b", "label", "family", F.explode(wide).alias("s")).where("2 * (least(s.end, b) - greatest(s.start, a)) > greatest(s.end, b) - least(s.start, a)")
+    return rows.select("id", "s.kind", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()], F.col("label").cast("double").alias("label"), "family")
 
 
 def trees_sql(model) -> str:
@@ -196,27 +205,48 @@ def trees_sql(model) -> str:
     return f"1D / (1D + exp(-2D * ({margin})))"
 
 
-def fit_trees(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> tuple[str, dict[str, float]]:
-    """The trees as an SQL expression over the features f of a candidate, and the threshold of each kind; nothing passes one of 2.0."""
+def _trees() -> GBTClassifier:
+    return GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.3, seed=3, maxBins=32)
+
+
+def fit_trees(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, families: list[dict] | None = None) -> tuple[str, dict[str, float]]:
+    """The trees as an SQL expression over the features f of a candidate, and the threshold of each kind; nothing passes one of 2.0.
+
+    Trees that never saw the UNSEEN families give the thresholds: among the candidates of these families, PRECISION of what
+    a threshold selects is planted personal data. The trees that are used are then fitted on all families.
+    families: a list that gets (family, kind, label, n, selected) of each unseen family.
+    """
     none = ("0.0D", dict.fromkeys(WIDE, 2.0))
     table = planted_rows(df, id_col, text_col, sample)
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("id", "kind", "features", "label", "held_out").repartition(8, "id").cache()
-    counts = {r["label"]: r["count"] for r in table.where("NOT held_out").groupBy("label").count().collect()}
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("id", "kind", "features", "label", "family").repartition(8, "id").cache()
+    unseen = F.col("family").isin(UNSEEN)
+    counts = {r["label"]: r["count"] for r in table.where(~unseen).groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 5:
         table.unpersist()
         return none
-    model = GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.3, seed=3, maxBins=32).fit(table.where("NOT held_out"))
-    scored = model.transform(table.where("held_out")).select("kind", "label", vector_to_array("probability")[1].alias("p"))
-    grid = scored.groupBy("kind", F.round("p", 3).alias("p")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()
-    table.unpersist()
+    blind = _trees().fit(table.where(~unseen))
+    scored = blind.transform(table.where(unseen)).select("kind", "family", "label", vector_to_array("probability")[1].alias("p"))
+    grid = scored.groupBy("kind", "family", "label", F.round("p", 3).alias("p")).agg(F.count("*").alias("n")).collect()
     thresholds = dict.fromkeys(WIDE, 2.0)
     for kind in WIDE:
-        good, n = 0.0, 0
+        good, n = 0, 0
+        steps: dict[float, list[int]] = {}
         for r in grid:
             if r["kind"] == kind:
-                good, n = good + r["good"], n + r["n"]
-                if r["p"] >= 0.5 and n >= 5 and good >= PRECISION * n:
-                    thresholds[kind] = r["p"] - 0.0005
+                step = steps.setdefault(r["p"], [0, 0])
+                step[0], step[1] = step[0] + int(r["label"]) * r["n"], step[1] + r["n"]
+        for p in sorted(steps, reverse=True):
+            good, n = good + steps[p][0], n + steps[p][1]
+            if p >= 0.5 and n >= 5 and good >= PRECISION * n:
+                thresholds[kind] = p - 0.0005
+    if families is not None:
+        found: dict[tuple, list[int]] = {}
+        for r in grid:
+            one = found.setdefault((r["family"], r["kind"], r["label"]), [0, 0])
+            one[0], one[1] = one[0] + r["n"], one[1] + r["n"] * (r["p"] >= thresholds[r["kind"]])
+        families += [{"family": f, "kind": k, "label": y, "n": n, "selected": m} for (f, k, y), (n, m) in sorted(found.items())]
+    model = _trees().fit(table)
+    table.unpersist()
     return trees_sql(model), thresholds
 
 
