@@ -5,7 +5,8 @@ and one for each of the PREFIXES (first bytes of a word), so that words built on
 several widths slide over the word vectors, each filter's largest value in the text is kept, and a linear layer gives
 the logit. The net is trained by back-propagation (Adagrad) on a bounded, hashed sample of SAMPLE labelled rows and
 BYTES bytes of text (one text has a sixteenth of them at most). On a part that training did not see, a threshold is found for each group of languages and mapped to a score of 0.7; a
-text's group comes from the letters it uses, so the language column is no input.
+text's group is the cluster its letters fall in: pairs of neighbouring letters, clustered over the training texts
+(scripts and languages part by themselves, whatever they are), so the language column is no input.
 
 Whole texts are scored. Null, empty or wordless texts are read as one blank word. Rows are kept as they are; a kept
 column named like the score is an error.
@@ -29,21 +30,36 @@ BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7)
 TABLES = 2 + len(PREFIXES)
 PAD = max(WIDTHS)
-#: Second bytes (in UTF-8, after C3) of small letters that tell groups of languages apart.
-LETTERS = (b"\xa4\xb6\xbc\x9f", b"\xa9\xa8\xaa\xa7\xa0\xb9\xae", b"\xb1\xad\xb3\xa1\xba")
-_group = np.zeros(256, dtype=np.int64)
-for _k, _bytes in enumerate(LETTERS):
-    _group[list(_bytes)] = _k + 1
-
-
-def groups_of(off: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """0: few marked letters; else 1 + the index of the group whose letters the text uses most."""
-    at = np.flatnonzero(raw[:-1] == 0xC3) if len(raw) else np.zeros(0, np.int64)
-    which, text = _group[raw[at + 1]], np.searchsorted(off, at, side="right") - 1
-    counts = np.zeros((len(off) - 1, 4))
-    np.add.at(counts, (text, which), 1)
-    counts[:, 0] = np.diff(off) * 0.002
-    return counts.argmax(1)
+#: Groups of texts by the letters they use, hashed pairs of bytes that tell them apart, and rounds of the clustering.
+GROUPS, PAIRS, ROUNDS = 8, 512, 12
+
+
+def profiles(off: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Of each text the roots of its shares of hashed pairs of neighbouring letters' bytes, as unit vectors."""
+    letter = (raw >= 97) & (raw <= 122) | (raw >= 128)
+    at = np.flatnonzero(letter[:-1] & letter[1:]) if len(raw) else np.zeros(0, np.int64)
+    text = np.searchsorted(off, at, side="right") - 1
+    inside = at + 1 < off[text + 1]
+    at, text = at[inside], text[inside]
+    pair = (mixed(raw[at].astype(np.uint64) * np.uint64(256) + raw[at + 1]) >> np.uint64(32)).astype(np.int64) % PAIRS
+    out = np.sqrt(np.bincount(text * PAIRS + pair, minlength=(len(off) - 1) * PAIRS).reshape(-1, PAIRS))
+    return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-12)[:, None]
+
+
+def clusters(x: np.ndarray, count: int = GROUPS) -> np.ndarray:
+    """Centres of spherical k-means: the first text, then always the one least like all so far; fewer if texts are alike."""
+    if not len(x):
+        return np.zeros((1, PAIRS))
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(count, len(x)) and near.min() < 0.9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    centres = x[chosen]
+    for _ in range(ROUNDS):
+        group = (x @ centres.T).argmax(1)
+        sums = np.stack([x[group == g].sum(0) if (group == g).any() else centres[g] for g in range(len(centres))])
+        centres = sums / np.maximum(np.sqrt((sums * sums).sum(1)), 1e-12)[:, None]
+    return centres
 
 
 def word_rows(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +94,7 @@ class Net:
             "o": np.full(1, -1.0, dtype=np.float32),
         }
         self.p["e"][:, 0] = 0
+        self.centres = np.zeros((1, PAIRS))
         self.lines: dict[int, tuple[float, float]] = {}
 
     def forward(self, rows: np.ndarray, n: np.ndarray, where: bool = False):
@@ -141,18 +158,21 @@ class Net:
                     seen["e"][side, row] += total**2
                     self.p["e"][side, row] -= rate * total / np.sqrt(seen["e"][side, row])
 
+    def groups(self, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        return (profiles(off, raw) @ self.centres.T).argmax(1)
+
     def calibrate(self, logits: np.ndarray, y: np.ndarray, group: np.ndarray) -> None:
         """For each group of languages the threshold of best F1 (all groups' where it has too few labels), mapped to 0.7."""
         whole = best_threshold(logits, y)
         scale = 1.0 / max(float(np.std(logits)), 1e-3) if len(logits) else 1.0
-        for g in range(4):
+        for g in range(len(self.centres)):
             mine = group == g
             enough = min(y[mine].sum(), (1 - y[mine]).sum()) >= 20
             self.lines[g] = (scale, best_threshold(logits[mine], y[mine]) if enough else whole)
 
     def scores(self, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
         rows, n = word_rows(off, raw)
-        slope, middle = (np.array([self.lines[g][k] for g in groups_of(off, raw)]) for k in (0, 1))
+        slope, middle = (np.array([self.lines[g][k] for g in self.groups(off, raw)]) for k in (0, 1))
         return 1 / (1 + np.exp(-np.clip(4 * slope * (self.logits(rows, n) - middle) + np.log(0.7 / 0.3), -30, 30)))
 
 
@@ -175,12 +195,15 @@ def fit(rows: DataFrame, budget: int = BYTES) -> Net:
         net.calibrate(np.zeros(0), np.zeros(0), np.zeros(0))
         return net
     order = np.random.default_rng(4).permutation(len(texts))
-    cut, group = [], np.zeros(len(texts), dtype=np.int64)
+    cut, letters = [], []
     for i in range(0, len(texts), 256):
         off, raw = text_bytes(texts[i : i + 256])
         words, n = word_rows(off, raw)
         cut += [(words[b - m - PAD : b], m) for b, m in zip(np.cumsum(n + PAD), n, strict=True)]
-        group[i : i + 256] = groups_of(off, raw)
+        letters.append(profiles(off, raw))
+    letters = np.concatenate(letters)
+    net.centres = clusters(letters)
+    group = (letters @ net.centres.T).argmax(1)
     texts, y, group = [cut[i] for i in order], (labels[order] > 0).astype(float), group[order]
     held = np.arange(len(y)) % 4 == 0
     train = np.flatnonzero(~held) if len(y) >= 40 else np.arange(len(y))
