@@ -81,14 +81,18 @@ def bounded_rows(df: DataFrame, content: str, rows: int, budget: int) -> pa.Tabl
     a sixteenth of the budget is left out, and the order is cut where the budget ends. The sample is written, so what is
     counted is what is sent.
     """
-    some = written(df.where("id IS NOT NULL"), "sample")
+    with scratch():
+        return _bounded(written(df.where("id IS NOT NULL"), "sample"), content, rows, budget)
+
+
+def _bounded(some: DataFrame, content: str, rows: int, budget: int) -> pa.Table:
     size = F.coalesce(F.octet_length(F.col(content)), F.lit(0))
     order = F.xxhash64("id", F.lit(3))
     sizes = some.select("id", size.alias("size"), F.xxhash64(content).alias("print")).where(F.col("size") <= budget // 16).distinct().orderBy(order, "id", "print").limit(rows).toArrow()
     kept = sizes.slice(0, int(np.searchsorted(np.cumsum(sizes.column("size").to_numpy()), budget, side="right"))).select(["id", "print"])
     if not kept.num_rows:
         return some.limit(0).toArrow()
-    wanted = df.sparkSession.createDataFrame(kept.append_column("place", pa.array(range(kept.num_rows)))).withColumnRenamed("id", "_id")
+    wanted = some.sparkSession.createDataFrame(kept.append_column("place", pa.array(range(kept.num_rows)))).withColumnRenamed("id", "_id")
     rest = F.struct(F.lit(0).alias("_one"), *[c for c in some.columns if c not in ("id", content)])
     got = some.join(F.broadcast(wanted), (F.col("id") == F.col("_id")) & (F.xxhash64(content) == F.col("print"))).groupBy("place", "id", content).agg(F.min(rest).alias("_rest"))
     return got.select("place", "id", content, "_rest.*").drop("_one").toArrow().sort_by("place").select(some.columns)

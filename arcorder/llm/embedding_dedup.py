@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import text_bytes, written
+from arcorder.llm.common import scratch, text_bytes, written
 from arcorder.llm.components import components
 from arcorder.llm.hashing import Forest, grouped
 
@@ -33,6 +33,11 @@ CODES = "row long, id long, dim int, code binary, scale double, err double"
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """One row for each row: id, n_links, component_id (smallest id reachable by links), kept."""
+    with scratch() as work:
+        return work.keep(_near(df, id_col, vector_col, threshold), "embedding")
+
+
+def _near(df: DataFrame, id_col: str, vector_col: str, threshold: float) -> DataFrame:
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     # written, so that each row keeps its number

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.llm.common import split_batch, text_bytes, unused_name, written
+from arcorder.llm.common import scratch, split_batch, text_bytes, unused_name, written
 from arcorder.llm.components import components
 from arcorder.llm.hashing import Forest, grouped, mixed, shingle_sets
 
@@ -82,6 +82,11 @@ def _print(text_col: str):
 
 
 def _joined(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    with scratch() as work:
+        return work.keep(_classes_and_links(df, id_col, text_col, n, threshold), "join")
+
+
+def _classes_and_links(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), _print(text_col).alias("print"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     docs = written(texts.mapInArrow(_signatures(n), "id long, print long, set binary, sig binary"), "join-signatures")
     # partial aggregation takes a hot set down to a row for each task
