@@ -8,17 +8,18 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from arcorder.functions.columns import normal, uniform
+from arcorder.functions.columns import normal, sigmoid, uniform
 from arcorder.operators.components import hanging
 from arcorder.operators.graph import degrees, nodes_of, normalise_weights
 from arcorder.operators.ranking import at_ranks, global_rank, running_total
-from arcorder.operators.score import score_runs, surrogate_gradient
-from arcorder.operators.storage import discard, shared_dir, written
+from arcorder.operators.score import exact_weight, forward, score_runs, surrogate_gradient, with_positions
+from arcorder.operators.storage import discard, scratch, shared_dir, written
 
 
 @dataclass
@@ -85,20 +86,38 @@ def adam_step(state: DataFrame, grad: DataFrame, lr, t: int, clip: float = 1.0)
     return step.select("run", "node", (F.col("pos") - move).alias("pos"), "m", "v")
 
 
-def search(edges: DataFrame, runs: dict[str, tuple[int, Config]], time_limit: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _measured(edges: DataFrame, positions: DataFrame, betas: dict[str, float]) -> list:
+    """(run, score, total_weight, loss) of each run in one pass; edges carry norm_weight, the loss is that of the run's sharpness."""
+    beta = F.element_at(F.create_map(*[F.lit(x) for run, b in betas.items() for x in (run, float(b))]), F.col("run"))
+    joined = with_positions(exact_weight(edges), positions)
+    loss = -F.sum(sigmoid(beta * (F.col("pos_tgt") - F.col("pos_src"))) * F.col("norm_weight"))
+    return joined.groupBy("run").agg(F.sum(F.when(forward(), F.col("weight")).otherwise(0)).alias("score"), F.sum("weight").alias("total_weight"), loss.alias("loss")).collect()
+
+
+def _starts(edges: DataFrame, runs: dict[str, tuple[int, Config]], start: DataFrame | None) -> DataFrame:
+    """(run, node, pos, m, v): positions to start from; those of `start` (node, pos, and run if they differ) come before the settings' own."""
+    own = [init_positions(edges, cfg.init_mode, seed).withColumn("run", F.lit(run)) for run, (seed, cfg) in runs.items()]
+    state = reduce(DataFrame.unionByName, own)
+    if start is not None:
+        keys = ["run", "node"] if "run" in start.columns else ["node"]
+        given = start.select(*keys, F.col("pos").cast("double").alias("_given"))
+        state = state.join(given, keys, "left").withColumn("pos", F.coalesce("_given", "pos"))
+    return state.select("run", "node", "pos", F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+
+
+HISTORY = "run string, iter int, score double, best_score double, pct double, best_pct double, beta double, loss double, elapsed double, lr double"
+
+
+def search(edges: DataFrame, runs: dict[str, tuple[int, Config]], time_limit: float | None = None, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All runs (name: seed and settings, of equal epochs) at once -> best positions (run, node, pos) and history.
 
-    An epoch is two joins of the edges with the positions and one sum by (run, node); nothing but one row for each
+    start: positions (node, pos), for each run if they have one, to go on from. An epoch is two joins of the edges with the positions and one sum by (run, node); nothing but one row for each
     run and logged epoch comes to the driver. On disk are the edges, the best positions and two states at most.
     """
     spark = edges.sparkSession
     first = next(iter(runs.values()))[1]
     norm = written(normalise_weights(edges).select("src", "tgt", "weight", "norm_weight"), "search-edges")
-    starts = [init_positions(edges, cfg.init_mode, seed).withColumn("run", F.lit(run)) for run, (seed, cfg) in runs.items()]
-    state = starts[0]
-    for other in starts[1:]:
-        state = state.unionByName(other)
-    state = written(state.select("run", "node", "pos", F.lit(0.0).alias("m"), F.lit(0.0).alias("v")), "search-state")
+    state = written(_starts(edges, runs, start), "search-state")
     best = written(state.select("run", "node", "pos"), "search-best")
     scores = {r["run"]: r for r in score_runs(norm, best).collect()}
     top = {run: scores[run]["score"] for run in runs}
@@ -115,20 +134,92 @@ def search(edges: DataFrame, runs: dict[str, tuple[int, Config]], time_limit: fl
         state = new
         if i % first.log_interval == 0 or i == first.epochs - 1:
             better = []
-            for r in score_runs(norm, state.select("run", "node", "pos")).collect():
+            for r in _measured(norm, state.select("run", "node", "pos"), {run: schedule[run][i] for run in runs}):
                 run = r["run"]
                 if r["score"] > top[run]:
                     top[run] = r["score"]
                     better.append(run)
                 total = r["total_weight"]
-                history.append((run, i, float(r["score"]), float(top[run]), r["score"] * 100 / total, top[run] * 100 / total, schedule[run][i], time.time() - began, learning_rate(runs[run][1], i + 1)))
+                history.append((run, i, float(r["score"]), float(top[run]), r["score"] * 100 / total, top[run] * 100 / total, schedule[run][i], r["loss"], time.time() - began, learning_rate(runs[run][1], i + 1)))
             if better:
                 kept = written(best.where(~F.col("run").isin(better)).unionByName(state.where(F.col("run").isin(better)).select("run", "node", "pos")), "search-best")
                 discard(best)
                 best = kept
     discard(state, norm)
-    columns = "run string, iter int, score double, best_score double, pct double, best_pct double, beta double, elapsed double, lr double"
-    return best, spark.createDataFrame(history, columns)
+    return best, spark.createDataFrame(history, HISTORY)
+
+
+def _block_steps(runs: dict[str, tuple[int, Config]], schedule: dict[str, list[float]], first: int, steps: int, clip: float):
+    """Adam on one block of edges: `steps` steps from step `first` on, for all runs, on the block's own copies of its nodes."""
+
+    def go(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for run, mine in nodes.groupby("run", sort=True):
+            mine = mine.sort_values("node")
+            ids = mine["node"].to_numpy()
+            s, t = np.searchsorted(ids, edges["src"].to_numpy()), np.searchsorted(ids, edges["tgt"].to_numpy())
+            w, n = edges["norm_weight"].to_numpy(), len(ids)
+            pos, m, v = (mine[c].to_numpy().copy() for c in ("pos", "m", "v"))
+            for i in range(first, first + steps):
+                beta, rate = schedule[run][i], learning_rate(runs[run][1], i)
+                p = 1 / (1 + np.exp(-np.clip(beta * (pos[t] - pos[s]), -700, 700)))
+                pull = beta * p * (1 - p) * w
+                g = np.bincount(s, pull, n) - np.bincount(t, pull, n)
+                g *= min(1.0, clip / (np.sqrt((g * g).sum()) + 1e-6))
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                pos = pos - rate * (m / (1 - 0.9 ** (i + 1))) / (np.sqrt(v / (1 - 0.999 ** (i + 1))) + 1e-8)
+            out.append(pd.DataFrame({"run": run, "node": ids, "pos": pos, "m": m, "v": v, "edges": mine["edges"].to_numpy()}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("run", "node", "pos", "m", "v", "edges")})
+
+    return go
+
+
+def search_blocked(edges: DataFrame, runs: dict[str, tuple[int, Config]], exchanges: int, block_edges: int = 1_000_000, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """search() with several epochs between exchanges: best positions (run, node, pos) and history, a row for each exchange.
+
+    Edges are cut into a square grid of blocks of about `block_edges` by hashes of both ends, so the edges of a hub lie in
+    many. A task steps through epochs / exchanges epochs on copies of its block's nodes; then each node becomes the
+    mean of its copies, weighted by its edges in their blocks. With one block these are the epochs of search(), without a
+    join for each.
+    """
+    spark = edges.sparkSession
+    first = next(iter(runs.values()))[1]
+    steps = max(1, first.epochs // exchanges)
+    schedule = {run: (cfg.betas or (lambda t, c=cfg.cycles: cyclic_betas(t, c)))(cfg.epochs) for run, (_, cfg) in runs.items()}
+    norm = written(normalise_weights(edges).select("src", "tgt", "weight", "norm_weight"), "search-edges")
+    side = math.ceil(math.sqrt(max(1, norm.count()) / block_edges))
+    block = F.pmod(F.xxhash64("src"), F.lit(side)) * side + F.pmod(F.xxhash64("tgt"), F.lit(side))
+    cut = written(norm.where("src <> tgt").select(block.alias("block"), "src", "tgt", "norm_weight"), "search-blocks")
+    members = written(cut.select("block", F.explode(F.array("src", "tgt")).alias("node")).groupBy("block", "node").agg(F.count("*").alias("edges")), "search-members")
+    state = written(_starts(edges, runs, start), "search-state")
+    best = written(state.select("run", "node", "pos"), "search-best")
+    top = {r["run"]: r["score"] for r in score_runs(norm, best).collect()}
+    history, began = [], time.time()
+    kind = edges.schema["src"].dataType.simpleString()
+    for k in range(exchanges):
+        copies = members.join(state, "node")
+        go = _block_steps(runs, schedule, k * steps, steps, first.grad_clip)
+        stepped = cut.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(go, f"run string, node {kind}, pos double, m double, v double, edges long")
+        mean = [(F.sum(F.col(c) * F.col("edges")) / F.sum("edges")).alias(c) for c in ("pos", "m", "v")]
+        moved = stepped.groupBy("run", "node").agg(*mean)
+        still = state.join(moved.select("run", "node"), ["run", "node"], "left_anti")  # nodes of loops alone
+        new = written(moved.unionByName(still.select(moved.columns)), "search-state")
+        discard(state)
+        state = new
+        last = (k + 1) * steps - 1
+        better = []
+        for r in _measured(norm, state.select("run", "node", "pos"), {run: schedule[run][last] for run in runs}):
+            run, total = r["run"], r["total_weight"]
+            if r["score"] > top[run]:
+                top[run] = r["score"]
+                better.append(run)
+            history.append((run, last, float(r["score"]), float(top[run]), r["score"] * 100 / total, top[run] * 100 / total, schedule[run][last], r["loss"], time.time() - began, learning_rate(runs[run][1], last + 1)))
+        if better:
+            kept = written(best.where(~F.col("run").isin(better)).unionByName(state.where(F.col("run").isin(better)).select("run", "node", "pos")), "search-best")
+            discard(best)
+            best = kept
+    discard(state, norm, cut, members)
+    return best, spark.createDataFrame(history, HISTORY)
 
 
 def run_ordering(edges: DataFrame, cfg: Config, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -333,23 +424,124 @@ def swap_deltas(edges: DataFrame, order: DataFrame, pairs: DataFrame) -> DataFra
     return pairs.join(changes, ["u", "v"], "left").select("u", "v", F.coalesce("delta", F.lit(0)).alias("delta"))
 
 
-def local_search(edges: DataFrame, order: DataFrame, rounds: int = 4, seed: int = 42) -> DataFrame:
-    """(node, rank) after rounds of swaps in bulk: disjoint pairs of improving nodes swap; a round that doesn't gain is undone."""
-    order = written(order.select("node", "rank"), "swap-order")
-    score = score_runs(edges, order.withColumnRenamed("rank", "pos")).first()["score"]
+def insertion_moves(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """(node, rank, place, gain): the best place of each node that gains by moving alone, all nodes between shifting by one.
+
+    Each neighbour that is passed turns the edges with it around, so the gain of every place is a running sum over the
+    neighbours' ranks, to either side. Of equal places the nearest is taken, then the later one.
+    """
+    o = order.select("node", "rank")
+    e = exact_weight(edges).where("src <> tgt").join(o.toDF("src", "rs"), "src").join(o.toDF("tgt", "rt"), "tgt")
+    ends = e.select(
+        F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("rs").alias("rank"), F.col("rt").alias("other"), (-F.col("weight")).alias("c")), F.struct(F.col("tgt").alias("node"), F.col("rt").alias("rank"), F.col("rs").alias("other"), F.col("weight").alias("c")))).alias("x")
+    ).select("x.*")
+    later = F.col("other") > F.col("rank")
+    passed = ends.select("node", "rank", later.alias("later"), F.abs(F.col("other") - F.col("rank")).alias("far"), F.when(later, F.col("c")).otherwise(-F.col("c")).alias("c"))
+    passed = passed.groupBy("node", "rank", "later", "far").agg(F.sum("c").alias("c"))
+    sums = running_total(passed, ["node", "rank", "later"], "far", "c").withColumn("gain", F.col("before") + F.col("c"))
+    best = sums.groupBy("node", "rank").agg(F.max(F.struct("gain", (-F.col("far")).alias("near"), "later")).alias("b")).where("b.gain > 0")
+    return best.select("node", "rank", (F.col("rank") + F.when(F.col("b.later"), -F.col("b.near")).otherwise(F.col("b.near"))).alias("place"), F.col("b.gain").alias("gain"))
+
+
+#: Ranks of a dyadic cell that one task decides about, as a power of two, and ranks that a row of shifts stands for.
+CELL, SHIFTED = 16, 1 << 14
+
+
+def _best_cells(own: dict[tuple[int, int], tuple[float, int]], leaves: dict[int, float], low: int) -> tuple[float, set[tuple[int, int]], set[int]]:
+    """Of a tree of dyadic cells, either the move of a cell or the best of its halves, up to the root: value, cells, leaves.
+
+    own: (gain, move) by (level, cell); leaves: the values of the cells of level `low`.
+    """
+    value = {(low, c): v for c, v in leaves.items()}
+    whole = set()
+    level, cells = low, set(leaves) | {c for k, c in own if k == low}
+    tops = max([low, *(k for k, _ in own)])
+    while True:
+        cells |= {c for k, c in own if k == level}
+        for c in cells:
+            halves = value.get((level - 1, 2 * c), 0.0) + value.get((level - 1, 2 * c + 1), 0.0) if level > low else value.get((level, c), 0.0)
+            gain = own[level, c][0] if (level, c) in own else 0.0
+            if gain > halves:
+                whole.add((level, c))
+            value[level, c] = max(gain, halves)
+        if level >= tops and len(cells) <= 1:
+            break
+        level, cells = level + 1, {c >> 1 for c in cells}
+    chosen, kept, walk = set(), set(), [(level, c) for c in cells]
+    while walk:
+        k, c = walk.pop()
+        if (k, c) in whole:
+            chosen.add((k, c))
+        elif k == low:
+            kept.add(c)
+        else:
+            walk += [x for x in ((k - 1, 2 * c), (k - 1, 2 * c + 1)) if x in value]
+    return sum(value[level, c] for c in cells), chosen, kept
+
+
+def independent_moves(moves: DataFrame, seed: int) -> DataFrame:
+    """Moves whose spans of ranks don't overlap, so that their gains add up: the best set of one move for each dyadic cell.
+
+    A move belongs to the smallest dyadic cell (from a hashed offset on) that holds its span. From the smallest cells up,
+    either the best move of a cell is taken or what its halves offer; one task decides for 2^CELL ranks, and one more for
+    the values of those and the longer moves.
+    """
+    offset = (seed * 2654435761) % (1 << 31)
+    a, b = (f(F.col("rank"), F.col("place")) + offset for f in (F.least, F.greatest))
+    placed = moves.withColumns({"_a": a, "_level": F.length(F.bin(a.bitwiseXOR(b)))}).withColumn("_cell", F.expr("shiftright(_a, _level)"))
+    # the best of each cell; a cell of one move for each node at most
+    best = placed.groupBy("_level", "_cell").agg(F.max_by(F.struct("node", "rank", "place", "gain", "_a"), F.struct(F.col("gain"), -F.col("rank"))).alias("m")).select("_level", "_cell", "m.*")
+    best = written(best.withColumn("_top", F.when(F.col("_level") <= CELL, F.expr(f"shiftright(_a, {CELL})"))), "moves-best")
+    names = ["node", "rank", "place", "gain"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.schema if f.name in names)
+
+    def inside(t: pd.DataFrame) -> pd.DataFrame:
+        own = {(int(k), int(c)): (float(g), i) for i, (k, c, g) in enumerate(zip(t["_level"], t["_cell"], t["gain"], strict=True))}
+        total, chosen, _ = _best_cells(own, {}, 1)
+        rows = t.iloc[sorted(own[x][1] for x in chosen)]
+        return rows[names].assign(_top=t["_top"].iloc[0], _total=total)
+
+    def above(t: pd.DataFrame) -> pd.DataFrame:
+        high = t[t["_level"] > CELL]
+        own = {(int(k), int(c)): (float(g), i) for i, (k, c, g) in enumerate(zip(high["_level"], high["_cell"], high["gain"], strict=True))}
+        low = t[t["_level"] == CELL]
+        _, chosen, kept = _best_cells(own, dict(zip(low["_cell"].astype(int), low["gain"].astype(float), strict=True)), CELL)
+        return pd.DataFrame([(k, c, True) for k, c in chosen] + [(CELL, c, False) for c in kept], columns=["_level", "_cell", "_own"])
+
+    few = written(best.where("_top IS NOT NULL").groupBy("_top").applyInPandas(inside, f"{kinds}, _top long, _total double"), "moves-inside")
+    tops = few.groupBy("_top").agg(F.max("_total").alias("gain")).select(F.lit(CELL).alias("_level"), F.col("_top").alias("_cell"), "gain")
+    rows = tops.unionByName(best.where("_top IS NULL").select("_level", "_cell", F.col("gain").cast("double").alias("gain")))
+    decided = written(rows.groupBy(F.lit(0).alias("_all")).applyInPandas(above, "_level int, _cell long, _own boolean"), "moves-decided")
+    long = best.where("_top IS NULL").join(decided.where("_own").select("_level", "_cell"), ["_level", "_cell"]).select(*names)
+    return few.join(decided.where("NOT _own").select(F.col("_cell").alias("_top")), "_top").select(*names).unionByName(long)
+
+
+def moved_order(order: DataFrame, moves: DataFrame) -> DataFrame:
+    """(node, rank) after moves of disjoint spans: the nodes between a node and its place shift by one."""
+    right = F.col("place") > F.col("rank")
+    spans = moves.select(F.when(right, F.col("rank") + 1).otherwise(F.col("place")).alias("lo"), F.when(right, F.col("place")).otherwise(F.col("rank") - 1).alias("hi"), F.when(right, -1).otherwise(1).alias("by"))
+    parts = spans.select("lo", "hi", "by", F.explode(F.expr(f"sequence(0L, (hi - lo) div {SHIFTED})")).alias("k")).repartition("lo", "k")
+    ranks = parts.select("by", F.explode(F.expr(f"sequence(lo + k * {SHIFTED}, least(hi, lo + (k + 1) * {SHIFTED} - 1))")).alias("rank"))
+    changes = ranks.select("rank", (F.col("rank") + F.col("by")).alias("_to")).unionByName(moves.select("rank", F.col("place").alias("_to")))
+    return order.select("node", "rank").join(changes, "rank", "left").select("node", F.coalesce("_to", "rank").alias("rank"))
+
+
+def local_search(edges: DataFrame, order: DataFrame, rounds: int = 4, seed: int = 42, gains: list | None = None) -> DataFrame:
+    """(node, rank) after rounds of insertions in bulk, until none gains.
+
+    Each round takes a set of moves whose spans don't overlap, so the weight that points forward grows by exactly the sum of
+    their gains, and no round is undone. gains: a list that gets the sum of each round.
+    """
+    order = written(order.select("node", "rank"), "insert-order")
     for i in range(rounds):
-        if i % 2 == 0:  # neighbours in the order
-            half = F.floor((F.col("rank") + (i // 2) % 2) / 2)
-        else:  # random partners
-            shuffled = global_rank(order, F.xxhash64("node", F.lit(seed + i)), F.col("node"), name="at")
-            half = F.floor(F.col("at") / 2)
-        rows = (order if i % 2 == 0 else shuffled).withColumn("pair", half)
-        pairs = rows.groupBy("pair").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("u", "v")
-        good = written(swap_deltas(edges, order, pairs).where("delta > 0"), "swap-good")
-        to = good.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(good.select(F.col("v").alias("node"), F.col("u").alias("other")))
-        new = order.join(to, "node", "left").join(order.toDF("other", "r"), "other", "left").select("node", F.coalesce("r", "rank").alias("rank"))
-        new = written(new, "swap-order")
-        after = score_runs(edges, new.withColumnRenamed("rank", "pos")).first()["score"]
-        if after > score:
-            order, score = new, after
+        with scratch() as work:
+            moves = written(independent_moves(written(insertion_moves(edges, order), "insert-moves"), seed + i), "insert-chosen")
+            total = moves.agg(F.sum("gain")).first()[0]
+            if not total:
+                break
+            new = work.keep(moved_order(order, moves), "insert-order")
+        if gains is not None:
+            gains.append(total)
+        discard(order)
+        order = new
     return order
