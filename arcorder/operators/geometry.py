@@ -10,8 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -50,18 +50,55 @@ def standardise(df: DataFrame, vector: str = "e") -> DataFrame:
 SCHEMES = ("random_normal", "xavier_uniform", "he_normal", "kaiming_uniform", "orthogonal", "lecun_normal", "sparse", "constant_small", "zeros")
 
 
+def _orthogonal(spark: SparkSession, fan_in: int, fan_out: int, seed: int) -> DataFrame:
+    """Orthonormal columns (rows, where there are more inputs) of a random layer, by a QR of blocks of its rows.
+
+    Each task factors a block of rows, one task the stacked triangles of all blocks, and each block's factor is multiplied
+    by its part of that; so no task holds more than a block, or a triangle of the narrow side for each of 1,024 blocks.
+    """
+    long, narrow = max(fan_in, fan_out), min(fan_in, fan_out)
+    size = max(8192, 4 * narrow, -(-long // 1024))
+    blocks = max(1, long // size)  # the last one takes the rest
+    numbers = spark.range(0, blocks, 1, min(blocks, 256))
+
+    def factors(block: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = (long if block == blocks - 1 else (block + 1) * size) - block * size
+        return np.linalg.qr(np.random.default_rng([seed, block]).normal(size=(rows, narrow)))
+
+    def triangles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block in f["id"]:
+                yield pd.DataFrame({"block": [block], "r": [factors(int(block))[1].ravel()]})
+
+    def stacked(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("block")
+        q, r = np.linalg.qr(np.concatenate([np.asarray(x).reshape(narrow, narrow) for x in t["r"]]))
+        q = q * np.sign(np.diag(r))
+        return pd.DataFrame({"block": t["block"], "r": [q[k * narrow : (k + 1) * narrow].ravel() for k in range(len(t))]})
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block, r in zip(f["block"], f["r"], strict=True):
+                q = factors(int(block))[0] @ np.asarray(r).reshape(narrow, narrow)
+                step = max(1, (1 << 20) // narrow)
+                for k in range(0, len(q), step):
+                    part = q[k : k + step]
+                    a, b = np.indices(part.shape)
+                    a = a.ravel() + block * size + k
+                    i, j = (a, b.ravel()) if fan_out >= fan_in else (b.ravel(), a)
+                    yield pd.DataFrame({"i": i, "j": j, "w": part.ravel()})
+
+    schema = "block long, r array<double>"
+    parts = numbers.mapInPandas(triangles, schema).groupBy(F.lit(0).alias("_all")).applyInPandas(stacked, schema)
+    return parts.repartition(min(blocks, 4096), "block").mapInPandas(cells, "i long, j long, w double")
+
+
 def init_weights(spark: SparkSession, scheme: str, fan_in: int, fan_out: int, seed: int = 42) -> DataFrame:
     """(i, j, w): the weight from input j to output i."""
     cells = spark.range(fan_in * fan_out).select(F.expr(f"id div {fan_in}").alias("i"), (F.col("id") % fan_in).alias("j"))
     z, u = normal(seed, "i", "j"), 2 * uniform(seed, "i", "j") - 1
     if scheme == "orthogonal":
-        # a matrix of one layer, as large as the layer itself
-        a = np.random.default_rng(seed).normal(size=(max(fan_in, fan_out), min(fan_in, fan_out)))
-        q, r = np.linalg.qr(a)
-        q = q * np.sign(np.diag(r))
-        q = q if fan_out >= fan_in else q.T
-        i, j = np.indices((fan_out, fan_in))
-        return spark.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "w": q.ravel()}))
+        return _orthogonal(spark, fan_in, fan_out, seed)
     if scheme == "sparse":
         # exactly ceil(0.8 * rows) zeros in each column, the rest N(0, 0.01)
         order = F.row_number().over(Window.partitionBy("j").orderBy(uniform(seed + 1, "i", "j"), "i"))
@@ -287,16 +324,35 @@ def silhouette(df: DataFrame, by: list[str] | None = None, vector: str = "e", bl
     return per_row.groupBy(*by).agg(F.avg(s).alias("silhouette"))
 
 
-def linear_probe(df: DataFrame, c: float = 1.0, iterations: int = 300, vector: str = "e") -> float:
-    """Accuracy on the last fifth of the rows (by id) of an L2 logistic regression fitted on the first four."""
+def fit_probe(df: DataFrame, c: float = 1.0, iterations: int = 300, vector: str = "e") -> tuple[LogisticRegressionModel, DataFrame, int]:
+    """An L2 logistic regression fitted on the first four fifths of the rows (by id), the ranked rows, and the number of those."""
     ranked = written(global_rank(df.select("id", F.col("label").cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")), "id"), "probe")
-    n = ranked.count()
-    cut = int(0.8 * n)
-    model = LogisticRegression(maxIter=iterations, regParam=1 / (c * max(1, cut)), standardization=False).fit(ranked.where(F.col("rank") < cut))
+    cut = int(0.8 * ranked.count())
+    return LogisticRegression(maxIter=iterations, tol=1e-9, regParam=1 / (c * max(1, cut)), standardization=False).fit(ranked.where(F.col("rank") < cut)), ranked, cut
+
+
+def linear_probe(df: DataFrame, c: float = 1.0, iterations: int = 300, vector: str = "e") -> float:
+    """Accuracy of the probe on the last fifth of the rows."""
+    model, ranked, cut = fit_probe(df, c, iterations, vector)
     test = model.transform(ranked.where(F.col("rank") >= cut))
     return test.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
 
 
+def probe_gradient(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
+    """(class, d, gradient): of the penalised mean log loss that the probe minimises, by class and dimension; zero at the optimum."""
+    penalty = model.getRegParam()
+    weights = model.coefficientMatrix.toArray()
+    binary = model.numClasses == 2
+    p = vector_to_array("probability")
+    scored = model.transform(rows).select("label", vector_to_array("features").alias("x"), p.alias("p"))
+    classes = [1] if binary else range(model.numClasses)
+    off = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), (F.col("p")[k] - (F.col("label") == k).cast("double")).alias("off")) for k in classes]))
+    flat = scored.select("x", off.alias("c")).select("c.class", "c.off", F.posexplode("x").alias("d", "v"))
+    sums = flat.groupBy("class", "d").agg(F.avg(F.col("off") * F.col("v")).alias("g"))
+    w = rows.sparkSession.createDataFrame([(int(k), d, float(weights[0 if binary else k, d])) for k in classes for d in range(weights.shape[1])], "class int, d int, w double")
+    return sums.join(F.broadcast(w), ["class", "d"]).select("class", "d", (F.col("g") + penalty * F.col("w")).alias("gradient"))
+
+
 def geometry_sweep(df: DataFrame, schemes: list[str], depths: list[int], width: int, seed: int = 42, probe: bool = False, curve_depth: int | None = None) -> DataFrame:
     """(scheme, depth, layer, dead_fraction, mean_norm, std, collapsed, effective_rank, silhouette, probe_accuracy).
 

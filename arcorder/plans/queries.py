@@ -391,6 +391,27 @@ def c14_ks_normal(spark, d):
     return geometry.ks_normal(frame(spark, d, fx.PART_FLOW).select(F.ln("weight").alias("lw")), "lw").select(F.round("statistic", 4).alias("statistic"))
 
 
+#: The first two terms of the asymptotic distribution of the statistic, for more than 140 rows.
+KS_SERIES = """(SELECT SQRT(2 * PI()) / z * SUM(EXP(-(2 * k - 1) * (2 * k - 1) * PI() * PI() / (8 * z * z)))
+  + SQRT(PI() / 2) / (3 * z * z * z * z * SQRT(n)) * SUM((PI() * PI() * (k - 0.5) * (k - 0.5) - z * z) * EXP(-PI() * PI() * (k - 0.5) * (k - 0.5) / (2 * z * z))) FROM (SELECT UNNEST(GENERATE_SERIES(1, 200)) AS k))"""
+
+
+@query(
+    f"""SELECT graph, CAST(n AS BIGINT) AS n, ROUND(statistic, 4) AS statistic, ROUND(1 - {KS_SERIES}, 2) AS p_value FROM (
+  SELECT graph, n, MAX(GREATEST(r / n - f, f - (r - 1) / n)) AS statistic, SQRT(n) * MAX(GREATEST(r / n - f, f - (r - 1) / n)) AS z FROM (
+  SELECT graph, CAST(ROW_NUMBER() OVER (PARTITION BY graph ORDER BY lw) AS DOUBLE) AS r, CAST(COUNT(*) OVER (PARTITION BY graph) AS DOUBLE) AS n, 0.5 + 0.5 * SIGN(z) * {ERF} AS f
+  FROM (SELECT graph, lw, z, ABS(z) / SQRT(CAST(2 AS DOUBLE)) AS u FROM (SELECT graph, lw, (lw - AVG(lw) OVER (PARTITION BY graph)) / STDDEV_POP(lw) OVER (PARTITION BY graph) AS z FROM logs))) GROUP BY graph, n)""",
+    nations=fx.NATION_FLOW, users=fx.USER_FLOW, logs="SELECT 'nations' AS graph, LN(weight) AS lw FROM nations UNION ALL SELECT 'users', LN(weight) FROM users WHERE src % 8 = 0",
+)
+def c14_ks_p_value(spark, d):
+    out = None
+    for name, edges in (("nations", frame(spark, d, fx.NATION_FLOW)), ("users", frame(spark, d, fx.USER_FLOW).where("src % 8 = 0"))):
+        logs = edges.select(F.ln("weight").alias("lw"))
+        one = geometry.ks_normal(logs, "lw").select(F.lit(name).alias("graph"), F.lit(logs.count()).cast("long").alias("n"), F.round("statistic", 4).alias("statistic"), F.round("pValue", 2).alias("p_value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _horner(x: str, coefficients: tuple[float, ...]) -> str:
     out = repr(coefficients[0])
     for c in coefficients[1:]:
@@ -587,6 +608,12 @@ def _shares(edges):
     return 50.0 * edges.agg((F.sum(F.when(F.col("src") != F.col("tgt"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("s")).first()["s"]
 
 
+def _greedy_share(edges, use_abs):
+    """What the exact greedy order of the graph reaches, in percent."""
+    order = search.order_greedy(edges.withColumn("graph_id", F.lit(0)), use_abs).select("node", "rank")
+    return score.score_from_order(edges, order).first()["pct"]
+
+
 @query(ORDER_HOLDS, edges=fx.PART_FLOW)
 def f1_simple_holds(spark, d):
     edges = frame(spark, d, fx.PART_FLOW)
@@ -624,14 +651,15 @@ def f2_peeled(spark, d):
 
 @query(ORDER_HOLDS, edges=fx.PART_FLOW)
 def f2_peeled_holds(spark, d):
+    """No more than three points of the weight below the exact rule on the same graph."""
     edges = frame(spark, d, fx.PART_FLOW)
-    return order_holds(edges, f2_peeled(spark, d), _shares(edges))
+    return order_holds(edges, f2_peeled(spark, d), _greedy_share(edges, False) - 3)
 
 
 @query(ORDER_HOLDS, edges=fx.PART_FLOW)
 def f3_peeled_abs_holds(spark, d):
     edges = frame(spark, d, fx.PART_FLOW)
-    return order_holds(edges, search.order_peeled(edges, use_abs=True), _shares(edges))
+    return order_holds(edges, search.order_peeled(edges, use_abs=True), _greedy_share(edges, True) - 3)
 
 
 @deg_query("SELECT node, ROUND((out_w - in_w) / ((SELECT MAX(ABS(out_w - in_w)) FROM deg) + 0.00000001), 6) AS pos FROM deg")
@@ -663,7 +691,28 @@ FULL = search.Config()
 
 @query()
 def f9_run_ordering(spark, d):
-    return search.run_ordering(frame(spark, d, fx.PART_FLOW), FULL)[1].select("run", "iter", "score", "best_score", "pct", "best_pct", "beta", "lr")
+    return search.run_ordering(frame(spark, d, fx.PART_FLOW), FULL)[1].select("run", "iter", "score", "best_score", "pct", "best_pct", "beta", "loss", "lr")
+
+
+@query(
+    f""", {JOINED}, {GRADIENT}, normed AS (SELECT node, grad * LEAST(1, 1 / (SQRT((SELECT SUM(grad * grad) FROM grads)) + 0.000001)) AS g FROM grads),
+q AS (SELECT p.node, pos - 0.05 * (0.1 * COALESCE(g, 0) / (1 - 0.9)) / (SQRT(0.001 * COALESCE(g, 0) * COALESCE(g, 0) / (1 - 0.999)) + 0.00000001) AS pos FROM p LEFT JOIN normed ON p.node = normed.node),
+one AS (SELECT CAST(SUM(CASE WHEN t.pos > s.pos THEN weight ELSE 0 END) AS DOUBLE) AS score, ROUND(-SUM(norm_weight / (1 + EXP(-0.5 * (t.pos - s.pos)))), 4) AS loss
+  FROM edges JOIN q s ON src = s.node JOIN q t ON tgt = t.node)
+SELECT run, one.* FROM one, (SELECT UNNEST(['epochs', 'blocks']) AS run)""",
+    raw=fx.PART_FLOW, edges=NORMED, p=SCALED,
+)
+def f9_resume(spark, d):
+    """One epoch of either search from given positions: the score and the loss of the step that f8_adam_step shows."""
+    edges, start = frame(spark, d, fx.PART_FLOW), frame(spark, d, SCALED)
+    cfg = search.Config(epochs=1, betas=lambda t: [0.5] * t, log_interval=1)
+    one = search.search(edges, {"epochs": (42, cfg)}, start=start)[1].unionByName(search.search_blocked(edges, {"blocks": (42, cfg)}, 1, start=start)[1])
+    return one.select("run", "score", F.round("loss", 4).alias("loss"))
+
+
+@query()
+def f9_blocked(spark, d):
+    return search.search_blocked(frame(spark, d, fx.PART_FLOW), {"seed42": (42, FULL)}, 10, block_edges=20_000)[1].select("run", "iter", "score", "best_score", "pct", "best_pct", "beta", "loss", "lr")
 
 
 @query(
@@ -683,6 +732,30 @@ def f10_swap_deltas(spark, d):
     return search.swap_deltas(frame(spark, d, fx.PART_FLOW), order, pairs)
 
 
+@query(
+    """, order_ AS (SELECT node, ROW_NUMBER() OVER (ORDER BY pos, node) - 1 AS r FROM p),
+e AS (SELECT src, tgt, weight, s.r AS rs, t.r AS rt FROM edges JOIN order_ s ON src = s.node JOIN order_ t ON tgt = t.node WHERE src <> tgt),
+passed AS (SELECT src AS node, rs AS r, rt AS o, -weight AS c FROM e UNION ALL SELECT tgt, rt, rs, weight FROM e),
+steps AS (SELECT node, r, o > r AS later, ABS(o - r) AS far, SUM(CASE WHEN o > r THEN c ELSE -c END) AS c FROM passed GROUP BY node, r, o > r, ABS(o - r)),
+places AS (SELECT *, SUM(c) OVER (PARTITION BY node, later ORDER BY far) AS gain FROM steps)
+SELECT node, r AS "rank", r + CASE WHEN later THEN far ELSE -far END AS place, CAST(gain AS BIGINT) AS gain FROM places WHERE gain > 0
+QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, far, later DESC) = 1""",
+    edges=fx.PART_FLOW, p=fx.POSITIONS,
+)
+def f10_insertion_moves(spark, d):
+    return search.insertion_moves(frame(spark, d, fx.PART_FLOW), score.node_ranks(frame(spark, d, fx.POSITIONS)))
+
+
+@query("SELECT COUNT(*) AS n, TRUE AS gained, TRUE AS adds_up FROM p", p=fx.POSITIONS)
+def f10_gains_hold(spark, d):
+    """The forward weight grows by the sum of the rounds' gains, to the unit."""
+    edges, start = frame(spark, d, fx.PART_FLOW), score.node_ranks(frame(spark, d, fx.POSITIONS))
+    gains = []
+    after = search.local_search(edges, start, 3, gains=gains)
+    was, now = (score.score_from_order(edges, o).first()["score"] for o in (start, after))
+    return after.agg(F.countDistinct("rank").alias("n"), F.lit(now > was).alias("gained"), F.lit(now - was == sum(gains)).alias("adds_up"))
+
+
 @query()
 def f10_local_search(spark, d):
     return search.local_search(frame(spark, d, fx.PART_FLOW), score.node_ranks(frame(spark, d, fx.POSITIONS)), rounds=2)
@@ -885,6 +958,16 @@ def t4_mean_stability(spark, d):
     return rounded(stability.mean_stability(frame(spark, d, fx.POSITIONS_BY_RUN)), "mean_rank_std", "independent")
 
 
+@query(
+    """, spots AS (SELECT (r1 + (n - 1) * 1e-9) / (((n - 1) + 2 * ((n - 1) * 1e-9)) / 80) AS u, (r2 + (n - 1) * 1e-9) / (((n - 1) + 2 * ((n - 1) * 1e-9)) / 46) AS v FROM q WHERE run1 = 'price' AND run2 = 'size'),
+near AS (SELECT *, (u - ROUND_EVEN(u, 0)) * (u - ROUND_EVEN(u, 0)) + 3 * (v - ROUND_EVEN(v, 0)) * (v - ROUND_EVEN(v, 0)) < (u - FLOOR(u) - 0.5) * (u - FLOOR(u) - 0.5) + 3 * (v - FLOOR(v) - 0.5) * (v - FLOOR(v) - 0.5) AS one FROM spots)
+SELECT CASE WHEN one THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN one THEN ROUND_EVEN(u, 0) ELSE FLOOR(u) END AS BIGINT) AS x, CAST(CASE WHEN one THEN ROUND_EVEN(v, 0) ELSE FLOOR(v) END AS BIGINT) AS y, COUNT(*) AS n FROM near GROUP BY 1, 2, 3""",
+    p=fx.POSITIONS_BY_RUN, t=TIED, q=PAIRED,
+)
+def t5_rank_hexagons(spark, d):
+    return stability.rank_hexagons(frame(spark, d, fx.POSITIONS_BY_RUN), "price", "size")
+
+
 @query(
     """SELECT CAST(LEAST(FLOOR(CAST(r1 AS DOUBLE) / (CAST(n - 1 AS DOUBLE) / 80)), 79) AS BIGINT) AS x, CAST(LEAST(FLOOR(CAST(r2 AS DOUBLE) / (CAST(n - 1 AS DOUBLE) / 80)), 79) AS BIGINT) AS y,
   COUNT(*) AS n FROM q WHERE run1 = 'price' AND run2 = 'size' GROUP BY 1, 2""",
@@ -927,7 +1010,7 @@ def i2_init_weights(spark, d):
     size, outputs = len(_features(spark, d).select("e").first()["e"]), _outputs(spark, d)
     out = None
     for s in geometry.SCHEMES:
-        w = geometry.init_weights(spark, s, size, size if s == "orthogonal" else outputs).withColumn("scheme", F.lit(s))
+        w = geometry.init_weights(spark, s, size, outputs).withColumn("scheme", F.lit(s))
         out = w if out is None else out.unionByName(w)
     return out.groupBy("scheme").agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean"), r6(F.stddev_pop("w")).alias("std"), F.count_if(F.col("w") == 0).alias("zeros"))
 
@@ -949,16 +1032,27 @@ def i5_sample_degree(spark, d):
     return geometry.sample_degree(graph.connectome_stats(frame(spark, d, fx.PART_FLOW))[0], 64, _outputs(spark, d))
 
 
-@query("""SELECT 'sparse' AS scheme, 64 * c AS n, CAST(64 * CEIL(0.8 * c) AS BIGINT) AS zeros FROM (SELECT COUNT(*) AS c FROM customer)
-UNION ALL SELECT 'zeros', 64 * c, 64 * c FROM (SELECT COUNT(*) AS c FROM customer) UNION ALL SELECT 'constant_small', 64 * c, 0 FROM (SELECT COUNT(*) AS c FROM customer)
-UNION ALL SELECT 'orthogonal', 64, 0 FROM (SELECT 1)""")
+@query("""SELECT scheme, 64 * c AS n, CAST(CASE scheme WHEN 'sparse' THEN 64 * CEIL(0.8 * c) WHEN 'zeros' THEN 64 * c ELSE 0 END AS BIGINT) AS zeros, TRUE AS holds
+FROM (SELECT COUNT(*) AS c FROM customer), (SELECT UNNEST(['random_normal', 'xavier_uniform', 'he_normal', 'kaiming_uniform', 'orthogonal', 'lecun_normal', 'sparse', 'constant_small', 'zeros']) AS scheme)""")
 def i2_init_weights_holds(spark, d):
-    """Cells and zeros of the schemes that fix them; of the orthogonal one, the rows, and the pairs of rows that are not orthonormal."""
-    w = geometry.init_weights(spark, "orthogonal", 64, 64)
-    dots = w.toDF("a", "j", "x").join(w.toDF("b", "j", "y"), "j").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    off = dots.agg(F.count_if(F.col("a") == F.col("b")).alias("n"), F.count_if(F.abs(F.col("dot") - (F.col("a") == F.col("b")).cast("int")) > 1e-9).alias("zeros"))
-    made = i2_init_weights(spark, d).where("scheme IN ('sparse', 'zeros', 'constant_small')").select("scheme", "n", "zeros")
-    return made.unionByName(off.select(F.lit("orthogonal").alias("scheme"), "n", "zeros"))
+    """Cells and zeros of each scheme, and whether its deviation is the one that it stands for (within 3 percent)."""
+    outputs = _outputs(spark, d)
+    want = {
+        "random_normal": 0.01, "xavier_uniform": (2 / (64 + outputs)) ** 0.5, "he_normal": (2 / 64) ** 0.5, "kaiming_uniform": (2 / 64) ** 0.5, "lecun_normal": (1 / 64) ** 0.5,
+        "orthogonal": (1 / max(64, outputs)) ** 0.5, "sparse": 0.01 * 0.2**0.5, "constant_small": 0.0, "zeros": 0.0,
+    }
+    std = F.element_at(F.create_map(*[F.lit(x) for pair in want.items() for x in pair]), F.col("scheme"))
+    return i2_init_weights(spark, d).select("scheme", "n", "zeros", (F.abs(F.col("std") - std) <= 0.03 * std + 1e-6).alias("holds"))
+
+
+@query("SELECT CAST(64 * 64 AS BIGINT) AS n, CAST(0 AS BIGINT) AS wrong FROM (SELECT COUNT(*) FROM customer)")
+def i2_orthogonal_holds(spark, d):
+    """Of a layer with 100 outputs for each customer, the products of columns that are not orthonormal."""
+    w = geometry.init_weights(spark, "orthogonal", 64, 100 * _outputs(spark, d))
+    rows = w.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("r"))
+    cells = rows.select(F.posexplode("r").alias("a", "x"), "r").select("a", F.col("x.w").alias("x"), F.posexplode("r").alias("b", "y")).select("a", "b", (F.col("x") * F.col("y.w")).alias("p"))
+    dots = cells.groupBy("a", "b").agg(F.sum("p").alias("dot"))
+    return dots.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("dot") - (F.col("a") == F.col("b")).cast("int")) > 1e-9).alias("wrong"))
 
 
 @query("SELECT name, 64 * c AS n, ROUND(SQRT(CAST(2 AS DOUBLE) / 64), 6) AS std FROM (SELECT COUNT(*) AS c FROM customer), (SELECT UNNEST(['marginal', 'lognormal', 'degree']) AS name)")
@@ -1068,6 +1162,15 @@ def i13_linear_probe(spark, d):
     return df.agg(F.count("*").alias("n")).withColumn("accuracy", F.lit(geometry.linear_probe(df)))
 
 
+@query("SELECT COUNT(*) AS n, TRUE AS optimal FROM f", f=fx.FEATURES)
+def i13_probe_holds(spark, d):
+    """The probe's weights are the optimum: every part of the penalised loss's gradient is nought."""
+    df = _features(spark, d)
+    model, ranked, cut = geometry.fit_probe(df, iterations=2000)
+    steepest = geometry.probe_gradient(model, ranked.where(F.col("rank") < cut)).agg((F.max(F.abs("gradient")) < 1e-5).alias("optimal"))
+    return ranked.agg(F.count("*").alias("n")).crossJoin(steepest)
+
+
 @query("SELECT label, ROUND(AVG(v), 6) AS mean_norm FROM (SELECT id, label, SQRT(SUM(x * x)) AS v FROM relu GROUP BY id, label) GROUP BY label", f=fx.FEATURES, flat=FLAT, relu=RELU)
 def i14_mean_norm(spark, d):
     return rounded(geometry.mean_norm(_relu(spark, d), ["label"]), "mean_norm")
