@@ -60,3 +60,24 @@ def test_schemes(spark):
 
 def test_probe_finds_an_easy_split(features):
     assert geometry.linear_probe(features[0]) > 0.9
+
+
+def test_moments_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 4)) * [2, 1, 0.4, 0.2]
+    label = rng.integers(0, 2, 600)
+    near, far = (spark.createDataFrame([(i, int(label[i]), (x[i] + shift).tolist()) for i in range(600)], "id long, label int, e array<double>").repartition(5) for shift in (0, 1e8))
+    want = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+    for df in (near, far):
+        assert geometry.pca(df, 2)[2] == pytest.approx(want / want.sum(), abs=1e-6)
+    assert geometry.silhouette(far).first()[0] == pytest.approx(geometry.silhouette(near).first()[0], abs=1e-6)
+
+
+@pytest.mark.parametrize(("fan_in", "fan_out"), [(5, 20_000), (20_000, 5), (7, 7)])
+def test_orthogonal_layers_by_blocks(spark, fan_in, fan_out):
+    w = geometry.init_weights(spark, "orthogonal", fan_in, fan_out).toPandas()
+    m = np.zeros((fan_out, fan_in))
+    m[w["i"], w["j"]] = w["w"]
+    m = m if fan_out >= fan_in else m.T
+    assert len(w) == fan_in * fan_out and m.T @ m == pytest.approx(np.eye(min(fan_in, fan_out)), abs=1e-9)
+

@@ -335,3 +335,119 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         storage.shared_dir(Elsewhere)
+
+
+@pytest.mark.parametrize("order", ["up", "down", "alternating"])
+def test_a_ring_of_any_numbering_takes_logarithmic_tables(spark, order, monkeypatch):
+    n, tables = 10_000, []
+    monkeypatch.setattr(components, "written", lambda df, name: tables.append(name) or storage.written(df, name))
+    ring = {"up": np.arange(n), "down": np.arange(n)[::-1], "alternating": np.where(np.arange(n) % 2, n - 1 - np.arange(n) // 2, np.arange(n) // 2)}[order]
+    df = spark.createDataFrame(list(zip(ring.tolist(), np.roll(ring, -1).tolist(), [1.0] * n, strict=True)), "src long, tgt long, weight double")
+    found = components.strongly_connected_components(df, small=0)
+    assert tuple(found.agg(F.max("component"), F.count("*")).first()) == (0, n) and len(tables) <= 60
+
+
+def test_contraction_keeps_components_between_chains(spark):
+    """Two components joined by a chain, a chain that goes back, and one that leaves and returns to the same node."""
+    ring = [(i, (i + 1) % 4) for i in range(4)] + [(0, 2), (1, 3)]
+    other = [(10 + i, 10 + (i + 1) % 4) for i in range(4)] + [(10, 12), (11, 13)]
+    chains = [(3, 20), (20, 21), (21, 10), (2, 30), (30, 31), (31, 0), (12, 40), (40, 12)]
+    edges = set(ring + other + chains)
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, tgt long, weight double")
+    assert {r["node"]: r["component"] for r in components.strongly_connected_components(df, small=0).collect()} == tarjan_free(edges)
+
+
+HOT = {"distinct": lambda rng: rng.normal(size=4000), "hot": lambda rng: np.r_[np.ones(3600), rng.normal(size=400)], "few": lambda rng: rng.integers(0, 4, 4000).astype(float)}
+
+
+@pytest.mark.parametrize("kind", HOT)
+def test_order_statistics_of_repeated_values(spark, kind):
+    values = HOT[kind](np.random.default_rng(2))
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    ordered = np.sort(values)
+    ranks = {f"r{k}": k for k in (0, 17, 399, 400, 2000, 3998, 3999)}
+    for small, splitters in ((1 << 20, 63), (100, 7)):
+        found = ranking.at_ranks(df, "v", {**ranks, "beyond": 4000}, small, splitters).first().asDict()
+        assert found.pop("beyond") is None and found == {k: ordered[r] for k, r in ranks.items()}
+    assert [tuple(r) for r in ranking.ranked_values(df, "v").orderBy("rank").collect()] == list(enumerate(ordered.tolist()))
+
+
+def test_ranks_of_a_hot_value_go_to_many_tasks(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 10 > 0, 1.0).otherwise(F.col("id") / 7).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ranking.ranked_values(df, "v").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 200_000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_insertions_gain_what_they_say_and_are_the_best_places(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(30), rng.randrange(30), rng.randint(1, 9)) for _ in range(200)]
+    edges = spark.createDataFrame(rows, "src long, tgt long, weight long")
+    order = score.node_ranks(search.init_positions(edges, "random", 3))
+    place = {r["node"]: r["rank"] for r in order.collect()}
+    line = sorted(place, key=place.get)
+
+    def weight(nodes):
+        at = {x: k for k, x in enumerate(nodes)}
+        return sum(w for a, b, w in rows if at[b] > at[a])
+
+    moves = {r["node"]: r for r in search.insertion_moves(edges, order).collect()}
+    for x in line:
+        gains = {p: weight(line[:k][:p] + [x] + (line[:k] + line[k + 1 :])[p:] if p <= k else (line[:k] + line[k + 1 :])[:p] + [x] + (line[:k] + line[k + 1 :])[p:]) - weight(line) for k in [place[x]] for p in range(30)}
+        top = max(gains.values())
+        assert (moves[x]["gain"] == top == gains[moves[x]["place"]]) if top > 0 else x not in moves
+    gains = []
+    after = search.local_search(edges, order, 4, gains=gains)
+    ranks = {r["node"]: r["rank"] for r in after.collect()}
+    assert sorted(ranks.values()) == list(range(30)) and gains and weight(sorted(ranks, key=ranks.get)) == weight(line) + sum(gains)
+
+
+def test_chosen_moves_lie_apart(spark):
+    rng = random.Random(7)
+    spans = [(i, r, max(0, r + rng.choice([-1, 1]) * rng.randint(1, 60_000)), rng.randint(1, 50)) for i, r in enumerate(rng.sample(range(300_000), 400))]
+    moves = spark.createDataFrame([s for s in spans if s[1] != s[2]], "node long, rank long, place long, gain long")
+    for seed in (1, 2):
+        chosen = sorted((min(r["rank"], r["place"]), max(r["rank"], r["place"])) for r in search.independent_moves(moves, seed).collect())
+        assert len(chosen) > 5 and all(a[1] < b[0] for a, b in zip(chosen, chosen[1:]))
+
+
+def test_one_block_takes_the_same_steps_as_the_search(spark):
+    df = spark.createDataFrame([(i % 9, (i * 5 + 2) % 9, float(i % 7 + 1)) for i in range(40)], "src long, tgt long, weight double")
+    cfg = search.Config(epochs=6, cycles=1, log_interval=3)
+    start = search.init_positions(df, "uniform", 5)
+    one = search.search(df, {"a": (1, cfg)}, start=start)[1].where("iter = 5").first()
+    two = search.search_blocked(df, {"a": (1, cfg)}, 2, start=start)[1].where("iter = 5").first()
+    assert one["loss"] == pytest.approx(two["loss"]) and one["score"] == two["score"]
+    parts = search.search_blocked(df, {"a": (1, cfg), "b": (2, cfg)}, 2, block_edges=10)
+    assert parts[0].count() == 18 and parts[1].count() == 4
+
+
+def test_inversions_and_kendall_with_ties(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 300):
+        v = rng.integers(0, 20, n)
+        assert stability.inversions(v) == sum(int(v[i] > v[j]) for i in range(n) for j in range(i + 1, n))
+    a, b = rng.integers(0, 15, 120), rng.integers(0, 15, 120)
+    p = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(a)] + [("b", i, float(x)) for i, x in enumerate(b)], "run string, node long, pos double")
+    plain = sum(int((a[i] - a[j]) * (b[i] - b[j]) < 0) for i in range(120) for j in range(i))
+    for block in (1 << 16, 16):
+        old, stability.BLOCK = stability.BLOCK, block
+        try:
+            assert stability.kendall_pairs(p).first()["discordant"] == plain
+        finally:
+            stability.BLOCK = old
+
+
+def test_scratch_keeps_what_is_named(spark):
+    folder = Path(storage.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with storage.scratch() as outer:
+        storage.written(spark.range(3), "gone")
+        with storage.scratch() as inner:
+            kept = inner.keep(spark.range(4), "inner")
+        assert kept.count() == 4
+        final = outer.keep(kept, "final")
+    assert final.count() == 4 and len(set(folder.iterdir()) - before) == 1
