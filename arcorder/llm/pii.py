@@ -69,8 +69,6 @@ FEATURES = {
     "hex": "double(s.m rlike '^[0-9a-fA-F]+$')",
     "changes": "double(length(regexp_replace(s.m, '(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])', ' ')) - length(s.m))",
     "longest": "double(array_max(transform(split(s.m, '[^A-Za-z]+'), w -> length(w))))",
-    "digit_runs": "double(size(filter(split(s.m, '[^0-9]+'), d -> d != '')))",
-    "turns": "double(length(regexp_replace(s.m, '(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])', ' ')) - length(s.m))",
     "groups": "double(size(split(s.m, '[^A-Za-z0-9]+')))",
     "last": "double(length(element_at(split(s.m, '[^0-9]+'), -1)))",
     "dots": "double(length(regexp_replace(s.m, '[^.]', '')))",

@@ -135,6 +135,16 @@ def test_classifiers_on_odd_rows(spark):
     assert language_id.identify(df, language_id.fit(df.limit(0).withColumn("lang", F.lit("en"))), ["doc_id"]).count() == len(ODD)
 
 
+def test_letter_clusters_part_scripts_and_stay_few():
+    latin, greek, han = ["the quick brown fox jumps over it"] * 9, ["και οι άλλοι ήταν εδώ μαζί μας"] * 9, ["我们在这里看到很多东西"] * 9
+    off, raw = text_bytes(pa.array(latin + greek + han + ["", None, "12 34"]))
+    x = toxicity.profiles(off, raw)
+    centres = toxicity.clusters(x[:27])
+    groups = (x @ centres.T).argmax(1)[:27]
+    assert len(centres) <= toxicity.GROUPS and len(set(groups)) == 3 and all(len(set(groups[i : i + 9])) == 1 for i in (0, 9, 18))
+    assert len(toxicity.clusters(x[:9])) == 1 and len(toxicity.clusters(x[:0])) == 1 and (x[27:] == 0).all()
+
+
 def test_every_pipeline_stage_on_odd_rows(spark):
     extra = [(i, t, None, "s", None, "e", "f", "g") for i, t in ODD]
     docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, score string, base string, row string")

@@ -354,9 +354,9 @@ def test_pii_trees_add_personal_data_and_spare_lookalikes(spark, pii_model):
 
 
 def test_pii_trees_decide_otherwise_than_one_rule(pii_model):
-    """On documents held out of the fit, by kind; the plain rule is that a text assigns the span to a name."""
+    """By kind; the plain rule is that a text assigns the span to a name."""
     docs, (score, thresholds) = pii_model
-    rows = pii.planted_rows(docs, "doc_id", "text").where("held_out").withColumn("f", F.struct(*pii.FEATURES)).withColumn("p", F.expr(score))
+    rows = pii.planted_rows(docs, "doc_id", "text").withColumn("f", F.struct(*pii.FEATURES)).withColumn("p", F.expr(score))
     for kind in pii.WIDE:
         mine = rows.where(F.col("kind") == kind).select("label", "assigned", (F.col("p") >= thresholds[kind]).alias("chosen")).collect()
         chosen = [r for r in mine if r["chosen"]]
@@ -365,6 +365,17 @@ def test_pii_trees_decide_otherwise_than_one_rule(pii_model):
         assert np.mean([r["assigned"] == r["label"] for r in mine]) < np.mean([r["chosen"] == r["label"] for r in mine]) - 0.1
 
 
+def test_pii_thresholds_hold_on_families_that_the_trees_did_not_see(pii_model):
+    families = []
+    _, thresholds = pii.fit_trees(pii_model[0], "doc_id", "text", families=families)
+    assert {f["family"] for f in families} == set(pii.UNSEEN) and {(f["kind"], f["label"]) for f in families} == {(k, y) for k in pii.WIDE for y in (0.0, 1.0)}
+    for kind in pii.WIDE:
+        chosen = [f for f in families if f["kind"] == kind]
+        good, n = (sum(f["selected"] for f in chosen if f["label"] >= least) for least in (1.0, 0.0))
+        assert thresholds[kind] < 1 and n > 50 and good >= pii.PRECISION * n
+        assert good > 0.4 * sum(f["n"] for f in chosen if f["label"] == 1.0)
+
+
 def test_pii_trees_as_sql_equal_the_model(pii_model):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
