@@ -401,11 +401,11 @@ KS_SERIES = """(SELECT SQRT(2 * PI()) / z * SUM(EXP(-(2 * k - 1) * (2 * k - 1) *
   SELECT graph, n, MAX(GREATEST(r / n - f, f - (r - 1) / n)) AS statistic, SQRT(n) * MAX(GREATEST(r / n - f, f - (r - 1) / n)) AS z FROM (
   SELECT graph, CAST(ROW_NUMBER() OVER (PARTITION BY graph ORDER BY lw) AS DOUBLE) AS r, CAST(COUNT(*) OVER (PARTITION BY graph) AS DOUBLE) AS n, 0.5 + 0.5 * SIGN(z) * {ERF} AS f
   FROM (SELECT graph, lw, z, ABS(z) / SQRT(CAST(2 AS DOUBLE)) AS u FROM (SELECT graph, lw, (lw - AVG(lw) OVER (PARTITION BY graph)) / STDDEV_POP(lw) OVER (PARTITION BY graph) AS z FROM logs))) GROUP BY graph, n)""",
-    nations=fx.NATION_FLOW, users=fx.USER_FLOW, logs="SELECT 'nations' AS graph, LN(weight) AS lw FROM nations UNION ALL SELECT 'users', LN(weight) FROM users WHERE src % 8 = 0",
+    nations=fx.NATION_FLOW, users=fx.USER_FLOW, logs="SELECT 'nations' AS graph, LN(weight) AS lw FROM nations UNION ALL SELECT 'users', LN(weight) FROM users",
 )
 def c14_ks_p_value(spark, d):
     out = None
-    for name, edges in (("nations", frame(spark, d, fx.NATION_FLOW)), ("users", frame(spark, d, fx.USER_FLOW).where("src % 8 = 0"))):
+    for name, edges in (("nations", frame(spark, d, fx.NATION_FLOW)), ("users", frame(spark, d, fx.USER_FLOW))):
         logs = edges.select(F.ln("weight").alias("lw"))
         one = geometry.ks_normal(logs, "lw").select(F.lit(name).alias("graph"), F.lit(logs.count()).cast("long").alias("n"), F.round("statistic", 4).alias("statistic"), F.round("pValue", 2).alias("p_value"))
         out = one if out is None else out.unionByName(one)
