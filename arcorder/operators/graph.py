@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from arcorder.functions.columns import equal_bins
 from arcorder.operators.ranking import at_ranks, global_rank
+from arcorder.operators.storage import scratch, written
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -66,13 +67,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row with the exact quantile of each name, between two neighbours in proportion; null for no rows."""
-    rows = df.select(F.col(column).cast("double").alias("_v"))
-    n = rows.where("_v IS NOT NULL").count()
-    places = {name: (n - 1) * share for name, share in shares.items()}
-    ends = {f"{side}_{name}": cut(place) for name, place in places.items() for side, cut in (("lo", math.floor), ("hi", math.ceil))}
-    found = at_ranks(rows, "_v", ends)
-    return found.select(*[(F.col(f"lo_{k}") + (p - math.floor(p)) * (F.col(f"hi_{k}") - F.col(f"lo_{k}"))).alias(k) for k, p in places.items()])
+    """One row with the exact quantile of each name, between two neighbours in proportion; null for no rows.
+
+    The values are written once, as a selection reads them several times.
+    """
+    with scratch():
+        rows = written(df.select(F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL"), "quantile-values")
+        n = rows.count()
+        places = {name: (n - 1) * share for name, share in shares.items()}
+        ends = {f"{side}_{name}": cut(place) for name, place in places.items() for side, cut in (("lo", math.floor), ("hi", math.ceil))}
+        found = at_ranks(rows, "_v", ends, n=n).first()
+    cuts = [None if found[f"lo_{k}"] is None else found[f"lo_{k}"] + (p - math.floor(p)) * (found[f"hi_{k}"] - found[f"lo_{k}"]) for k, p in places.items()]
+    return df.sparkSession.createDataFrame([cuts], ", ".join(f"`{k}` double" for k in shares))
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:

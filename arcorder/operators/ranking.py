@@ -57,16 +57,17 @@ def ranked_values(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     return runs.select((F.col("_first") + F.col("_k") * RUN).alias("_from"), size.alias("_size"), "_v").select(F.explode(F.expr("sequence(_from, _from + _size - 1)")).alias(name), F.col("_v").alias(column))
 
 
-def at_ranks(df: DataFrame, column: str, ranks: dict[str, int], small: int = SELECTED, splitters: int = SPLITTERS) -> DataFrame:
+def at_ranks(df: DataFrame, column: str, ranks: dict[str, int], small: int = SELECTED, splitters: int = SPLITTERS, n: int | None = None) -> DataFrame:
     """One row with the value at each rank (from 0, ascending, nulls left out); null beyond the last.
 
     A selection: while the rows that may hold a rank are more than `small`, approximate quantiles of them split them into
     ranges and single values, which are counted in one pass, and only the range that holds the rank is read on. A value
     that many rows share ends up alone and is settled by its count. The last rows are counted by value and summed up.
+    n: the number of rows that are not null, if it is known.
     """
     value = F.col("_v")
     rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
-    n = rows.count()
+    n = rows.count() if n is None else n
     wanted = {k: r for k, r in ranks.items() if 0 <= r < n}
     # of each rank: the open range that holds it (None: no bound), rows before the range, rows in it
     ranges: dict[str, tuple] = dict.fromkeys(wanted, (None, None, 0, n))
