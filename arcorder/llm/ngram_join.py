@@ -150,13 +150,18 @@ def _verified(texts: DataFrame, classes: DataFrame, candidates: DataFrame, n: in
 
 
 def _tiled(df: DataFrame, depth: int | None) -> DataFrame:
-    """Rows of a node side by side: one tile for a small node, tiles of two hashed blocks each for a large one."""
+    """Rows of a node side by side: one tile for a small node, tiles of two hashed blocks each for a large one.
+
+    side says what a tile compares: 0 all its rows; else those of its first block (-1) with those of its second (1), either
+    of which may have no row here.
+    """
     df = df if depth is None else df.withColumn("depth", F.lit(depth))
     blocks = F.ceil(F.col("members") / TILE).cast("int")
     placed = df.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = F.xxhash64("trie", "prefix", "depth", F.least("block", "other"), F.greatest("block", "other"))
-    return spread.select(tile.alias("tile"), *[c for c in df.columns], "block").repartition("tile").sortWithinPartitions("tile", "block", "cls")
+    side = F.signum(F.col("block") - F.col("other")).cast("int").alias("side")
+    return spread.select(tile.alias("tile"), *df.columns, side).repartition("tile").sortWithinPartitions("tile", "side", "cls")
 
 
 def _fixed(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -209,21 +214,22 @@ def owned(sig: np.ndarray, r: np.ndarray, c: np.ndarray, trie: np.ndarray, depth
     return tuple(np.concatenate([k[j] for k in kept]) if kept else np.zeros(0, np.int64) for j in range(3))
 
 
-def tile_pairs(sig: np.ndarray, tile: np.ndarray, block: np.ndarray, trie: np.ndarray, depth: np.ndarray, floor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def tile_pairs(sig: np.ndarray, tile: np.ndarray, side: np.ndarray, trie: np.ndarray, depth: np.ndarray, floor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Owned pairs of every tile: all of a tile of one block, those between the blocks of a tile of two."""
     ends = np.flatnonzero(np.concatenate([tile[1:] != tile[:-1], [True]])) + 1
     starts = np.concatenate([[0], ends[:-1]])
     size = ends - starts
-    small = (size <= 32) & (block[starts] == block[ends - 1])
+    whole = side[starts] == 0
+    small = (size <= 32) & whole
     for s in np.unique(size[small]):
         x, y = np.triu_indices(s, 1)
         first = starts[small & (size == s)]
         yield owned(sig, (first[:, None] + x).ravel(), (first[:, None] + y).ravel(), trie, depth, floor)
-    for lo, hi in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
-        cut = lo + int(np.searchsorted(block[lo:hi], block[hi - 1]))
-        for i in range(lo, cut if cut > lo else hi, 16):
-            rows = np.arange(i, min(i + 16, cut if cut > lo else hi))
-            cols = np.arange(cut if cut > lo else i, hi)
+    for lo, hi, one in zip(starts[~small].tolist(), ends[~small].tolist(), whole[~small].tolist(), strict=True):
+        cut = lo + int(np.searchsorted(side[lo:hi], 1))
+        for i in range(lo, hi if one else cut, 16):
+            rows = np.arange(i, min(i + 16, hi if one else cut))
+            cols = np.arange(i if one else cut, hi)
             r, c = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
             ahead = c > r
             yield owned(sig, r[ahead], c[ahead], trie, depth, floor)
@@ -237,9 +243,9 @@ def _tile_ends(tile: np.ndarray) -> Iterator[tuple[int, int]]:
 def _compare_signatures(depth: int, floor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "tile"):
-            tile, block, trie = (table.column(c).to_numpy() for c in ("tile", "block", "trie"))
+            tile, side, trie = (table.column(c).to_numpy() for c in ("tile", "side", "trie"))
             agree = np.full(len(tile), TRIES * DEPTH + 1)
-            for r, c, many in tile_pairs(_fixed(table.column("sig"), len(tile)), tile, block, trie, np.full(len(tile), depth), floor):
+            for r, c, many in tile_pairs(_fixed(table.column("sig"), len(tile)), tile, side, trie, np.full(len(tile), depth), floor):
                 np.minimum.at(agree, r, many)
                 np.minimum.at(agree, c, many)
             has = agree <= TRIES * DEPTH
@@ -286,14 +292,14 @@ def _compare_sets(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "tile"):
-            tile, block, trie, depth = (table.column(c).to_numpy() for c in ("tile", "block", "trie", "depth"))
+            tile, side, trie, depth = (table.column(c).to_numpy() for c in ("tile", "side", "trie", "depth"))
             classes, copies = table.column("cls").to_numpy(), table.column("copies").to_numpy()
             all_sig = _fixed(table.column("sig"), len(tile))
             off, raw = _binary(table.column("shingles"))
             for lo, hi in _tile_ends(tile):
                 rows = np.arange(lo, hi)
                 rows = rows[np.concatenate([[True], classes[lo + 1 : hi] != classes[lo : hi - 1]])]  # a repeated row has its set twice
-                pairs = list(tile_pairs(all_sig[rows], tile[rows], block[rows], trie[rows], depth[rows], floor))
+                pairs = list(tile_pairs(all_sig[rows], tile[rows], side[rows], trie[rows], depth[rows], floor))
                 r, c = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
                 if not len(r):
                     continue
