@@ -197,6 +197,17 @@ def test_ngram_join_against_all_pairs(spark, tile, monkeypatch):
         assert (out[i]["class_id"], out[i]["n_links"], out[i]["kept"]) == (root[i], links[i], root[i] == i), texts[i]
 
 
+@pytest.mark.parametrize("rows", [6, 60])
+def test_tiles_of_two_blocks_compare_across_only(rows):
+    """A block of a crowded node may hold no candidate; the pairs of the other one belong to that one's own tile."""
+    sig = np.ones((rows, ngram_join.TRIES * ngram_join.DEPTH), dtype=np.uint8)
+    none, depth = np.zeros(rows, dtype=np.int64), np.full(rows, ngram_join.DEPTH)
+    for first in (0, 2, rows):
+        side = np.repeat([-1, 1], [first, rows - first])
+        assert sum(len(r) for r, _, _ in ngram_join.tile_pairs(sig, none, side, none, depth, 1)) == first * (rows - first)
+    assert sum(len(r) for r, _, _ in ngram_join.tile_pairs(sig, none, none, none, depth, 1)) == rows * (rows - 1) // 2
+
+
 def test_ngram_join_defined_cases(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", None), (2, None, None)]
     out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string, class_id string")).collect()
