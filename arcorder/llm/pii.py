@@ -32,6 +32,8 @@ from arcorder.llm.common import hashed_sample
 SAMPLE, WINDOW = 20_000, 100
 #: Share of planted personal data among what a threshold selects of the unseen families.
 PRECISION = 0.98
+#: Tasks of each of the fit's many small jobs; the driver remembers every task of a job that has ended.
+FIT_TASKS = 8
 BLOCK = 256
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -216,7 +218,7 @@ def fit_trees(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, f
     """
     none = ("0.0D", dict.fromkeys(WIDE, 2.0))
     table = planted_rows(df, id_col, text_col, sample)
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("id", "kind", "features", "label", "family").repartition(8, "id").cache()
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("id", "kind", "features", "label", "family").repartition(FIT_TASKS, "id").coalesce(FIT_TASKS).cache()
     unseen = F.col("family").isin(UNSEEN)
     counts = {r["label"]: r["count"] for r in table.where(~unseen).groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 5:

@@ -89,8 +89,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.offset, -30, 30))))
 
 
+def counted(sets: list[np.ndarray]) -> np.ndarray:
+    """How many of the sets hold each bucket; of a lot at a time, as counting takes eight bytes an entry."""
+    out = np.zeros(1 << BITS, dtype=np.int64)
+    for i in range(0, len(sets), 256):
+        out += np.bincount(np.concatenate(sets[i : i + 256]), minlength=1 << BITS)
+    return out
+
+
 def log_count_ratio(sets: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    p, q = (smooth + np.bincount(np.concatenate([s for s, k in zip(sets, y, strict=True) if k == side] or [np.zeros(0, np.int32)]), minlength=1 << BITS) for side in (1, -1))
+    p, q = (smooth + counted([s for s, k in zip(sets, y, strict=True) if k == side]) for side in (1, -1))
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
@@ -142,7 +150,10 @@ def fit_sets(sets: list[np.ndarray], labels: np.ndarray) -> Model:
     train = np.flatnonzero(seen)
     ratio = log_count_ratio([sets[i] for i in train], y[train])
     lengths = np.array([len(sets[i]) for i in train], dtype=np.int64)
-    values = views(ratio[np.concatenate([sets[i] for i in train])] / np.repeat(np.sqrt(np.maximum(1, lengths)), lengths), lengths)
+    # filled in place, set by set: the driver has room for one array of these values
+    values = views(np.empty(lengths.sum()), lengths)
+    for i, v in zip(train, values, strict=True):
+        np.divide(ratio[sets[i]], np.sqrt(max(1, len(v))), out=v)
     share = (y[train] > 0).mean()
     c = np.where(y[train] > 0, 0.5 / share, 0.5 / (1 - share))
     w, b = dual_coordinate_descent([sets[i] for i in train], values, y[train], c)
@@ -169,10 +180,8 @@ def training_texts(rows: DataFrame, sample: int, budget: int) -> tuple[pa.Array,
 def fit(rows: DataFrame, budget: int = BYTES) -> Model:
     """rows: (id, label, text), a sample; what comes to the driver is bounded in rows and bytes."""
     texts, labels = training_texts(rows, SAMPLE, budget)
-    found = [packed(indicators(*text_bytes(texts[i : i + 256]))) for i in range(0, len(texts), 256)]
+    sets = [s for i in range(0, len(texts), 256) for s in views(*packed(indicators(*text_bytes(texts[i : i + 256]))))]
     del texts
-    sets = views(np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])) if found else []
-    del found
     order = np.random.default_rng(5).permutation(len(sets))
     model = fit_sets([sets[i] for i in order], labels[order] if len(labels) else labels)
     pa.default_memory_pool().release_unused()

@@ -1,4 +1,5 @@
 import collections
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,21 @@ def test_forest_joins():
     assert f.root.tolist() == [0, 1, 2, 0, 0, 0]
 
 
+def test_quality_fit_holds_one_array_of_values():
+    rng = np.random.default_rng(3)
+    flat, lengths = rng.integers(0, 1 << quality.BITS, 1_500_000, dtype=np.int32), np.full(1500, 1000)
+    sets = quality.views(flat, lengths)
+    labels = (np.arange(1500) % 3 > 0).astype(int)
+    counts = quality.counted(sets)
+    assert counts.tolist() == np.bincount(flat, minlength=1 << quality.BITS).tolist() and not quality.counted([]).any()
+    tracemalloc.start()
+    quality.fit_sets(sets, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # eight bytes for each entry that is fitted on, and a few megabytes for the weights and views
+    assert peak < 1.3 * 8 * len(flat) + (6 << 20)
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(40, 6, replace=False)).astype(np.int32) for _ in range(60)]

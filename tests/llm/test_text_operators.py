@@ -387,6 +387,23 @@ def test_pii_thresholds_hold_on_families_that_the_trees_did_not_see(pii_model):
         assert good > 0.4 * sum(f["n"] for f in chosen if f["label"] == 1.0)
 
 
+def test_pii_fit_has_few_tasks_into_however_many_partitions_its_rows_are_dealt(spark, pii_model, monkeypatch):
+    deal = type(pii_model[0]).repartition
+    monkeypatch.setattr(type(pii_model[0]), "repartition", lambda self, n, *cols: deal(self, max(n, 60) if cols and isinstance(n, int) else n, *cols))
+    context = spark.sparkContext
+    context.setJobGroup("few-tasks", "the fit of the trees")
+    try:
+        score, thresholds = pii.fit_trees(pii_model[0], "doc_id", "text")
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(key, None)
+    status = context.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("few-tasks") for s in status.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s is not None]
+    assert len(tasks) > 50 and sum(n > pii.FIT_TASKS for n in tasks) < 10
+    assert score != "0.0D" and set(thresholds) == set(pii.WIDE)
+
+
 def test_pii_trees_as_sql_equal_the_model(pii_model):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
