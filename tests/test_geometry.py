@@ -81,3 +81,8 @@ def test_orthogonal_layers_by_blocks(spark, fan_in, fan_out):
     m = m if fan_out >= fan_in else m.T
     assert len(w) == fan_in * fan_out and m.T @ m == pytest.approx(np.eye(min(fan_in, fan_out)), abs=1e-9)
 
+
+def test_moments_with_partitions_that_hold_no_row(features):
+    df, x, _ = features
+    n, mean, cov = geometry.gram(df.repartition(8, "label"))  # two labels, so most partitions are empty
+    assert n == 90 and mean == pytest.approx(x.mean(0)) and cov == pytest.approx(np.cov(x.T))
