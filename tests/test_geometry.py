@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from arcorder.functions.columns import natural_log
 from arcorder.operators import geometry
 
 
@@ -86,3 +87,12 @@ def test_moments_with_partitions_that_hold_no_row(features):
     df, x, _ = features
     n, mean, cov = geometry.gram(df.repartition(8, "label"))  # two labels, so most partitions are empty
     assert n == 90 and mean == pytest.approx(x.mean(0)) and cov == pytest.approx(np.cov(x.T))
+
+
+def test_ks_of_a_logarithm_of_nought(spark):
+    logs = spark.createDataFrame([(w,) for w in (0.0, 1.0, 2.0, 5.0, None)], "w double").select(natural_log("w").alias("lw"))
+    assert [r[0] for r in logs.collect()] == [-np.inf, 0.0, np.log(2), np.log(5), None]
+    got = geometry.ks_normal(logs, "lw").first()
+    assert np.isnan(got["statistic"]) and np.isnan(got["pValue"])
+    assert 0 < geometry.ks_normal(logs.where("lw >= 0"), "lw").first()["statistic"] < 1
+    assert geometry.ks_normal(logs.where("lw > 9"), "lw").first()["statistic"] is None
