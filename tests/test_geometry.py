@@ -96,3 +96,18 @@ def test_ks_of_a_logarithm_of_nought(spark):
     assert np.isnan(got["statistic"]) and np.isnan(got["pValue"])
     assert 0 < geometry.ks_normal(logs.where("lw >= 0"), "lw").first()["statistic"] < 1
     assert geometry.ks_normal(logs.where("lw > 9"), "lw").first()["statistic"] is None
+
+
+@pytest.mark.parametrize("sampler", ["marginal", "degree"])
+def test_samplers_do_not_broadcast_the_ranks(spark, sampler):
+    """Few different values of many rows: their ranks must not go through the driver."""
+    pool = spark.range(40_000).selectExpr("id % 3 + 1.0D AS value")
+    w = geometry.sample_marginal(pool, 8, 50) if sampler == "marginal" else geometry.sample_degree(pool.toDF("in_degree_ratio"), 8, 50)
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert w.count() == 400 and ("leftHint=(strategy=merge" in plan or "rightHint=(strategy=merge" in plan)
+
+
+def test_qq_points_of_a_logarithm_of_nought(spark):
+    logs = spark.createDataFrame([(w,) for w in (2.0, 0.0, 1.0)], "w double").select(natural_log("w").alias("lw"))
+    got = [tuple(r) for r in geometry.qq_points(logs, "lw").orderBy("rank").collect()]
+    assert [r[:2] for r in got] == [(0, -np.inf), (1, 0.0), (2, np.log(2))] and got[1][2] == pytest.approx(0, abs=1e-9)
