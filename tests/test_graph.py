@@ -451,3 +451,18 @@ def test_scratch_keeps_what_is_named(spark):
         assert kept.count() == 4
         final = outer.keep(kept, "final")
     assert final.count() == 4 and len(set(folder.iterdir()) - before) == 1
+
+
+def test_components_of_pieces_take_few_tables(spark, monkeypatch):
+    """Pieces of at most `small` edges are told apart in a few rounds and finished side by side, not by rounds of colours."""
+    rng, rows = random.Random(4), []
+    for k in range(30):
+        rows += [(100 * k + a, 100 * k + b, 1) for a in range(20) for b in rng.sample(range(20), 3)]
+    calls = []
+    monkeypatch.setattr(components, "written", lambda df, name: calls.append(name) or storage.written(df, name))
+    out = components.strongly_connected_components(spark.createDataFrame(rows, "src long, tgt long, weight long"), small=100)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["component"], set()).add(r["node"])
+    assert {frozenset(v) for v in got.values()} == set(strong(rows).values()) and all(c == min(v) for c, v in got.items())
+    assert calls.count("scc-labels") <= 8
