@@ -111,3 +111,14 @@ def test_qq_points_of_a_logarithm_of_nought(spark):
     logs = spark.createDataFrame([(w,) for w in (2.0, 0.0, 1.0)], "w double").select(natural_log("w").alias("lw"))
     got = [tuple(r) for r in geometry.qq_points(logs, "lw").orderBy("rank").collect()]
     assert [r[:2] for r in got] == [(0, -np.inf), (1, 0.0), (2, np.log(2))] and got[1][2] == pytest.approx(0, abs=1e-9)
+
+
+def test_products_of_columns_shuffle_no_cells(spark):
+    """What is shuffled is a sum for each pair of columns and task, not a row for each cell of the layer."""
+    rows = spark.range(3000).selectExpr("array(id / 1000, 1D, -id % 7D) AS values").repartition(3)
+    x = np.array([r["values"] for r in rows.collect()])
+    df = geometry.column_products(rows)
+    got = {(r["a"], r["b"]): r["dot"] for r in df.collect()}
+    assert np.array([[got[a, b] for b in range(3)] for a in range(3)]) == pytest.approx(x.T @ x)
+    w = {(r["i"], r["j"]): r["w"] for r in geometry.init_weights(spark, "orthogonal", 4, 30).collect()}
+    assert all(w[r["row"], j] == v for r in geometry.orthogonal_rows(spark, 4, 30).collect() for j, v in enumerate(r["values"]))
