@@ -466,3 +466,22 @@ def test_components_of_pieces_take_few_tables(spark, monkeypatch):
         got.setdefault(r["component"], set()).add(r["node"])
     assert {frozenset(v) for v in got.values()} == set(strong(rows).values()) and all(c == min(v) for c, v in got.items())
     assert calls.count("scc-labels") <= 8
+
+
+def test_search_in_chunks_takes_the_steps_of_the_gradient(spark, monkeypatch):
+    """Edges in many small blocks give the same epochs as plain gradient steps; an epoch writes one table."""
+    df = spark.createDataFrame([(i % 23, (i * 7 + 3) % 29, i % 5 + 1) for i in range(300)], "src long, tgt long, weight long")
+    cfg = search.Config(epochs=4, cycles=1, log_interval=1)
+    names = []
+    monkeypatch.setattr(search, "PIECE", 20)
+    monkeypatch.setattr(search, "written", lambda df, name: names.append(name) or storage.written(df, name))
+    history = {r["iter"]: r for r in search.search(df, {"a": (3, cfg)})[1].collect()}
+    assert names.count("search-state") == 1 + 5
+    norm = graph.normalise_weights(df)
+    state = search.init_positions(df, "random", 3).select(F.lit("a").alias("run"), "node", "pos", F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+    for i, beta in enumerate(search.cyclic_betas(4, 1)):
+        grad = score.surrogate_gradient(norm, state.select("run", "node", "pos"), beta)
+        state = storage.written(search.adam_step(state, grad, search.learning_rate(cfg, i), i + 1), "by-hand")
+        positions = state.select("node", "pos")
+        assert score.score_from_positions(df, positions).first()["score"] == history[i]["score"]
+        assert score.surrogate_loss(norm, positions, beta).first()["loss"] == pytest.approx(history[i]["loss"])
