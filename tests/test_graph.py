@@ -485,3 +485,12 @@ def test_search_in_chunks_takes_the_steps_of_the_gradient(spark, monkeypatch):
         positions = state.select("node", "pos")
         assert score.score_from_positions(df, positions).first()["score"] == history[i]["score"]
         assert score.surrogate_loss(norm, positions, beta).first()["loss"] == pytest.approx(history[i]["loss"])
+
+
+def test_one_epoch_an_exchange_is_exact_in_any_blocks(spark):
+    df = spark.createDataFrame([(i % 23, (i * 7 + 3) % 29, i % 5 + 1) for i in range(300)], "src long, tgt long, weight long")
+    cfg = search.Config(epochs=3, cycles=1, log_interval=1)
+    one = search.search(df, {"a": (3, cfg)})[1].orderBy("iter").collect()
+    two = search.search_blocked(df, {"a": (3, cfg)}, 3, block_edges=20)[1].orderBy("iter").collect()
+    assert two[0]["loss"] == pytest.approx(one[0]["loss"]) and two[0]["score"] == one[0]["score"]
+    assert [r["loss"] for r in two] == pytest.approx([r["loss"] for r in one])
